@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import graph_queries
+
 FLAGSHIP = "flow_trace_set"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = dict(graph_queries.QUERIES)
+ORACLES = dict(graph_queries.ORACLES)
