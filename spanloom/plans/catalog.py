@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_queries
+from . import graph_queries, text_queries
 
 FLAGSHIP = "flow_trace_set"
-QUERIES = dict(graph_queries.QUERIES)
-ORACLES = dict(graph_queries.ORACLES)
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES
+ORACLES = graph_queries.ORACLES | text_queries.ORACLES
