@@ -13,10 +13,11 @@ own band and, where a partner may be smaller, in the band below.  Allocation by
 * else segments are matched exactly (threshold 0).
 
 Groups of equal signatures are passed over row by row in sorted order.  A lossless filter (the sum of
-differences of 64 bucket counts never exceeds the real difference) removes chance pairs before any text is
+differences of bucket counts never exceeds the real difference) removes chance pairs before any text is
 moved; what is left is verified on the full shingle sets.  Every member is first held against the first of its
-group only, so that a group of thousands of copies costs thousands of comparisons; then the pairs of a group
-that still lie in different components are verified too, so no link that joins components is lost.
+group only, so that a group of thousands of copies costs thousands of comparisons; then, in groups of three
+and more that still lie in different components, the pairs across components are filtered by finer counts
+and verified too, so no link that joins components is lost.
 
 Defined results: a null or wordless text has no shingles, links with nothing and is its own component.  Rows
 with equal sets, repeated rows among them, form one class.  A null doc_id never names a component unless the
@@ -39,6 +40,9 @@ from .workspace import dropped, small, written
 
 WORDS = 5
 BUCKETS = 64
+#: Bytes of the finer counts: 1024 of two bits, or 512 of four bits for sets of LARGE and more shingles.
+FINE = 256
+LARGE = 1500
 #: Segments of a band are this share of its largest set size.
 SEGMENT_SHARE = 0.375
 #: Broadcast at most so many (hash, hash) rows; more are shuffled.
@@ -100,14 +104,48 @@ def _node(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _fine(hashes: np.ndarray) -> bytes:
+    if len(hashes) < LARGE:
+        c = np.minimum(np.bincount((hashes >> U(54)).astype(np.int64), minlength=1024), 3).astype(np.uint8).reshape(4, FINE)
+        return (c[0] | c[1] << 2 | c[2] << 4 | c[3] << 6).tobytes()
+    c = np.minimum(np.bincount((hashes >> U(55)).astype(np.int64), minlength=512), 15).astype(np.uint8).reshape(2, FINE)
+    return (c[0] | c[1] << 4).tobytes()
+
+
+class _FineCounts:
+    """The finer counts of some sets; saturated counts still never differ by more than the sets do."""
+
+    def __init__(self, packed: list[bytes], size: np.ndarray):
+        data = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(-1, FINE)
+        self.large = size >= LARGE
+        self.two = np.concatenate([data >> k & 3 for k in (0, 2, 4, 6)], axis=1).astype(np.int8)
+        self.four = np.concatenate([data & 15, data >> 4], axis=1).astype(np.int8)
+
+    def allow(self, both: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        ok = np.ones(len(i), dtype=bool)
+        for table, kind in ((self.two, False), (self.four, True)):
+            mine = np.flatnonzero((self.large[i] == kind) & (self.large[j] == kind))
+            ok[mine] = _near(table, both[mine], i[mine], j[mine], percent)
+        return ok
+
+
+def _near(counts: np.ndarray, both: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    gap = np.empty(len(i), dtype=np.int64)
+    for at in range(0, len(i), 1 << 12):
+        part = slice(at, at + (1 << 12))
+        gap[part] = np.abs(counts[i[part]] - counts[j[part]]).sum(1, dtype=np.int64)
+    return gap * (100 + percent) <= both * (100 - percent)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, size, counts = [], [], []
+        node, size, counts, fine = [], [], [], []
         for hashes in sets_of(batch.column("text")):
             size.append(len(hashes))
             node.append(_node(_key(hashes)) if len(hashes) else None)
             counts.append(np.minimum(np.bincount((hashes >> U(58)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "text_key", "node", "n_shingles", "counts"])
+            fine.append(_fine(hashes))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary())], ["doc_id", "text_key", "node", "n_shingles", "counts", "fine"])
 
 
 def _index(percent: int):
@@ -115,15 +153,16 @@ def _index(percent: int):
         seen: set[int] = set()  # copies within the task are indexed once
         for batch in batches:
             sig, node = [], []
-            for hashes in sets_of(batch.column("text")):
+            for k, hashes in enumerate(sets_of(batch.column("text")), 1):
                 own = _node(_key(hashes))
                 if len(hashes) and own not in seen:
                     seen.add(own)
                     part = signatures(hashes, percent)
                     sig.append(part)
                     node.append(np.full(len(part), own, dtype=np.int64))
-            if sig:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
+                if sig and (k % 2000 == 0 or k == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
+                    sig, node = [], []
 
     return index
 
@@ -158,16 +197,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
 
 
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of signatures that three or more nodes of different components have; pairs were verified before."""
+    for table in _runs(batches):
+        sig, root = table.column("sig").to_numpy(), table.column("root").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        count = np.diff(np.append(first, len(sig)))
+        mixed = np.logical_or.reduceat(root != np.repeat(root[first], count), first) & (count > 2)
+        if mixed.any():
+            yield from table.filter(pa.array(np.repeat(mixed, count))).to_batches()
+
+
 def _pairs(percent: int, every: bool):
     """Pairs of a group that the bucket counts allow: of each member and the first, or of all in different components."""
 
-    def allowed(size, counts, i, j):
-        gap = np.zeros(len(i), dtype=np.int64)
-        for at in range(0, len(i), 1 << 16):
-            part = slice(at, at + (1 << 16))
-            gap[part] = np.abs(counts[i[part]] - counts[j[part]]).sum(1)
-        both = size[i] + size[j]
-        return (gap * (100 + percent) <= both * (100 - percent)) & (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent)
+    def allowed(size, counts, fine, i, j):
+        ok = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
+        i, j = i[ok], j[ok]
+        ok = _near(counts, size[i] + size[j], i, j, percent)
+        i, j = i[ok], j[ok]
+        if fine is not None:
+            ok = fine.allow(size[i] + size[j], i, j, percent)
+            i, j = i[ok], j[ok]
+        return i, j
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
@@ -177,19 +229,21 @@ def _pairs(percent: int, every: bool):
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         for table in _runs(batches):
-            sig, node, size, root = (table.column(c).to_numpy() for c in ("sig", "node", "n_shingles", "root"))
+            sig, node, size = (table.column(c).to_numpy() for c in ("sig", "node", "n_shingles"))
             counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16)
             first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             last = np.append(first[1:], len(sig))
+            fine = None
             if not every:
                 i, j = np.repeat(first, last - first), np.arange(len(sig))
-                blocks_ = [(i[i != j], j[i != j])]
+                asked = [(i[i != j], j[i != j])]
             else:
-                blocks_ = _across(first, last, root)
-            for i, j in blocks_:
-                ok = allowed(size, counts, i, j)
-                if ok.any():
-                    both = np.stack([node[i[ok]], node[j[ok]]], axis=1)
+                fine = _FineCounts(table.column("fine").to_pylist(), size)
+                asked = _across(first, last, table.column("root").to_numpy())
+            for i, j in asked:
+                i, j = allowed(size, counts, fine, i, j)
+                if len(i):
+                    both = np.stack([node[i], node[j]], axis=1)
                     both.sort(axis=1)
                     found.append(np.unique(both, axis=0))
                     held += len(found[-1])
@@ -233,34 +287,54 @@ def _verified(percent: int):
     return verified
 
 
-def _links(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those of the written `pairs` that link, verified on the shingle sets of whole texts."""
+def _plausible(percent: int):
+    """Pairs, with both sets' sizes and finer counts, that these allow."""
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            size = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            fine = _FineCounts(batch.column("fa").to_pylist() + batch.column("fb").to_pylist(), size)
+            i = np.arange(n)
+            yield batch.select(["a", "b"]).filter(pa.array(fine.allow(size[:n] + size[n:], i, i + n, percent)))
+
+    return plausible
+
+
+def _links(pairs: DataFrame, about: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Those of the `pairs` that link, verified on the shingle sets of whole texts."""
+    ends = [about.select(F.col("node").alias(e), F.col("n_shingles").alias(f"n{e}"), F.col("fine").alias(f"f{e}")) for e in "ab"]
+    pairs = written(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_plausible(percent), "a long, b long"), "plausible")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = written(members.join(wanted, "node").groupBy("node").agg(F.min("text_key").alias("text_key")), "keys")
     texts = docs.join(small(keys, BROADCAST_ROWS), "text_key").select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     out = written(both.select("a", "b", "ta", "tb").mapInArrow(_verified(percent), "a long, b long"), "links")
-    dropped(texts, keys)
+    dropped(texts, keys, pairs)
     return out
 
 
 def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of `documents` (``doc_id, text``)."""
     docs = documents.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    members = written(docs.mapInArrow(_describe, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long, n_shingles long, counts binary"), "members")
+    members = written(docs.mapInArrow(_describe, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long, n_shingles long, counts binary, fine binary"), "members")
     sigs = docs.select("text").mapInArrow(_index(percent), "sig long, node long")
     shared = sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long")
-    about = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"))
-    groups = written(shared.join(about, "node"), "groups")
-    laid = groups.withColumn("root", F.col("node")).repartition("sig").sortWithinPartitions("sig", "node")
+    about = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
+    about = written(about, "about")
+    groups = written(shared, "groups")
+    coarse = about.drop("fine")
+    laid = groups.join(coarse, "node").repartition("sig").sortWithinPartitions("sig", "node")
     pairs = written(laid.mapInArrow(_pairs(percent, False), "a long, b long").distinct(), "pairs")
-    links = _links(pairs, members, docs, percent)
+    links = _links(pairs, about, members, docs, percent)
     roots = written(components(links), "roots")
-    laid = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("sig").sortWithinPartitions("sig", "node")
+    rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("sig").sortWithinPartitions("sig", "node")
+    mixed = rooted.select("sig", "node", "root").mapInArrow(_mixed, "sig long, node long, root long")
+    laid = mixed.join(about, "node").repartition("sig").sortWithinPartitions("sig", "node")
     rest = written(laid.mapInArrow(_pairs(percent, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(_links(rest, members, docs, percent))
-    dropped(groups, roots)
+    links = links.unionAll(_links(rest, about, members, docs, percent))
+    dropped(groups, roots, about, pairs, rest)
     roots = written(components(links), "roots")
     named = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = written(named, "named")
