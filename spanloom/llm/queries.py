@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import backoff_lm, bpe, chat, crf_language, decontaminate, jaccard_join, quality, quality_rules, secrets, warc
 
@@ -36,7 +37,7 @@ def op6_language_id(spark, sf_dir):
 
 
 def op7_lm_scoring(spark, sf_dir):
-    return backoff_lm.backoff_scores(_table(spark, sf_dir, "documents"))
+    return backoff_lm.backoff_scores(_table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def op8_chat_formatting(spark, sf_dir):
@@ -56,4 +57,42 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_bpe, op3_decontamination, op4_jaccard_join, op5_quality_classifier, op6_language_id, op7_lm_scoring, op8_chat_formatting, op9_warc, op10_quality_rules)}
 
-ORACLES: dict[str, str] = {}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+')"
+_PLAIN = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: DuckDB text for the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op3_decontamination": f"""with w as (select doc_id, {_PLAIN} as w from documents),
+ b as (select item_id, {_PLAIN} as w from benchmark),
+ bw as (select distinct item_id, least(13, len(w)) as l, list_slice(w, i, i + least(13, len(w)) - 1) as g from (select item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) as i from b where len(w) > 0)),
+ ls as (select distinct l from bw),
+ dw as (select doc_id, l, i, list_slice(w, i, i + l - 1) as g from (select doc_id, w, l, unnest(generate_series(1, len(w) - l + 1)) as i from w, ls)),
+ h as (select dw.doc_id, dw.l, dw.i, bw.item_id from dw join bw on dw.g = bw.g and dw.l = bw.l),
+ hw as (select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + l - 1)) as p from h) group by doc_id),
+ it as (select doc_id, count(distinct item_id) as n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from h group by doc_id)
+ select w.doc_id, cast(len(w) as bigint) as n_words, coalesce(hw.n, 0) as n_hit, coalesce(it.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hw.n, 0) > 0 and 20 * coalesce(hw.n, 0) >= len(w) as contaminated
+ from w left join hw on hw.doc_id = w.doc_id left join it on it.doc_id = w.doc_id""",
+    "op4_jaccard_join": f"""with recursive w as (select doc_id, {_WORDS} as w from documents),
+ s as (select distinct doc_id, g from (select doc_id, list_slice(w, i, i + least(5, len(w)) - 1) as g from (select doc_id, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) as i from w where len(w) > 0))),
+ n as (select doc_id, count(*) as n from s group by doc_id),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+ links as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.i >= 80 * (x.n + y.n - p.i)),
+ r as (select doc_id as a, doc_id as b from w union select r.a, l.b from r join links l on l.a = r.b),
+ c as (select a as doc_id, min(b) as component_id from r group by a)
+ select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id from w left join n on n.doc_id = w.doc_id join c on c.doc_id = w.doc_id""",
+    "op7_lm_scoring": f"""with w as (select doc_id, {_WORDS} as w from documents),
+ t as (select doc_id, i, w[i] as word, case when i > 1 then w[i - 1] end as before from (select doc_id, w, unnest(generate_series(1, len(w))) as i from w)),
+ u as (select word, count(*) as c from t group by word), n as (select count(*) as n from t),
+ d as (select before, word, count(*) as c from t where before is not null group by 1, 2),
+ x as (select t.doc_id, ln(case when u.c >= 2 then u.c else 1 end / n.n) as lu, d.c, v.c as ctx from t join u on u.word = t.word left join d on d.before = t.before and d.word = t.word left join u v on v.word = t.before cross join n),
+ m as (select doc_id, count(*) as n, sum(case when ctx is null then lu when c >= 2 then ln(c / ctx) else lu + ln(0.4) end) as s from x group by doc_id)
+ select w.doc_id, coalesce(m.n, 0) as n_words, round(m.s / m.n, 6) as score from w left join m on m.doc_id = w.doc_id""",
+    "op8_chat_formatting": """with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+ select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ cast(sum(23 + length(regexp_replace(role, '<(\\\\*)\\|', '<\\1\\\\|', 'g')) + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g'))) as bigint) as formatted_chars
+ from c group by conv_id""",
+    "op9_warc": """with p as (select page_id, coalesce(html, '') as h from pages), f as (select page_id, h, case when strlen(h) >= 100 then min(page_id) over (partition by h) else page_id end as first from p)
+ select page_id, cast(strlen(h) as bigint) as payload_bytes, sha256(h) as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f""",
+}

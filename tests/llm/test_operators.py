@@ -1,0 +1,406 @@
+"""The text operators against brute force, round trips and held-out accuracy, with odd rows of every kind."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import backoff_lm, bpe, chat, components, crf_language, decontaminate, hashing, jaccard_join, quality, quality_rules, secrets, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t is not None else None) for i, t in rows], DOCS)
+
+
+def odd_rows():
+    rng = random.Random(3)
+    long = " ".join(rng.choice(BASE) + str(rng.randrange(50)) for _ in range(20_000))
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base.replace("w30", "x30")
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "a b c d"), (5, "A b C d"), (6, base), (7, near), (8, base.upper()), (9, long), (10, base), (10, base), (None, base), (11, "ß İ 中文 \U0001f600 é"), (12, "x" * 3000)]
+    for k in range(20):
+        words = base.split()
+        for _ in range(rng.randrange(0, 8)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(1000)}"
+        rows.append((20 + k, " ".join(words)))
+        rows.append((60 + k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))))
+    return rows
+
+
+def shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            best[root(i)] = min(best.get(root(i), d), d)
+    return sorted(((d, len(s), best.get(root(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def test_jaccard_brute_force(spark):
+    rows = odd_rows()
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+
+
+def test_jaccard_small_universe(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        n = rng.randrange(1, 40)
+        rows.append((k, " ".join(f"t{i}" for i in range(n)) + " " + " ".join(f"z{rng.randrange(3)}" for _ in range(rng.randrange(0, 4)))))
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+
+
+def test_jaccard_signatures_never_miss():
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        n = int(rng.integers(4, 400))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        drop = int(rng.integers(0, max(1, n // 4)))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            assert set(jaccard_join.signatures(a)) & set(jaccard_join.signatures(b))
+
+
+def test_jaccard_empty(spark):
+    assert jaccard_join.jaccard_classes(frame(spark, [])).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (3, 4), (10, 10)], "a long, b long")
+    assert {tuple(r) for r in components.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7), (9, 7)}
+
+
+def test_hashing_matches_words():
+    texts = ["a b  c", "", "ab c", " b\n", "A B c", "é e"]
+    import pyarrow as pa
+
+    seen = {}
+    for block in hashing.blocks(pa.array(texts), limit=4):
+        words, at = block.words()
+        for i in range(block.n):
+            for w, h in zip(texts[block.first + i].encode().lower().split(), words[at[i] : at[i + 1]], strict=True):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) == 6
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.vocabulary_path())
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def bpe_texts():
+    rng = random.Random(9)
+    alphabet = "abcdefghijklmnop etaoin   \n\tß中\U0001f600'sll<|>\x00\x1c\x85 0123"
+    texts = [None, "", " ", "<|endoftext|>", "x<|endoftext|> y<|endoftext|><|endoftext|>", "a" * 5000, "it's  we'll\n\n x_1²٣"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(30)) for _ in range(200)]
+    return texts
+
+
+def test_bpe_like_the_library(spark):
+    texts, lib = bpe_texts(), library()
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in bpe.bpe_digests(frame(spark, rows)).collect()}
+    for i, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids), t
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_round_trip(spark):
+    rows = [(i, t) for i, t in enumerate(bpe_texts()) if t]
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(frame(spark, rows))).collect()}
+    assert back == dict(rows)
+
+
+def test_bpe_settled_characters():
+    e = bpe.encoder(bpe.vocabulary_path())
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and e.settled(chr(c))]
+    text = " ".join(f"a{c}1{c} {c}{c}b" for c in chars)
+    assert [text[a:b] for _, (a, b) in e.split(text)] == e.find(text)
+
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+
+def test_decontamination_brute_force(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    bench = [(1, item), (2, "Short item HERE"), (3, None), (4, "..."), (5, item), (6, "ünï code"), (None, "null id words")]
+    rng = random.Random(2)
+    rows = [(0, None), (1, ""), (2, item), (3, "a " * 300 + item.upper() + " b" * 300), (4, "x " + " ".join(f"q{k}" for k in range(3, 16))), (5, "short, item; here!"), (6, "short item"), (7, "ünï-code"), (8, item + " " + item), (8, item), (9, "null id words")]
+    rows += [(20 + k, " ".join(f"q{rng.randrange(30)}" for _ in range(60))) for k in range(10)]
+    rows += [(40 + k, " ".join(["z"] * k + item.split()[k : k + 14] + ["short", "item", "here"])) for k in range(12)]
+    windows = {}
+    for i, t in bench:
+        w = plain(t)
+        for k in range(len(w) - min(13, len(w)) + 1 if w else 0):
+            windows.setdefault(tuple(w[k : k + min(13, len(w))]), set()).add(i)
+    got = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    expected = []
+    for d, t in rows:
+        w, items = plain(t), set()
+        hit = [False] * len(w)
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if found := windows.get(tuple(w[k : k + size])):
+                    items |= found
+                    hit[k : k + size] = [True] * size
+        ids = sorted(str(x) for x in items if x is not None)
+        expected.append((d, len(w), sum(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w)))
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_decontamination_blocks_and_columns(spark, monkeypatch):
+    item = " ".join(f"q{k}" for k in range(40))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [(1, item), (2, "clean " * 30)]).withColumn("_w", F.lit(1))
+    whole = decontaminate.contamination(docs, bench).collect()
+    monkeypatch.setattr(decontaminate, "SET_SIZE", 5)
+    assert decontaminate.contamination(docs, bench).collect() == whole
+    kept = decontaminate.decontaminated(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+    assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    t = t or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_base_spans(spark):
+    texts = [None, "", "password=abcdef", "token=token:abcdefgh token = \"x\" secret: 'abc", "\U0001f600 API_KEY = 'abc/def+1' apikey:x", "AKIA" + "A" * 15 + " AKIA" + "B" * 16 + "AKIAAKIA" + "C" * 20, "f" * 24 + "g" + "0" * 23, "password=" + "0a" * 20, "ToKeN:=abcdefg ſecret=abcdefg toKen=abcdefgh", "secret=abcdef" * 40]
+    rows = list(enumerate(texts))
+    for r in secrets.secret_digests(frame(spark, rows)).collect():
+        spans = base_spans(texts[r.doc_id])
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), texts[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in spans) for x in range(3))
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+def test_secret_randomness(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = ["".join(rng.choice(alphabet) for _ in range(44)) for _ in range(60)]
+    ordered = ["abcdefghijklmnopqrstuvwxyz0123456789", "internationalizationconfiguration", "this_is_a_long_identifier_name_here", "0" * 40, "----------------------------------------", "some/path/to/a/file/that/is/long/enough"]
+    rows = [(k, f"see {t} there") for k, t in enumerate(drawn + ordered * 5)]
+    got = {r.doc_id: r.n_random for r in secrets.secret_digests(frame(spark, rows)).collect()}
+    assert sum(got[k] for k in range(60)) >= 50
+    assert sum(got[k] for k in range(60, len(rows))) == 0
+
+
+def test_secrets_masked(spark):
+    rows = [(1, "a password=abcdefg b"), (2, None), (3, "clean"), (4, "token=" + "0a" * 20)]
+    out = {r.doc_id: r for r in secrets.masked(frame(spark, rows)).collect()}
+    assert out[1].text == "a [assign] b" and out[1].n_chars == 12 and out[2].text is None and out[3].text == "clean" and out[4].text == "[assign]"
+    assert secrets.secret_digests(frame(spark, [])).count() == 0
+
+
+def test_quality_learns_grades(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("aeioutnrs") for _ in range(rng.randrange(2, 8)))
+    docs, labels = [], []
+    for k in range(900):
+        kind = k % 3
+        words = [word() for _ in range(60)]
+        if kind == 0:
+            words = [w + rng.choice(["%%%", "$$$"]) for w in words]
+        if kind == 1:
+            words[rng.randrange(60)] = rng.choice(["idiot", "moron"])
+        docs.append((k, " ".join(words)))
+        if k < 600:
+            labels.append((k, int(kind > 0), int(kind == 1)))
+    labels += [(5000, None, 1), (None, 1, 1), (1, None, None)]
+    docs += [(1000, None), (1001, "")]
+    frame_, lab = frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.graded(frame_, lab).collect()}
+    held = range(600, 900)
+    assert np.mean([out[k].kept == (k % 3 == 2) for k in held]) > 0.95
+    assert all(0 <= r.expected_grade <= 2 for r in out.values()) and not out[1000].kept and not out[1001].kept
+    kept = quality.accepted(frame_, lab)
+    assert kept.columns == frame_.columns and {r.doc_id for r in kept.collect()} == {k for k, r in out.items() if r.kept}
+    assert quality.graded(frame_, lab.limit(0)).where("kept").count() == 900
+
+
+def test_language_held_out(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = frame(spark, [(-1, None), (-2, "123 !!"), (None, "the and of is"), (-4, "")])
+    out = crf_language.languages(docs.unionByName(extra)).join(docs.select("doc_id", "lang"), "doc_id", "left").collect()
+    for r in out:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    held = [r for r in out if r.held_out and r.lang]
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.9
+    assert {r.lang_pred for r in out if r.doc_id in (-1, -2, -4)} == {"und"}
+
+
+def test_forward_backward_brute_force():
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    e, t = rng.normal(size=(4, 2, 3)), rng.normal(size=(3, 3))
+    length = np.array([4, 3])
+    post, pairs = crf_language.forward_backward(e, t, length)
+    want, joint = np.zeros_like(post), np.zeros((3, 3))
+    for s, n in enumerate(length):
+        total = 0
+        part, moves = np.zeros((n, 3)), np.zeros((3, 3))
+        for path in product(range(3), repeat=int(n)):
+            w = np.exp(sum(e[i, s, y] for i, y in enumerate(path)) + sum(t[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += w
+            for i, y in enumerate(path):
+                part[i, y] += w
+            for a, b in zip(path, path[1:], strict=False):
+                moves[a, b] += w
+        want[:n, s] = part / total
+        joint += moves / total
+    assert np.allclose(post, want) and np.allclose(pairs, joint)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_backoff_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(backoff_lm, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(backoff_lm, "BUCKET_BYTES", 200)
+    rng = random.Random(8)
+    rows = [(0, None), (1, ""), (2, "solo"), (3, "a b"), (3, "a b")] + [(10 + k, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 40)))) for k in range(40)]
+    docs = [(d, (t or "").lower().split()) for d, t in rows]
+    counts = {}
+    for _, w in docs:
+        for n in range(1, order + 1):
+            for i in range(len(w) - n + 1):
+                counts[tuple(w[i : i + n])] = counts.get(tuple(w[i : i + n]), 0) + 1
+    total = sum(len(w) for _, w in docs)
+
+    def score(gram):
+        c = counts.get(gram, 0)
+        if len(gram) == 1:
+            return (c if c >= 2 else 1) / total
+        return c / counts[gram[:-1]] if c >= 2 else 0.4 * score(gram[1:])
+
+    want = [(d, len(w), round(sum(np.log(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))) / len(w), 6) if w else None) for d, w in docs]
+    got = [(r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in backoff_lm.backoff_scores(frame(spark, rows), order).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_chat_reads_back(spark):
+    odd = ["a<|b", "<\\|x", "<\\\\|", "<|end|>", "<", "|<|", "", None, "é\U0001f600", "\\"]
+    rows = []
+    for c, t in enumerate(odd):
+        rows += [(c, 0, "system", t), (c, 1, "user", t), (c, 2, "assistant", t), (c, 3, "user", "x<"), (c, 4, "assistant", t), (c, 5, "user", "tail")]
+    rows += [(90, 1, "user", "only"), (91, 0, "assistant", "z"), (91, 0, "assistant", "a"), (91, None, None, "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.chat_digests(df).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((t if t is not None else -1, r or "", x or "") for k, t, r, x in rows if k == c)
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    pieces, full = chat.pieces(df), chat.full_examples(df)
+    whole = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.conv_id, r.example)):
+        whole[r.conv_id, r.example] = whole.get((r.conv_id, r.example - 1), "") + r.piece
+    for r in full.collect():
+        assert r.text == whole[r.conv_id, r.example] and r.text[r.loss_end :] == chat.END
+    assert full.where("conv_id = 0").count() == 2 and full.where("conv_id = 90").count() == 0
+    assert chat.chat_digests(df.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "<p>" + "é" * 60
+    rows = [(1, "http://a/é b", big), (2, "http://b", big), (3, None, big), (4, "http://c", None), (5, "http://c", ""), (6, "x\r\ny", "short"), (7, "u", "short"), (0, "v", "h" * 100), (8, "w", "h" * 100), (9, "w", "h" * 99), (10, "w", "h" * 99), (1, "http://again", big)]
+    got = warc.warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = []
+    for p, _, h in rows:
+        raw = (h or "").encode()
+        first = min(q for q, _, g in rows if (g or "") == (h or "")) if len(raw) >= 100 else p
+        want.append((p, len(raw), hashlib.sha256(raw).hexdigest(), "response" if p == first else "revisit", None if p == first else first))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_warc_reads_a_selection(spark):
+    rows = [(k, f"http://h/{k}", "x" * (200 + k)) for k in range(50)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    few = index.where("page_id % 7 = 0")
+    few._archives = index._archives
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_records(few).collect()} == {(k, 200 + k) for k in range(0, 50, 7)}
+    runs = list(warc.ranges([{"file": "a", "offset": 0, "length": 10}, {"file": "a", "offset": 20, "length": 5}, {"file": "a", "offset": 10**6, "length": 5}, {"file": "b", "offset": 0, "length": 1}]))
+    assert [len(r) for r in runs] == [2, 1, 1]
+
+
+def rules(t):
+    t = t or ""
+    w = re.findall("[^\x20\x09-\x0d]+", t)
+    grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    cover = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    n = len(w)
+    return n, sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), n < 50 or 100 * len(cover) > 50 * n
+
+
+def test_quality_rules_brute_force(spark):
+    rng = random.Random(1)
+    texts = [None, "", "  \n ", "a b", "é é é é é", "x\nx\nx \n\ny\ny", "# * $ <b> & | %", " ".join(str(k) for k in range(60)), "a b c " * 30]
+    texts += ["\n".join(" ".join(rng.choice("abcdé") for _ in range(rng.randrange(0, 6))) for _ in range(rng.randrange(1, 30))) for _ in range(40)]
+    labels = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (8, 0, 1), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, list(enumerate(texts))), labels).collect()}
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules(t), t
+        assert not (r.kept and r.base_failed)
+    assert got[7].kept and quality_rules.quality_rules(frame(spark, []), labels).count() == 0
+
+
+def test_pipeline_keeps_clean(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = tmp_path / name
+        stage(spark, docs, sf).write.parquet(str(out))
+        kept = spark.read.parquet(str(out))
+        if name != "bpe":
+            assert kept.columns == docs.columns
+        assert 0 < kept.count() <= docs.count()
+        docs = kept
