@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import graph_queries, text_queries
+from . import graph_queries, source_queries, text_queries
 
 FLAGSHIP = "flow_trace_set"
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES
-ORACLES = graph_queries.ORACLES | text_queries.ORACLES
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES
+ORACLES = graph_queries.ORACLES | text_queries.ORACLES | source_queries.ORACLES
