@@ -26,7 +26,8 @@ from .hashing import NOT_SPACE, PLACE, Block, U, blocks, mix, windows
 
 WIDTH = 1 << 16
 SLICES = 16
-THRESHOLD = -0.5
+#: Labelled documents at sf0.1: of trusted ones 0.1 % score less, of poor ones 95 % do.
+THRESHOLD = -0.15
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -59,7 +60,8 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
 def ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_target / p_raw of every bucket, with one added to each count."""
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    docs = documents.select("doc_id", "text").join(trusted, "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
+    # labels grow with the documents: always a shuffle on doc_id, never a broadcast that turns into one at some size
+    docs = documents.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
     parts = docs.mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], dtype="<i8").reshape(2, -1) for r in sorted(parts, key=lambda r: r["slice"])], axis=1).astype(float) if parts else np.zeros((2, WIDTH))
     if not counts[1].sum():
