@@ -43,6 +43,8 @@ BUCKETS = 64
 #: Bytes of the finer counts: 1024 of two bits, or 512 of four bits for sets of LARGE and more shingles.
 FINE = 256
 LARGE = 1500
+#: Tasks over which the groups of one cluster are dealt.
+LANES = 8
 #: Segments of a band are this share of its largest set size.
 SEGMENT_SHARE = 0.375
 #: Broadcast at most so many (hash, hash) rows; more are shuffled.
@@ -198,14 +200,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of signatures that three or more nodes of different components have; pairs were verified before."""
+    """The rows, with their group's first node as pivot, of signatures that three or more nodes of different
+    components have; pairs were verified before."""
     for table in _runs(batches):
         sig, root = table.column("sig").to_numpy(), table.column("root").to_numpy()
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         count = np.diff(np.append(first, len(sig)))
         mixed = np.logical_or.reduceat(root != np.repeat(root[first], count), first) & (count > 2)
         if mixed.any():
-            yield from table.filter(pa.array(np.repeat(mixed, count))).to_batches()
+            pivot = pa.array(np.repeat(table.column("node").to_numpy()[first], count))
+            yield from table.append_column("pivot", pivot).filter(pa.array(np.repeat(mixed, count))).to_batches()
 
 
 def _pairs(percent: int, every: bool):
@@ -330,8 +334,9 @@ def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     links = _links(pairs, about, members, docs, percent)
     roots = written(components(links), "roots")
     rooted = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("sig").sortWithinPartitions("sig", "node")
-    mixed = rooted.select("sig", "node", "root").mapInArrow(_mixed, "sig long, node long, root long")
-    laid = mixed.join(about, "node").repartition("sig").sortWithinPartitions("sig", "node")
+    mixed = rooted.select("sig", "node", "root").mapInArrow(_mixed, "sig long, node long, root long, pivot long")
+    # groups of one cluster mostly share their pivot: dealt by it, over some lanes, a pair is told a few times, not once a signature
+    laid = mixed.join(about, "node").withColumn("lane", F.pmod("sig", F.lit(LANES))).repartition("pivot", "lane").sortWithinPartitions("sig", "node")
     rest = written(laid.mapInArrow(_pairs(percent, True), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     links = links.unionAll(_links(rest, about, members, docs, percent))
     dropped(groups, roots, about, pairs, rest)
