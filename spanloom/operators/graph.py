@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hop_weight
-from .lineage import written
+from .lineage import counted, written
 
 DEPTH = 64
 FORWARD = ("RENDERS", "FETCHES", "HANDLES", "ENTRY", "CALLS", "PUBLISHES")
@@ -26,25 +26,25 @@ def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFr
     Every round joins the new pairs with the edges, drops pairs already seen and writes what is new.
     """
     steps = edges.select("src", "dst").distinct()
-    new = written(starts.select("start").distinct().join(steps, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "reach")
+    new, n = counted(starts.select("start").distinct().join(steps, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "reach")
     seen = new
     for _ in range(rounds):
-        if new.isEmpty():
+        if not n:
             break
-        new = written(new.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"), "reach")
+        new, n = counted(new.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"), "reach")
         seen = seen.unionAll(new)
     return seen
 
 
 def reachable_doubling(edges: DataFrame) -> DataFrame:
     """``start, node`` of all pairs by path doubling: the number of rounds is logarithmic in the longest path."""
-    pairs = written(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "reach")
+    pairs, n = counted(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "reach")
     while True:
         more = pairs.join(pairs.select(F.col("start").alias("node"), F.col("node").alias("to")), "node").select("start", F.col("to").alias("node"))
-        grown = written(pairs.unionAll(more).distinct(), "reach")
-        if grown.count() == pairs.count():
+        grown, m = counted(pairs.unionAll(more).distinct(), "reach")
+        if m == n:
             return grown
-        pairs = grown
+        pairs, n = grown, m
 
 
 def steps_of(edges: DataFrame) -> DataFrame:
@@ -106,8 +106,8 @@ def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> D
     links = written(steps.select("src", "dst").distinct().join(open_nodes, F.col("dst") == F.col("open"), "left_semi"), "links")
     for _ in range(DEPTH):
         nxt = new.join(links, F.col("node") == F.col("src")).select("trigger_id", F.col("dst").alias("node")).distinct()
-        new = written(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow")
-        if new.isEmpty():
+        new, n = counted(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow")
+        if not n:
             break
         seen = seen.unionAll(new)
     return seen

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+    """The frame, written and read again, and its number of rows, observed while writing: no second job."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Broadcast hint only after its rows were counted (up to the bound); else the frame is shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
