@@ -18,19 +18,27 @@ REVERSED = ("SUBSCRIBES", "DEFINED_IN")
 ANCHORS = ("Screen", "ExtensionContext", "Command")
 #: With at most so many steps, adjacency is broadcast and every trigger traversed where it lies.
 BROADCAST_STEPS = 200_000
+#: Steps are composed with themselves while there are at most so many.
+SQUARED_STEPS = 100_000
 
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
     """``start, node``: what each start (``start``) reaches by one edge or more; itself only on a cycle.
 
-    Every round joins the new pairs with the edges, drops pairs already seen and writes what is new.
+    Every round joins the new pairs with the steps, drops pairs already seen and writes what is new.  From the
+    fourth round on, as long as they are few, the steps are composed with themselves, so that long chains
+    take a logarithmic number of rounds; a fixed point under more steps is one under the edges.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps, m = counted(edges.select("src", "dst").distinct(), "steps")
     new, n = counted(starts.select("start").distinct().join(steps, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "reach")
     seen = new
-    for _ in range(rounds):
+    for k in range(rounds):
         if not n:
             break
+        if k >= 3 and m <= SQUARED_STEPS:
+            ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
+            steps, m = counted(steps.unionAll(steps.join(ahead, "dst").select("src", F.col("to").alias("dst"))).distinct(), "steps")
+            new = seen
         new, n = counted(new.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"), "reach")
         seen = seen.unionAll(new)
     return seen
