@@ -35,11 +35,11 @@ SAMPLE = 12_000
 WIDTH = 1 << 20
 #: Word beginnings, in bytes, that are features beside the words: stems show a kind of word in all its forms.
 STEMS = (4, 5, 6)
-KEEP = 0.5
-STEPS = 150
+KEEP = 0.4
+STEPS = 200
 RIDGE = 2e-4
 LEAST_COUNT = 6
-SCREEN = 4.0
+SCREEN = 8.0
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()"]] = True
 _UPPER = np.zeros(256, dtype=bool)
