@@ -39,7 +39,8 @@ KEEP = 0.4
 STEPS = 200
 RIDGE = 2e-4
 LEAST_COUNT = 6
-SCREEN = 8.0
+#: A feature is used from this score on; with many rows, from this correlation on.
+SCREEN, STRENGTH = 5.0, 0.075
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()"]] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -124,7 +125,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         seen = np.bincount(flat, weights=y[owner], minlength=WIDTH)
         spread = np.sqrt(np.maximum(count * rate * (1 - rate) * (1 - count / len(grades)), 1e-9))
         strongest = np.maximum(strongest, np.abs(seen - count * rate) / np.maximum(spread, 0.5))
-    chosen = np.flatnonzero((strongest >= SCREEN) & (count >= min(LEAST_COUNT, max(1, len(grades) // 20))))
+    chosen = np.flatnonzero((strongest >= max(SCREEN, STRENGTH * np.sqrt(len(grades)))) & (count >= min(LEAST_COUNT, max(1, len(grades) // 20))))
     place = np.full(WIDTH, -1)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
