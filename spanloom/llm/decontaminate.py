@@ -23,6 +23,8 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import written
+
 N = 13
 SET_SIZE = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,4 +107,6 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that are contaminated; all columns as they were."""
     columns = documents.columns
     plain = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("text", F.col("row.text"))
-    return _judged(plain, benchmark).where(~F.col("contaminated")).select("row.*")
+    # written first: a filter on the verdict would be pushed below it and repeat the scan inside every lambda
+    judged = written(_judged(plain, benchmark).select("row", "contaminated"), "judged")
+    return judged.where("not contaminated").select("row.*")
