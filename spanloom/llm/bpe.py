@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRIE_NODES = 1_000_000
+TRIE_NODES = 250_000
 LONG = 200
 #: Texts of these characters only are split by WORD, which equals the file's byte-level pattern on them: they
 #: leave out code points that Unicode versions or libraries class differently, and number signs that re takes
