@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .hashing import LETTERS, PLACE, Block, U, blocks, mix
 from .workspace import small, written
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 WIDTH = 1 << 20
 #: Word beginnings, in bytes, that are features beside the words: stems show a kind of word in all its forms.
 STEMS = (4, 5, 6)
@@ -115,7 +115,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     if not len(grades):
         return weights, np.array([0.0, 0.0])
     flat = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     above = np.stack([grades > 0, grades > 1]).astype(float)
     # screening: only features whose presence is associated with a boundary between grades, by a score test
     count = np.bincount(flat, minlength=WIDTH).astype(float)
@@ -126,7 +126,7 @@ def fit(grades: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.nda
         spread = np.sqrt(np.maximum(count * rate * (1 - rate) * (1 - count / len(grades)), 1e-9))
         strongest = np.maximum(strongest, np.abs(seen - count * rate) / np.maximum(spread, 0.5))
     chosen = np.flatnonzero((strongest >= max(SCREEN, STRENGTH * np.sqrt(len(grades)))) & (count >= min(LEAST_COUNT, max(1, len(grades) // 20))))
-    place = np.full(WIDTH, -1)
+    place = np.full(WIDTH, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
     keep = place[flat] >= 0
     flat, owner, width = place[flat[keep]], owner[keep], len(chosen)
