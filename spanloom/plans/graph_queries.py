@@ -570,9 +570,9 @@ def _(s):
     return resolve.worst_claims(line.where("l_quantity > 10"), line.select("path", "line").distinct())
 
 
-@query("op109_proven_constants", "with k as (select p_brand, p_type, case when count(distinct p_size) = 1 then cast(min(p_size) as varchar) end as value from part group by 1, 2) select l_orderkey * 10 + l_linenumber as use, k.value from lineitem l left join (select p_partkey, p_brand, p_type from part) i on i.p_partkey = l_partkey left join k on k.p_brand = i.p_brand and k.p_type = i.p_type where l_linenumber = 2")
+@query("op109_proven_constants", "with k as (select p_brand, p_type, case when count(distinct p_size) = 1 then cast(min(p_size) as varchar) end as value from part group by 1, 2) select l_orderkey * 100000 + l_partkey as use, k.value from lineitem l left join (select p_partkey, p_brand, p_type from part) i on i.p_partkey = l_partkey left join k on k.p_brand = i.p_brand and k.p_type = i.p_type where l_linenumber = 2")
 def _(s):
-    uses = s.table("lineitem").where("l_linenumber = 2").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use"), F.lit("f").alias("file"), F.col("l_partkey").cast("string").alias("name"), F.lit("m").alias("member"))
+    uses = s.table("lineitem").where("l_linenumber = 2").select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("use"), F.lit("f").alias("file"), F.col("l_partkey").cast("string").alias("name"), F.lit("m").alias("member"))
     part = s.table("part")
     imports = part.select(F.lit("f").alias("file"), F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("source"), F.col("p_type").alias("object"))
     constants = part.select(F.col("p_brand").alias("file"), F.col("p_type").alias("object"), F.lit("m").alias("member"), F.col("p_size").cast("string").alias("value"))
