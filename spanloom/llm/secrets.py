@@ -3,16 +3,18 @@
 Rules find assignments of passwords and tokens, access keys and long hexadecimal runs.  The method adds spans
 of kind ``random``: runs of 20 or more token characters, bounded by no letter or digit, that look drawn at
 random from the alphabet of their encoding.  The encoding (decimal, hex, base32, base36, base64) is the
-narrowest alphabet that holds all characters.  Three tests each reject one way of not being random:
-
-* chi-squared uniformity: the count of equal pairs of symbols against that of written language in the same
-  alphabet, whose excess over uniform grows with the length;
-* runs: the number of changes between symbol classes (digit, lower, upper, other) against the few changes of
-  words and identifiers;
-* serial correlation of neighbouring symbols' places in the alphabet against counting or keyboard order.
-
-A candidate is random only if all three nulls are rejected, so its p-value is the largest of the three
-(intersection-union test).  Candidates are compared in length bands; in each band a Benjamini-Hochberg
+narrowest alphabet that holds all characters.  The nulls are written language and identifiers, and repeated or
+counted symbols; their tests are likelihood ratios of the alphabet's uniform draws against the null, since 1 / ratio
+bounds the p-value under the null (Markov) at every length, and factors combine by multiplying:
+
+* chi-squared, aware of bigrams: each letter after a letter against the frequencies of written pairs (PAIRS);
+* runs: each change between symbol classes (digit, lower, upper, other) against the few changes of words and
+  identifiers, a Markov chain (CHANGES); runs of digits, which have none, against equal and counting digits;
+* serial correlation: symbols equal to the one 1 to LAGS places before, or one step from their neighbour.
+
+The first two are factors of one ratio against language; each serial order is a null of its own.  A candidate is
+random only if all nulls are rejected, so its p-value is the largest, times the ENCODINGS the alphabet was chosen from.
+Candidates are compared in length bands; in each band a Benjamini-Hochberg
 threshold for a false discovery rate of FDR is found from a histogram of -log10 p with a fixed number of bins,
 counted over all candidates of the input, so nothing is sorted in one place and the driver receives at most
 BANDS x BINS numbers.  Short strings need a stronger p, as their band holds more written words.
@@ -23,6 +25,8 @@ spans that overlap a rule's span are not added.  Repeated rows count each as a c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +42,46 @@ FDR = 0.01
 BANDS = (20, 24, 32, 40, 64, 128)
 BINS = 400
 BIN_WIDTH = 0.05
-#: Fisher's z of the least correlation (0.6) that counts as order.
-ORDERED = 0.6931
+#: -8 log10 of the frequency of a letter (column) after a letter (row), as a letter from a; counted in English source
+#: code and in English, German, French and Spanish prose.
+PAIRS = """
+opkkouptjtsklhqptiiiipttsx
+lvpsdxwwnkxgtugsxopulxxxkv
+mxswlvxeexnmswhvxqskqwxxvx
+kqspduwqiwxqwqfwxpnomwswtx
+jqmlmorskutjogoprgiknrsoso
+iqqqkkrrfxskssfpwinlksuxss
+fprvdwpnlysntlorynjmmqsyxr
+gnpwdxqmkyrntnkqvomkpqqxwr
+nqkqhlpvruvmmfiqsnjiuqwsxs
+byvxgxyxtyuwxylsyusxmyxywy
+nwtpbuqwlxwlvpqqvrlupwmyww
+htrpejvxivwhsuksvtmnnwwxkx
+inwqdwxwhxwroujjyuotpxxxux
+jolihsipmtqnppjqqnlgopsxus
+oonlqlrxkttpmfqnshimhsqvxw
+evrriiwtmyukuvilwipjnruxny
+xyxyyxyyxxyvxvyxxvuxayxxyy
+hooqeumpkuqpoljrujlkoqsxps
+lqipfvpkkqtoosmoqnlflvtxqx
+jrqtgtufhxuqsskrvjmnmtsxpm
+nppteprtnxulmgnnrjmlurwhxu
+hxxydwxyeyxxsvjvywwxxwxxxy
+huupjuxdgxxpxnkwyjouwvtvyx
+iuhvhrxukyxmmxkjnlrfxowqtw
+nopqirxmkyynokkgwohgtumytu
+lnmphyoqmrpnnuoqponmdqxywp
+"""
+#: Of the next symbol's class (digit, lower, upper, other) after each class, in words and identifiers.
+CHANGES = ((0.80, 0.08, 0.05, 0.07), (0.04, 0.80, 0.06, 0.10), (0.04, 0.50, 0.40, 0.06), (0.10, 0.60, 0.20, 0.10))
+#: Of a digit after a digit: equal, one more or less, each other; of a symbol that is neither letter nor digit: equal, other.
+SAME_DIGIT, NEXT_DIGIT, OTHER_DIGIT, SAME_SIGN, OTHER_SIGN = 0.55, 0.15, 0.15 / 7, 0.8, 0.05
+#: Places looked back for repetition, and the share of symbols that keep to it.
+LAGS = 6
+KEPT = 0.9
+#: Alphabets and their sizes, narrowest first; what fits none has 64 symbols.
+ALPHABETS = (("[0-9]", 10), ("[0-9a-f]", 16), ("[0-9A-F]", 16), ("[a-z]", 26), ("[A-Z]", 26), ("[A-Z2-7]", 32), ("[a-z2-7]", 32), ("[0-9a-z]", 36), ("[0-9A-Z]", 36), ("[A-Za-z]", 52), ("[0-9A-Za-z]", 62))
+ENCODINGS = len(ALPHABETS) + 1
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -63,37 +105,44 @@ def _long_enough(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 1)) >= 6
 
 
-def _tail(z: Column) -> Column:
-    """Upper tail of the normal law, as -log10; an asymptotic form far out keeps it finite."""
-    x = F.greatest(z, F.lit(0.0))
-    t = 1 / (1 + 0.2316419 * x)
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.when(z <= 0, F.lit(0.0)).otherwise(x * x / 2 / 2.302585092994046 + 0.3990899 - F.log10(series))
-
-
 def _battery(token: Column) -> Column:
-    """-log10 of the p-value that the token is not random."""
-    n = F.length(token).cast("double")
-    size = F.when(token.rlike("^[0-9]+$"), 10).when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+$"), 32).when(token.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), 36).otherwise(64).cast("double")
-    symbols = F.filter(F.split(token, ""), lambda c: c != "")
-    zero = F.struct(F.lit("").alias("was"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares"))
-    squares = F.aggregate(F.array_sort(symbols), zero, lambda a, c: F.struct(c.alias("was"), F.when(c == a["was"], a["run"] + 1).otherwise(1.0).alias("run"), (a["squares"] + F.when(c == a["was"], 2 * a["run"] + 1).otherwise(1.0)).alias("squares")), lambda a: a["squares"])
-    chi = size * squares / n - n
-    excess = n * 1.4 * size / 32  # what language adds, with its symbols' share of equal pairs
-    uniform = (size - 1 + excess - chi) / F.sqrt(2 * (size - 1) + 4 * excess)
-    kind = lambda c: F.when(c.between("0", "9"), 0).when(c.between("a", "z"), 1).when(c.between("A", "Z"), 2).otherwise(3)
-    pairs = F.arrays_zip(F.slice(symbols, F.lit(1), F.length(token) - 1).alias("x"), F.slice(symbols, F.lit(2), F.length(token) - 1).alias("y"))
-    changes = F.size(F.filter(pairs, lambda p: kind(p["x"]) != kind(p["y"]))).cast("double")
-    rate = F.when(size == 16, 0.12).otherwise(0.15)
-    runs = (changes - rate * (n - 1)) / F.sqrt(rate * (1 - rate) * (n - 1))
-    place = lambda c: F.ascii(c).cast("double")
-    sums = F.aggregate(pairs, F.array(*[F.lit(0.0)] * 5), lambda a, p: F.array(a[0] + place(p["x"]), a[1] + place(p["y"]), a[2] + place(p["x"]) * place(p["x"]), a[3] + place(p["y"]) * place(p["y"]), a[4] + place(p["x"]) * place(p["y"])))
-    m = n - 1
-    spread = (m * sums[2] - sums[0] * sums[0]) * (m * sums[3] - sums[1] * sums[1])
-    r = F.when(spread > 0, F.abs((m * sums[4] - sums[0] * sums[1]) / F.sqrt(spread))).otherwise(1.0)
-    r = F.least(r, F.lit(0.9999))
-    serial = (ORDERED - 0.5 * F.log((1 + r) / (1 - r))) * F.sqrt(n - 3)
-    return F.least(_tail(uniform), _tail(runs), _tail(serial))
+    """-log10 of the p-value that the token is written, repeated or counted."""
+    size = F.lit(64.0)
+    for alphabet, n in reversed(ALPHABETS):
+        size = F.when(token.rlike(f"^{alphabet}+$"), float(n)).otherwise(size)
+    codes = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), F.ascii)
+    return F.transform(F.array(F.struct(codes.alias("codes"), size.alias("size"))), lambda t: _score(t["codes"], t["size"]))[0]
+
+
+def _score(codes: Column, size: Column) -> Column:
+    n = F.size(codes)
+    kind = lambda c: F.when(c.between(48, 57), 0).when(c.between(97, 122), 1).when(c.between(65, 90), 2).otherwise(3)
+    letter = lambda c: c.bitwiseOR(32) - 97
+    table = PAIRS.replace("\n", "")
+    changes = F.lit("".join(chr(97 + round(-8 * math.log10(p))) for row in CHANGES for p in row))
+    level = lambda text, at: (F.ascii(F.substring(text, at + 1, F.lit(1))) - 97) / -8.0
+    log = math.log10
+
+    def written_log(x, y):
+        """log10 of the null's probability of y after x."""
+        a, b = kind(x), kind(y)
+        far = F.pmod(y - x, F.lit(10))
+        digit = F.when(far == 0, log(SAME_DIGIT)).when(far.isin(1, 9), log(NEXT_DIGIT)).otherwise(log(OTHER_DIGIT))
+        sign = F.when(x == y, log(SAME_SIGN)).otherwise(log(OTHER_SIGN))
+        both = a.isin(1, 2) & b.isin(1, 2)
+        symbol = F.when(both, level(F.lit(table), letter(x) * 26 + letter(y))).when(b.isin(1, 2), -log(26)).when(b == 0, F.when(a == 0, digit).otherwise(-1.0)).otherwise(F.when(a == 3, sign).otherwise(-log(5)))
+        return level(changes, a * 4 + b) + symbol
+
+    ahead = lambda k: F.arrays_zip(F.slice(codes, F.lit(1), n - k).alias("x"), F.slice(codes, F.lit(k + 1), n - k).alias("y"))
+    language = F.aggregate(ahead(1), F.lit(0.0), lambda a, p: a - F.log10(size) - written_log(p["x"], p["y"]))
+
+    def order(k, fits):
+        kept = F.size(F.filter(ahead(k), fits))
+        return (n - k - kept) * -log(1 - KEPT) - kept * F.log10(KEPT * size + (1 - KEPT))
+
+    serial = [order(k, lambda p: p["x"] == p["y"]) for k in range(1, LAGS + 1)]
+    serial += [order(1, lambda p: p["y"] - p["x"] == 1), order(1, lambda p: p["x"] - p["y"] == 1)]
+    return F.greatest(F.least(language, *serial) - log(ENCODINGS), F.lit(0.0))
 
 
 def _band(length: Column) -> Column:

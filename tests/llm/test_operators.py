@@ -231,6 +231,48 @@ def test_secret_randomness(spark):
     assert sum(got[k] for k in range(60, len(rows))) == 0
 
 
+@pytest.mark.parametrize("share", [0.01, 0.001])
+def test_secret_recall_of_rare_secrets(spark, share):
+    rng = random.Random(8)
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [digits, digits + "abcdef", digits + "ABCDEF", lower, upper, upper + "234567", digits + lower, digits + upper, digits + lower + upper, digits + lower + upper + "+/"]
+    parts = "request handler config value number parse token table index user session default column option result count window stream error message".split()
+    styles = ["_".join, "/".join, "".join, lambda w: "".join(x.title() for x in w), lambda w: "_".join(w).upper()]
+
+    def written(n):
+        text = ""
+        while len(text) < n:
+            text = rng.choice(styles)([rng.choice(parts) for _ in range(9)])
+        return text[:n].rstrip("_/") + "e" * (n - len(text[:n].rstrip("_/")))
+
+    tokens = []
+    for n in (20, 24, 32, 40, 44):  # each secret is one in 1 / share candidates of its length
+        drawn = [(k, "".join(rng.choice(a) for _ in range(n))) for k, a in enumerate(alphabets) for _ in range(4)]
+        tokens += [(n, *x) for x in drawn] + [(n, -1, written(n)) for _ in range(round(len(drawn) / share) - len(drawn))]
+    rng.shuffle(tokens)
+    rows, size = [], 500
+    for at in range(0, len(tokens), size):
+        rows.append((at, " ".join(t for _, _, t in tokens[at : at + size])))
+    found = {r.doc_id: {tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x} for r in secrets.secret_digests(frame(spark, rows)).collect()}
+    hits, false = {}, 0
+    for at, _ in rows:
+        begin = 0
+        for n, k, t in tokens[at : at + size]:
+            hit = (begin, begin + n) in found[at]
+            begin += n + 1
+            false += hit and k < 0
+            if k >= 0:
+                hits.setdefault((n, k), []).append(hit)
+    assert false <= 0.05 * sum(map(len, hits.values()))
+    # a case is an encoding at a length; decimals of 20 digits carry the least evidence
+    assert all(sum(h) >= (2 if (n, k) == (20, 0) else 3) for (n, k), h in hits.items()), hits
+
+
+def test_secret_order_is_not_random(spark):
+    ordered = ["12345678901234567890", "20240101120000000000", "xkqzxkqzxkqzxkqzxkqz", "98765432109876543210", "ACDEFGHIJKLMNOPQRSTUVWXYZ"]
+    assert all(r.n_random == 0 for r in secrets.secret_digests(frame(spark, list(enumerate(ordered)))).collect())
+
+
 def test_secrets_masked(spark):
     rows = [(1, "a password=abcdefg b"), (2, None), (3, "clean"), (4, "token=" + "0a" * 20)]
     out = {r.doc_id: r for r in secrets.masked(frame(spark, rows)).collect()}
