@@ -1,5 +1,8 @@
 """Language of words and documents by a linear-chain conditional random field (operator 6).
 
+A run of letters longer than PIECE is cut into consecutive pieces, each a word of the chain; neighbours share two
+characters, so that every trigram of the run occurs in one piece.  Text without spaces is so labelled along its length.
+
 Each word of letters has features: itself (lexicon), its prefixes and suffixes of 1 to 3 characters (affixes)
 and its character trigrams (n-grams), all hashed; the score of a language for a word is the sum of their
 weights, and learned transitions score neighbouring labels.  Forward-backward gives each word the posterior of
@@ -37,15 +40,30 @@ LENGTH = 30
 WIDTH = 1 << 16
 STEPS = 60
 CACHE = 400_000
+#: Trigrams of a longer run of letters that make one word.
+PIECE = 32
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; of a long one its pieces, marked by ``-``, with ``^`` and ``$`` at the run's ends."""
+    found = LETTERS(text)
+    if found and max(map(len, found)) > PIECE:
+        cut = lambda w: [f"-{p[i : i + PIECE + 2]}" for p in [f"^{w}$"] for i in range(0, len(w), PIECE)]
+        found = [x for w in found for x in (cut(w) if len(w) > PIECE else [w])]
+    return found
+
+
 def word_features(word: str) -> list[int]:
     """Hashed features of a word (case is ignored)."""
     w = word.lower()
-    parts = ["w" + w] + ["p" + w[:k] for k in (1, 2, 3)] + ["s" + w[-k:] for k in (1, 2, 3)]
-    padded = f"^{w}$"
-    parts += ["g" + padded[i : i + 3] for i in range(min(len(padded) - 2, 60))]
+    padded = w[1:] if w[0] == "-" else f"^{w}$"
+    parts = ["w" + w]
+    if padded[0] == "^":
+        parts += ["p" + padded[1 : 1 + k].rstrip("$") for k in (1, 2, 3)]
+    if padded[-1] == "$":
+        parts += ["s" + padded[-1 - k : -1].lstrip("^") for k in (1, 2, 3)]
+    parts += ["g" + padded[i : i + 3] for i in range(len(padded) - 2)]
     return [zlib.crc32(p.encode()) % WIDTH for p in dict.fromkeys(parts)]
 
 
@@ -86,7 +104,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> tuple[list[str],
     rng = np.random.default_rng(seed)
     pieces: list[tuple[list[str], int]] = []
     for text, lang in zip(texts, langs, strict=True):
-        words = LETTERS(text)[:WORDS_PER_DOC]
+        words = words_of(text)[:WORDS_PER_DOC]
         at = 0
         while at < len(words):
             n = int(rng.integers(3, LENGTH))
@@ -155,7 +173,7 @@ class Tagger:
 
     def marginals(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(number of the text, posteriors of its words) for texts with words, in bounded groups."""
-        split = [LETTERS(t) if t else [] for t in texts]
+        split = [words_of(t) if t else [] for t in texts]
         self._learn(set().union(*split))
         get = self.place.__getitem__
         order = sorted((i for i in range(len(split)) if split[i]), key=lambda i: -len(split[i]))

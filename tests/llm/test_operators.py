@@ -317,6 +317,25 @@ def test_language_held_out(spark, sf):
     assert {r.lang_pred for r in out if r.doc_id in (-1, -2, -4)} == {"und"}
 
 
+def test_language_of_long_runs():
+    word = "donaudampfschifffahrtsgesellschaft" * 5
+    trigrams = {zlib.crc32(("g" + f"^{word}$"[i : i + 3]).encode()) % crf_language.WIDTH for i in range(len(word))}
+    pieces = crf_language.words_of(f"a {word} b")
+    assert pieces[0] == "a" and pieces[-1] == "b" and trigrams <= set().union(*map(crf_language.word_features, pieces[1:-1]))
+    plain = crf_language.word_features("und")
+    assert len(plain) == 1 + 3 + 3 + 3 and plain[-1] == zlib.crc32(b"gnd$") % crf_language.WIDTH
+
+    rng = random.Random(9)
+    draw = {"aa": lambda: "".join(rng.choice("bcdf") + rng.choice("ae") for _ in range(4)), "bb": lambda: "".join(rng.choice("lmnr") + rng.choice("ou") for _ in range(4))}
+    texts = [" ".join(draw[k]() for _ in range(60)) for k in ("aa", "bb") for _ in range(40)]
+    tagger = crf_language.Tagger(*crf_language.train(texts, ["aa"] * 40 + ["bb"] * 40))
+    run = lambda k, n: "".join(draw[k]() for _ in range(n // 8 + 1))[:n]
+    mixed = run("aa", 60) + run("bb", 4940)
+    assert tagger.predict([mixed, run("aa", 5000)])[0] == ["bb", "aa"]
+    (_, post), = tagger.marginals([mixed])
+    assert post[:1].argmax(1).tolist() == [0] and (post[3:].argmax(1) == 1).all()
+
+
 def test_forward_backward_brute_force():
     from itertools import product
 
