@@ -10,8 +10,9 @@ its label, so a text that switches language is labelled part by part; the docume
 largest mean posterior, which is the score.
 
 Training (a bounded, documented sample): from the rows whose crc32(doc_id as text) mod 4 is not 2 and whose lang
-is not null, the SAMPLE with the smallest hashes of doc_id; only words from their texts are used, cut into
-stretches of some words which are joined at random, with their documents' labels, into code-switched sequences.
+is not null, the SAMPLE with the smallest hashes of doc_id.  The bound is one on rows: their whole texts are used,
+all words, cut into stretches of some words which are joined at random, with their documents' labels, into
+code-switched sequences.  The recursion takes BLOCK sequences at a time.
 The likelihood's gradient (feature expectations from forward-backward) is followed by adaptive steps on the driver.
 
 Prediction runs over whole texts; the recursion of all texts of a batch advances together, longest first.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +37,10 @@ from pyspark.sql import types as T
 from .workspace import written
 
 SAMPLE = 2_000
-WORDS_PER_DOC = 150
 LENGTH = 30
 WIDTH = 1 << 16
 STEPS = 60
+BLOCK = 4_000
 CACHE = 400_000
 #: Trigrams of a longer run of letters that make one word.
 PIECE = 32
@@ -104,39 +106,44 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> tuple[list[str],
     rng = np.random.default_rng(seed)
     pieces: list[tuple[list[str], int]] = []
     for text, lang in zip(texts, langs, strict=True):
-        words = words_of(text)[:WORDS_PER_DOC]
+        words = words_of(text)
         at = 0
         while at < len(words):
             n = int(rng.integers(3, LENGTH))
             pieces.append((words[at : at + n], labels.index(lang)))
             at += n
     order = rng.permutation(len(pieces))
-    words, gold = [], []
+    known: dict[str, int] = {}
+    numbers, gold = array("i"), array("i")
     for i in order:
-        words += pieces[i][0]
-        gold += [pieces[i][1]] * len(pieces[i][0])
-    count = len(words) // LENGTH
+        numbers.extend(known.setdefault(w, len(known)) for w in pieces[i][0])
+        gold.extend([pieces[i][1]] * len(pieces[i][0]))
+    count = -(-len(numbers) // LENGTH)
     k = len(labels)
     weights, moves = np.zeros((WIDTH, k)), np.zeros((k, k))
     if not count:
         return labels, weights, moves
-    words, gold = words[: count * LENGTH], np.array(gold[: count * LENGTH]).reshape(count, LENGTH).T
-    known: dict[str, int] = {}
-    index = np.array([known.setdefault(w, len(known)) for w in words]).reshape(count, LENGTH).T
+    # the last sequence may be shorter, and is then the last of its block
+    index, gold = (np.pad(np.frombuffer(x, dtype=np.int32), (0, count * LENGTH - len(numbers))).reshape(count, LENGTH).T for x in (numbers, gold))
+    length = np.full(count, LENGTH)
+    length[-1] -= count * LENGTH - len(numbers)
+    real = np.arange(LENGTH)[:, None] < length
     lists = [word_features(w) for w in known]
-    flat, of_word = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    truth = np.zeros((LENGTH, count, k))
-    np.put_along_axis(truth, gold[:, :, None], 1.0, 2)
+    flat, of_word = np.concatenate(lists).astype(np.int32), np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    true_words = np.zeros((len(lists), k))
+    np.add.at(true_words, (index[real], gold[real]), 1)
     true_pairs = np.zeros((k, k))
-    np.add.at(true_pairs, (gold[:-1].ravel(), gold[1:].ravel()), 1)
-    length = np.full(count, LENGTH)
+    np.add.at(true_pairs, (gold[:-1][real[1:]], gold[1:][real[1:]]), 1)
     m = v = np.zeros_like(weights)
     mm = vv = np.zeros_like(moves)
     for step in range(1, STEPS + 1):
         score = np.stack([np.bincount(of_word, weights=weights[flat, j], minlength=len(lists)) for j in range(k)], axis=1)
-        post, pairs = forward_backward(score[index], moves, length)
-        rest = (post - truth).reshape(-1, k)
-        by_word = np.stack([np.bincount(index.ravel(), weights=rest[:, j], minlength=len(lists)) for j in range(k)], axis=1)
+        by_word, pairs = -true_words, np.zeros((k, k))
+        for at in range(0, count, BLOCK):
+            part = slice(at, at + BLOCK)
+            post, found = forward_backward(score[index[:, part]], moves, length[part])
+            inside, pairs = index[:, part][real[:, part]], pairs + found
+            by_word += np.stack([np.bincount(inside, weights=post[real[:, part], j], minlength=len(lists)) for j in range(k)], axis=1)
         slope = np.stack([np.bincount(flat, weights=by_word[of_word, j], minlength=WIDTH) for j in range(k)], axis=1) / count + 1e-4 * weights
         mslope = (pairs - true_pairs) / count
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
@@ -230,8 +237,7 @@ def model(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Train on the sample of rows that are not held out."""
     pool = documents.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
     ids = written(pool.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample")
-    cut = F.substring("text", 1, 20 * WORDS_PER_DOC)  # training only; predictions read whole texts
-    rows = pool.join(F.broadcast(ids), "doc_id").select("lang", cut.alias("text")).orderBy("lang", "text").collect()
+    rows = pool.join(F.broadcast(ids), "doc_id").select("lang", "text").orderBy("lang", "text").collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 

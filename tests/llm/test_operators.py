@@ -317,6 +317,18 @@ def test_language_held_out(spark, sf):
     assert {r.lang_pred for r in out if r.doc_id in (-1, -2, -4)} == {"und"}
 
 
+def test_language_trains_on_whole_texts(spark):
+    rng = random.Random(10)
+    word = lambda a, b: "".join(rng.choice(a) + rng.choice(b) for _ in range(4))
+    # all texts begin alike; what tells the languages apart comes after 600 words and 4,000 characters
+    late = {"aa": lambda: word("bcdf", "ae"), "bb": lambda: word("lmnr", "ou")}
+    begin = lambda: " ".join(word("gkst", "iy") for _ in range(600))
+    docs = [(k, f"{begin()} {' '.join(late[lang]() for _ in range(300))}", lang, "s", 0) for k, lang in enumerate(["aa", "bb"] * 12)]
+    docs += [(100 + k, " ".join(late[lang]() for _ in range(20)), None, "s", 0) for k, lang in enumerate(["aa", "bb"] * 4)]
+    got = {r.doc_id: r for r in crf_language.languages(spark.createDataFrame(docs, DOCS)).collect()}
+    assert [got[100 + k].lang_pred for k in range(8)] == ["aa", "bb"] * 4 and min(got[100 + k].score for k in range(8)) > 0.9
+
+
 def test_language_of_long_runs():
     word = "donaudampfschifffahrtsgesellschaft" * 5
     trigrams = {zlib.crc32(("g" + f"^{word}$"[i : i + 3]).encode()) % crf_language.WIDTH for i in range(len(word))}
