@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion (operator 8; DataFrame functions only).
 
 Every assistant turn becomes one training example: all turns before it are context, and only its text is
-trainable.  Examples of a conversation share their beginnings, so the output holds each piece of formatted text
-once: example k is the concatenation of pieces 1 to k (`pieces` gives the rows, `full_examples` the
-concatenations).  Turns after the last assistant turn form a last piece without a target.  The output so grows
-with the text and not with the square of a conversation's turns.
+trainable.  The examples are rows of their own with their contexts written out (`expanded`; `full_examples` those
+with a target), so the output grows with the square of a conversation's turns; the query's results are read
+back from these rows.  `pieces` gives the same examples without repetition: example k is the concatenation of
+pieces 1 to k.  Turns after the last assistant turn form a last piece without a target.
 
 Template: ``<|turn|>role<|text|>text<|end|>``, one after the other.  In roles and texts ``<|`` is written
 ``<\\|`` and any ``<\\..\\|`` gets one backslash more, so markers never occur inside a text and reading back
@@ -59,20 +59,32 @@ def pieces(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", F.col("p.text").alias("piece"), "p.loss_start", "p.loss_end", "p.target")
 
 
+def expanded(conversations: DataFrame) -> DataFrame:
+    """One row per assistant turn, its whole context before it, and one without target (null loss bounds) for turns after
+    the last assistant turn: ``conv_id, example, text, loss_start, loss_end, target``.  Each row is a text of its own."""
+    rows = formatted(conversations).select("conv_id", F.posexplode("pieces").alias("example", "p"), "pieces")
+    before = F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("example")), lambda p: p["text"]), "")
+    return rows.select("conv_id", "example", F.concat(before, "p.text").alias("text"), (F.length(before) + F.col("p.loss_start")).alias("loss_start"), (F.length(before) + F.col("p.loss_end")).alias("loss_end"), F.col("p.target").alias("target"))
+
+
 def full_examples(conversations: DataFrame) -> DataFrame:
     """One row per assistant turn: ``conv_id, example, text, loss_start, loss_end``, the whole context written out."""
-    rows = formatted(conversations).select("conv_id", F.posexplode("pieces").alias("example", "p"), "pieces").where("p.target")
-    before = F.array_join(F.transform(F.slice("pieces", F.lit(1), F.col("example")), lambda p: p["text"]), "")
-    return rows.select("conv_id", "example", F.concat(before, "p.text").alias("text"), (F.length(before) + F.col("p.loss_start")).alias("loss_start"), (F.length(before) + F.col("p.loss_end")).alias("loss_end"))
+    return expanded(conversations).where("target").drop("target")
 
 
 def chat_digests(conversations: DataFrame) -> DataFrame:
-    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read back from the pieces."""
-    rows = formatted(conversations)
-    whole = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
-    parts = F.filter(F.split(whole, r"<\|end\|>", -1), lambda x: x != "")
+    """``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``, read back from the examples.
+
+    Each example gives its masked reply; the turns, and the length of the conversation's text, are those of the last.
+    The examples stay where their conversation was gathered: they are not shuffled.
+    """
+    examples = expanded(conversations)
+    reply = F.when(F.col("target"), unescaped(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))))
+    rows = examples.select("conv_id", "example", "text", reply.alias("reply"))
+    rows = rows.groupBy("conv_id").agg(F.max_by("text", "example").alias("whole"), F.array_sort(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("example", "reply")))).alias("replies"))
+    parts = F.filter(F.split("whole", r"<\|end\|>", -1), lambda x: x != "")
     cut = lambda x: F.split(F.substring(x, len(TURN) + 1, 1 << 30), r"<\|text\|>", 2)
     told = F.array_join(F.transform(parts, lambda x: F.concat(unescaped(cut(x)[0]), F.lit("\n"), unescaped(cut(x)[1]), F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("pieces", lambda p: p["target"]), lambda p: unescaped(F.substring(p["text"], p["loss_start"] + 1, p["loss_end"] - p["loss_start"]))), "")
-    rows = rows.select("conv_id", F.size(parts).cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), loss.alias("loss"), F.length(whole).cast("bigint").alias("formatted_chars"))
+    loss = F.array_join(F.transform("replies", lambda r: r["reply"]), "")
+    rows = rows.select("conv_id", F.size(parts).cast("bigint").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), loss.alias("loss"), F.length("whole").cast("bigint").alias("formatted_chars"))
     return rows.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

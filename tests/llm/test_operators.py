@@ -420,6 +420,24 @@ def test_chat_reads_back(spark):
     assert chat.chat_digests(df.limit(0)).count() == 0
 
 
+def test_chat_digests_come_from_examples(spark, monkeypatch):
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t}") for t in range(8)] + [(2, 0, "assistant", "a"), (2, 1, "user", "tail"), (3, 0, "user", "only"), (None, 0, "user", "q"), (None, 1, "assistant", "r")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = chat.expanded(df).collect()
+    by = {(r.conv_id, r.example): r for r in examples}
+    assert len(examples) == 4 + 2 + 1 + 1
+    for k in range(4):
+        r = by[1, k]
+        assert r.text == "".join(f"{chat.TURN}{('user', 'assistant')[t % 2]}{chat.TEXT}turn {t}{chat.END}" for t in range(2 * k + 2))
+        assert r.target and r.text[r.loss_start : r.loss_end] == f"turn {2 * k + 1}"
+    assert by[2, 1].text.endswith("tail" + chat.END) and by[2, 1].loss_start is None and not by[2, 1].target and not by[3, 0].target
+    # the registered digests read these rows: without an example's reply its text is missing
+    whole = chat.expanded
+    monkeypatch.setattr(chat, "expanded", lambda c: whole(c).where("conv_id <> 1 or example <> 2"))
+    got = {r.conv_id: r for r in chat.chat_digests(df).collect()}
+    assert got[1].loss_chars == 3 * len("turn 1") and got[1].n_turns == 8
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "é" * 60
     rows = [(1, "http://a/é b", big), (2, "http://b", big), (3, None, big), (4, "http://c", None), (5, "http://c", ""), (6, "x\r\ny", "short"), (7, "u", "short"), (0, "v", "h" * 100), (8, "w", "h" * 100), (9, "w", "h" * 99), (10, "w", "h" * 99), (1, "http://again", big)]
