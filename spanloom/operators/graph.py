@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,28 +21,34 @@ ANCHORS = ("Screen", "ExtensionContext", "Command")
 BROADCAST_STEPS = 200_000
 #: Steps are composed with themselves while there are at most so many.
 SQUARED_STEPS = 100_000
+#: Rounds after which the tables of pairs seen are written as one.
+GATHERED = 16
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
     """``start, node``: what each start (``start``) reaches by one edge or more; itself only on a cycle.
 
     Every round joins the new pairs with the steps, drops pairs already seen and writes what is new.  From the
     fourth round on, as long as they are few, the steps are composed with themselves, so that long chains
-    take a logarithmic number of rounds; a fixed point under more steps is one under the edges.
+    take a logarithmic number of rounds; a fixed point under more steps is one under the edges.  Rounds go on until
+    no pair is new; if only so many `rounds` are allowed and do not suffice, that is an error and no part is returned.
     """
     steps, m = counted(edges.select("src", "dst").distinct(), "steps")
     new, n = counted(starts.select("start").distinct().join(steps, F.col("start") == F.col("src")).select("start", F.col("dst").alias("node")).distinct(), "reach")
     seen = new
-    for k in range(rounds):
+    for k in itertools.count():
         if not n:
-            break
+            return seen
+        if rounds is not None and k >= rounds:
+            raise ValueError(f"nodes are left to reach after {rounds} rounds")
         if k >= 3 and m <= SQUARED_STEPS:
             ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("to"))
             steps, m = counted(steps.unionAll(steps.join(ahead, "dst").select("src", F.col("to").alias("dst"))).distinct(), "steps")
             new = seen
         new, n = counted(new.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct().join(seen, ["start", "node"], "left_anti"), "reach")
         seen = seen.unionAll(new)
-    return seen
+        if k % GATHERED == GATHERED - 1:
+            seen = written(seen, "reach")
 
 
 def reachable_doubling(edges: DataFrame) -> DataFrame:

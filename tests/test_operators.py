@@ -30,6 +30,16 @@ def test_reachable_on_a_cycle(spark):
     assert {tuple(r) for r in graph.reachable_doubling(calls).collect()} == {(x, y) for x in "abc" for y in "abc"}
 
 
+def test_reachability_is_whole_or_an_error(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SQUARED_STEPS", 0)
+    chain = spark.createDataFrame([(str(k), str(k + 1)) for k in range(20)], "src string, dst string")
+    starts = spark.createDataFrame([("0",)], "start string")
+    assert {r.node for r in graph.reachable(chain, starts).collect()} == {str(k) for k in range(1, 21)}
+    with pytest.raises(ValueError):
+        graph.reachable(chain, starts, rounds=5)
+    assert graph.reachable(chain, starts, rounds=20).count() == 20
+
+
 def flow(spark, e, n):
     hops, triggers = graph.trace_set(n, e)
     scores = graph.flow_scores(hops, triggers, n.where("label = 'Gap'").select("id"))
