@@ -78,14 +78,55 @@ def test_jaccard_small_universe(spark):
 
 def test_jaccard_signatures_never_miss():
     rng = np.random.default_rng(1)
-    for _ in range(400):
-        n = int(rng.integers(4, 400))
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    tables = [np.zeros(jaccard_join.TABLE, dtype=np.uint8), rng.integers(0, 256, jaccard_join.TABLE).astype(np.uint8)]
+    for k in range(1200):
+        costs = tables[k % 2]
+        n = int(rng.integers(4, 400 if k % 3 else 12))
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         drop = int(rng.integers(0, max(1, n // 4)))
-        b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]))
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**64, int(rng.integers(0, n // 5 + 1)), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
-            assert set(jaccard_join.signatures(a)) & set(jaccard_join.signatures(b))
+            assert set(jaccard_join.signatures(a, costs)) & set(jaccard_join.signatures(b, costs))
+
+
+def test_jaccard_costs_choose_the_rare_segments():
+    rng = np.random.default_rng(2)
+    common = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    counts = np.ones(jaccard_join.TABLE)
+    counts[jaccard_join._counters(common)] = 1e6
+    costs = jaccard_join.costs_of(counts)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, 200, dtype=np.uint64)])) for _ in range(20)]
+    signs = [set(jaccard_join.signatures(x, costs).tolist()) for x in sets]
+    assert not any(a & b for i, a in enumerate(signs) for b in signs[:i])  # a shared passage makes no candidates
+
+
+def test_jaccard_sets_with_few_filled_segments_go_on():
+    rng = np.random.default_rng(4)
+    few = [np.sort((np.uint64(1) << np.uint64(40)) * rng.integers(0, 9, 1, dtype=np.uint64) + rng.integers(0, 2**39, 9, dtype=np.uint64)) for _ in range(30)]
+    costs = np.zeros(jaccard_join.TABLE, dtype=np.uint8)
+    signs = [set(jaccard_join.signatures(x, costs).tolist()) for x in few]
+    assert not any(a & b for i, a in enumerate(signs) for b in signs[:i])
+
+
+def test_jaccard_large_near_group(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(10_000)}"
+        rows.append((k, " ".join(words)))
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
+
+
+def test_jaccard_other_columns(spark):
+    rows = odd_rows()
+    docs = frame(spark, rows).select("*", *[F.lit("z").alias(c) for c in ("node", "sig", "slice", "_h", "text_key")])
+    got = [tuple(r) for r in jaccard_join.jaccard_classes(docs).collect()]
+    assert sorted(got, key=str) == brute_components(rows)
 
 
 def test_jaccard_empty(spark):
