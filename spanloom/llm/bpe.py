@@ -2,18 +2,18 @@
 
 Method: prefix-sharing trie traversal.  The encoding of a prefix ends in exactly one token t such that the
 encoding of the rest ends in a token that may stand before t; so one last token per prefix describes all
-encodings.  The distinct words of an Arrow batch are inserted into a trie of bytes; going down depth-first, every new node
-gets its last token from the nodes above it, once for all words that share the prefix.  A word's encoding is
-read by stepping back from its node.  Whether token b may stand after token a is decided by undoing merges:
-the pair is kept if no merge across the border would have come first.
+encodings.  The distinct words of some texts are put in the order of their bytes, which is the depth-first order of their
+trie: going from word to word, the traversal returns to the node where they part and goes down the new branch,
+giving each new node its last token from the nodes above it, once for all words that share the prefix.  Only the
+path to the present node is held.  A word's encoding is read by stepping back from its node.  Whether token b may
+stand after token a is decided by undoing merges: the pair is kept if no merge across the border would have come first.
 
 The vocabulary is read from the tokenizers file at run time and its path is a parameter.  Words are found with
 the file's byte-level pattern; texts with characters outside ranges on which all Unicode versions agree are
 split by the tokenizers library itself.  Added tokens in a text become their ids, as the library has it.
 
-Defined results: a null text is the empty text (no ids).  Repeated rows give repeated results.  The trie is
-emptied when it holds TRIE_NODES nodes; a word longer than LONG bytes is walked without it.  Neither changes
-results.
+Defined results: a null text is the empty text (no ids).  Repeated rows give repeated results.  Encodings of words are
+kept between texts, up to KEPT_WORDS words and KEPT_BYTES of them; a word of any length goes the same way.
 """
 
 from __future__ import annotations
@@ -21,15 +21,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRIE_NODES = 250_000
-LONG = 200
+KEPT_WORDS, KEPT_BYTES, KEPT_PAIRS = 120_000, 8 << 20, 400_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 #: Texts of these characters only are split by WORD, which equals the file's byte-level pattern on them: they
 #: leave out code points that Unicode versions or libraries class differently, and number signs that re takes
 #: for letters.
@@ -50,18 +50,19 @@ class TrieBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         names = byte_names()
         raw = spec["model"]["vocab"]
         vocab = {bytes(names[c] for c in token): i for token, i in raw.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.made: dict[int, int] = {i: -1 for i in vocab.values()}
+        self.made: dict[int, int] = dict.fromkeys(vocab.values(), -1)
         for k, (a, b) in enumerate(merges):
             left, right = raw[a], raw[b]
             both = raw[a + b]
-            self.rank[left, right] = k
+            self.rank[left << 32 | right] = k
             if both not in self.parts:
                 self.parts[both], self.made[both] = (left, right), k
         self.bytes = {i: b for b, i in vocab.items()}
@@ -73,65 +74,50 @@ class TrieBpe:
         self.settled = re.compile(SETTLED).fullmatch
         self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes}
         self.ids: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}
-        self.clear()
+        self.held = 0
 
     def _automaton(self, vocab: dict[bytes, int]) -> None:
         """For any text read byte by byte, the longest token that ends there; and each token's next shorter suffix."""
-        self.goto: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.goto: dict[int, int] = {}
+        self.ends, below, byte = [-1], [0], [0]
         for token, i in vocab.items():
             at = 0
             for b in token:
-                to = self.goto[at].get(b)
+                to = self.goto.get(at << 8 | b)
                 if to is None:
-                    to = self.goto[at][b] = len(self.goto)
-                    self.goto.append({})
+                    to = self.goto[at << 8 | b] = len(self.ends)
                     self.ends.append(-1)
+                    below.append(at)
+                    byte.append(b)
                 at = to
             self.ends[at] = i
-        self.fail, self.shorter = [0] * len(self.goto), {}
-        queue = deque([0])
-        while queue:
-            at = queue.popleft()
-            for b, to in self.goto[at].items():
-                queue.append(to)
-                if at:
-                    back = self.fail[at]
-                    while back and b not in self.goto[back]:
-                        back = self.fail[back]
-                    self.fail[to] = self.goto[back].get(b, 0)
-                below = self.ends[self.fail[to]]
-                if self.ends[to] < 0:
-                    self.ends[to] = below
-                else:
-                    self.shorter[self.ends[to]] = below
-
-    def _step(self, state: int, b: int) -> int:
-        goto, fail = self.goto, self.fail
-        while state and b not in goto[state]:
-            state = fail[state]
-        return goto[state].get(b, 0)
-
-    def clear(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.up, self.byte, self.last, self.back, self.state = [0], [0], [0], [0], [0]
-        self.fresh: list[int] = []
-        self.ids.clear()
-        self.raw.clear()
+        depth = [0] * len(self.ends)
+        for at in range(1, len(self.ends)):
+            depth[at] = depth[below[at]] + 1
+        self.fail, self.shorter = [0] * len(self.ends), {}
+        for at in sorted(range(1, len(self.ends)), key=depth.__getitem__):
+            up, b = below[at], byte[at]
+            back = self.fail[up]
+            if up:
+                while back and back << 8 | b not in self.goto:
+                    back = self.fail[back]
+                self.fail[at] = self.goto.get(back << 8 | b, 0)
+            short = self.ends[self.fail[at]]
+            if self.ends[at] < 0:
+                self.ends[at] = short
+            else:
+                self.shorter[self.ends[at]] = short
 
     def may_follow(self, left: int, right: int) -> bool:
         """True if encoding the bytes of both gives just these two tokens."""
-        known = self.follows.get((left, right))
-        if known is not None:
-            return known
         a, b, limit, ok = left, right, 1 << 60, True
         while ok:
             # a merge across the border must not come before those that made the two sides
-            if self.rank.get((a, b), 1 << 60) < limit:
+            if self.rank.get(a << 32 | b, 1 << 60) < limit:
                 ok = False
             elif self.made[a] < 0 and self.made[b] < 0:
                 break
@@ -139,98 +125,57 @@ class TrieBpe:
                 limit, a = self.made[a], self.parts[a][1]
             else:  # a merge of the same rule across the border lies further left and would come first
                 limit, b = self.made[b] + 1, self.parts[b][0]
-        self.follows[left, right] = ok
+        if len(self.follows) >= KEPT_PAIRS:
+            self.follows.clear()
+        self.follows[left << 32 | right] = ok
         return ok
 
-    def _insert(self, word: bytes) -> int:
-        at = 0
-        for b in word:
-            to = self.next[at].get(b)
-            if to is None:
-                to = self.next[at][b] = len(self.up)
-                self.next.append({})
-                self.up.append(at)
-                self.byte.append(b)
-                self.last.append(-1)
-                self.back.append(0)
-                self.state.append(0)
-                if self.last[at] >= 0:
-                    self.fresh.append(to)
-            at = to
-        return at
-
-    def _propagate(self) -> None:
-        """Depth first below each node where new prefixes begin, give every new node its last token."""
-        last, back, state, children, byte = self.last, self.back, self.state, self.next, self.byte
-        length, ends, shorter, follows, goto, fail = self.length, self.ends, self.shorter, self.follows, self.goto, self.fail
-        for top in self.fresh:
-            path = [self.up[top]]
-            while path[-1]:
-                path.append(self.up[path[-1]])
-            path.reverse()
-            stack = [(top, len(path))]
-            while stack:
-                node, depth = stack.pop()
-                at, b = state[path[depth - 1]], byte[node]
-                while at and b not in goto[at]:
-                    at = fail[at]
-                state[node] = at = goto[at].get(b, 0)
-                del path[depth:]
-                path.append(node)
+    def _keep(self, word: str, ids: list[int]) -> None:
+        """The ids as little-endian 32-bit numbers, and the bytes that they decode to."""
+        self.ids[word] = b"".join([self.packed[i] for i in ids])
+        self.raw[word] = raw = b"".join([self.bytes[i] for i in ids])
+        self.held += len(raw)
+
+    def learn(self, words: set[str]) -> None:
+        """Encode those of the words that are new, in the depth-first order of their trie."""
+        length, ends, shorter, known, goto, fail = self.length, self.ends, self.shorter, self.follows.get, self.goto.get, self.fail
+        state, last, before = [0], [0], b""  # of the nodes on the path from the root to the last word's node
+        for word, text in sorted([(w.encode(), w) for w in words.difference(self.ids)]):
+            size = len(word)
+            depth, most = 0, min(size, len(before))
+            while depth < most and word[depth] == before[depth]:
+                depth += 1
+            before = word
+            del state[depth + 1 :], last[depth + 1 :]
+            at = state[depth]
+            for end in range(depth + 1, size + 1):
+                b = word[end - 1]
+                to = goto(at << 8 | b)
+                while to is None:
+                    if not at:
+                        to = 0
+                    else:
+                        at = fail[at]
+                        to = goto(at << 8 | b)
+                at = to
+                state.append(at)
                 token = ends[at]
                 while True:
-                    start = path[depth - length[token]]
+                    start = end - length[token]
                     if not start:
                         break
-                    ok = follows.get((last[start], token))
-                    if ok is None:
-                        ok = self.may_follow(last[start], token)
-                    if ok:
+                    left = last[start]
+                    ok = known(left << 32 | token)
+                    if ok or ok is None and self.may_follow(left, token):
                         break
                     token = shorter[token]
-                last[node], back[node] = token, start
-                for child in children[node].values():
-                    stack.append((child, depth + 1))
-        self.fresh.clear()
-
-    def _read(self, node: int) -> list[int]:
-        ids = []
-        while node:
-            ids.append(self.last[node])
-            node = self.back[node]
-        return ids[::-1]
-
-    def _alone(self, word: bytes) -> list[int]:
-        last, at = [0], 0
-        for end, b in enumerate(word, 1):
-            at = self._step(at, b)
-            token = self.ends[at]
-            while end > self.length[token] and not self.may_follow(last[end - self.length[token]], token):
-                token = self.shorter[token]
-            last.append(token)
-        ids, end = [], len(word)
-        while end:
-            ids.append(last[end])
-            end -= self.length[last[end]]
-        return ids[::-1]
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        """The ids as little-endian 32-bit numbers, and the bytes that they decode to."""
-        self.ids[word] = b"".join([self.packed[i] for i in ids])
-        self.raw[word] = b"".join([self.bytes[i] for i in ids])
-
-    def learn(self, words: set[str]) -> None:
-        """Encode those of the words that are new."""
-        ends = []
-        for w in words.difference(self.ids):
-            raw = w.encode()
-            if len(raw) > LONG:
-                self._keep(w, self._alone(raw))
-            else:
-                ends.append((w, self._insert(raw)))
-        self._propagate()
-        for w, node in ends:
-            self._keep(w, self._read(node))
+                last.append(token)
+            ids, end = [], size
+            while end:
+                ids.append(last[end])
+                end -= length[last[end]]
+            ids.reverse()
+            self._keep(text, ids)
 
     def pieces(self, text: str) -> list[str]:
         """The text's words; added tokens stand alone."""
@@ -248,12 +193,15 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids (32-bit little-endian) and the bytes they decode to."""
-        if len(self.up) > TRIE_NODES:
-            self.clear()
+        split = [self.pieces(t) for t in texts]
+        words = set().union(*split)
+        if len(self.ids) > KEPT_WORDS or self.held > KEPT_BYTES:  # only words of these texts stay
+            self.ids = {w: self.ids[w] for w in words if w in self.ids}
+            self.raw = {w: self.raw[w] for w in self.ids}
+            self.held = sum(map(len, self.raw.values()))
         for token, i in self.added.items():
             self._keep(token, [i])
-        split = [self.pieces(t) for t in texts]
-        self.learn(set().union(*split))
+        self.learn(words)
         ids, raw = self.ids.__getitem__, self.raw.__getitem__
         for words in split:
             yield b"".join(map(ids, words)), b"".join(map(raw, words))
@@ -263,7 +211,7 @@ _loaded: dict[str, TrieBpe] = {}
 
 
 def encoder(path: str) -> TrieBpe:
-    """The worker's encoder for a vocabulary file; its trie lives on between batches and tasks."""
+    """The worker's encoder for a vocabulary file; encodings of words live on between batches and tasks."""
     if path not in _loaded:
         _loaded[path] = TrieBpe(path)
     return _loaded[path]
@@ -275,8 +223,8 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _texts(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
-    """Slices of the column of about `most` bytes."""
+def _texts(column: pa.Array, most: int = TOGETHER) -> Iterator[tuple[int, list[str]]]:
+    """Slices of the column of about `most` characters."""
     at, texts, held = 0, [], 0
     for k in range(len(column)):
         text = column[k].as_py() or ""
