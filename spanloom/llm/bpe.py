@@ -27,9 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KEPT_WORDS, KEPT_BYTES, KEPT_PAIRS = 120_000, 8 << 20, 400_000
+KEPT_WORDS, KEPT_BYTES, KEPT_PAIRS, KEPT_STEPS = 200_000, 8 << 20, 400_000, 500_000
 #: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 2 << 20
 #: Texts of these characters only are split by WORD, which equals the file's byte-level pattern on them: they
 #: leave out code points that Unicode versions or libraries class differently, and number signs that re takes
 #: for letters.
@@ -65,19 +65,22 @@ class TrieBpe:
             self.rank[left << 32 | right] = k
             if both not in self.parts:
                 self.parts[both], self.made[both] = (left, right), k
-        self.bytes = {i: b for b, i in vocab.items()}
-        self.length = {i: len(b) for i, b in self.bytes.items()}
+        table = {i: b for b, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes |= {i: t.encode() for t, i in self.added.items()}
+        table |= {i: t.encode() for t, i in self.added.items()}
+        self.bytes = [table.get(i, b"") for i in range(max(table) + 1)]
+        self.length = [len(b) for b in self.bytes]
+        self.spans = np.array(self.length, dtype=np.int64)
+        self.flat, self.first = np.frombuffer(b"".join(self.bytes), dtype=np.uint8), np.concatenate([[0], np.cumsum(self.spans)])
         self._automaton(vocab)
         self.find = re.compile(WORD).findall
         self.settled = re.compile(SETTLED).fullmatch
         self.cut_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.follows: dict[int, bool] = {}
-        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes}
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes))]
+        self.step = dict(self.goto)
         self.ids: dict[str, bytes] = {}
-        self.raw: dict[str, bytes] = {}
         self.held = 0
 
     def _automaton(self, vocab: dict[bytes, int]) -> None:
@@ -98,7 +101,7 @@ class TrieBpe:
         depth = [0] * len(self.ends)
         for at in range(1, len(self.ends)):
             depth[at] = depth[below[at]] + 1
-        self.fail, self.shorter = [0] * len(self.ends), {}
+        self.fail, self.shorter = [0] * len(self.ends), [-1] * len(self.bytes)
         for at in sorted(range(1, len(self.ends)), key=depth.__getitem__):
             up, b = below[at], byte[at]
             back = self.fail[up]
@@ -130,15 +133,22 @@ class TrieBpe:
         self.follows[left << 32 | right] = ok
         return ok
 
-    def _keep(self, word: str, ids: list[int]) -> None:
-        """The ids as little-endian 32-bit numbers, and the bytes that they decode to."""
-        self.ids[word] = b"".join([self.packed[i] for i in ids])
-        self.raw[word] = raw = b"".join([self.bytes[i] for i in ids])
-        self.held += len(raw)
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of some tokens, one after the other."""
+        out = []
+        for at in range(0, len(ids), 1 << 17):
+            part = ids[at : at + (1 << 17)]
+            size = self.spans[part]
+            begin = np.cumsum(size) - size
+            out.append(self.flat[np.arange(int(size.sum())) + np.repeat(self.first[part] - begin, size)].tobytes())
+        return b"".join(out)
 
     def learn(self, words: set[str]) -> None:
         """Encode those of the words that are new, in the depth-first order of their trie."""
-        length, ends, shorter, known, goto, fail = self.length, self.ends, self.shorter, self.follows.get, self.goto.get, self.fail
+        length, ends, shorter, known, packed, goto, fail = self.length, self.ends, self.shorter, self.follows.get, self.packed, self.goto.get, self.fail
+        if len(self.step) > KEPT_STEPS:
+            self.step = dict(self.goto)
+        step = self.step
         state, last, before = [0], [0], b""  # of the nodes on the path from the root to the last word's node
         for word, text in sorted([(w.encode(), w) for w in words.difference(self.ids)]):
             size = len(word)
@@ -149,33 +159,32 @@ class TrieBpe:
             del state[depth + 1 :], last[depth + 1 :]
             at = state[depth]
             for end in range(depth + 1, size + 1):
-                b = word[end - 1]
-                to = goto(at << 8 | b)
-                while to is None:
-                    if not at:
-                        to = 0
-                    else:
+                key = at << 8 | word[end - 1]
+                to = step.get(key)
+                if to is None:  # go back to shorter suffixes, and remember where that ends
+                    while to is None and at:
                         at = fail[at]
-                        to = goto(at << 8 | b)
+                        to = goto(at << 8 | word[end - 1])
+                    to = step[key] = to or 0
                 at = to
                 state.append(at)
                 token = ends[at]
-                while True:
-                    start = end - length[token]
-                    if not start:
-                        break
-                    left = last[start]
-                    ok = known(left << 32 | token)
-                    if ok or ok is None and self.may_follow(left, token):
+                start = end - length[token]
+                while start:
+                    ok = known(last[start] << 32 | token)
+                    if ok or ok is None and self.may_follow(last[start], token):
                         break
                     token = shorter[token]
+                    start = end - length[token]
                 last.append(token)
             ids, end = [], size
             while end:
-                ids.append(last[end])
-                end -= length[last[end]]
+                token = last[end]
+                ids.append(packed[token])
+                end -= length[token]
             ids.reverse()
-            self._keep(text, ids)
+            self.ids[text] = b"".join(ids)
+            self.held += size
 
     def pieces(self, text: str) -> list[str]:
         """The text's words; added tokens stand alone."""
@@ -197,14 +206,14 @@ class TrieBpe:
         words = set().union(*split)
         if len(self.ids) > KEPT_WORDS or self.held > KEPT_BYTES:  # only words of these texts stay
             self.ids = {w: self.ids[w] for w in words if w in self.ids}
-            self.raw = {w: self.raw[w] for w in self.ids}
-            self.held = sum(map(len, self.raw.values()))
+            self.held = sum(map(len, self.ids))
         for token, i in self.added.items():
-            self._keep(token, [i])
+            self.ids[token] = self.packed[i]
         self.learn(words)
-        ids, raw = self.ids.__getitem__, self.raw.__getitem__
+        ids = self.ids.__getitem__
         for words in split:
-            yield b"".join(map(ids, words)), b"".join(map(raw, words))
+            coded = b"".join(map(ids, words))
+            yield coded, self.decoded(np.frombuffer(coded, dtype="<u4"))
 
 
 _loaded: dict[str, TrieBpe] = {}
@@ -275,7 +284,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = encoder(path or vocabulary_path()).bytes
         for batch in batches:
-            texts = [b"".join(map(table.__getitem__, ids or [])).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            texts = [b"".join([table[i] for i in ids or []]).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(plain, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
