@@ -88,16 +88,20 @@ def edge_identity(src: Column, label: Column, dst: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """Path of a URL without query and fragment; ``/`` where there is none."""
-    cut = F.regexp_replace(url, r"[?#].*$", "")
-    path = F.regexp_replace(cut, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
-    return F.when(path == "", "/").otherwise(path)
+    """Path of a URL without query and fragment; of a URL with a host but no path ``/``."""
+    cut = F.regexp_replace(url, r"(?s)[?#].*$", "")
+    after = F.regexp_replace(cut, r"(?s)^.*?://", "")
+    path = F.regexp_replace(after, r"(?s)^[^/]*", "")
+    return F.when(~cut.contains("://"), cut).when(path == "", "/").otherwise(path)
 
 
 def route_matches(pattern: Column, concrete: Column) -> Column:
-    """Segment-wise equality, where a ``:name`` segment of the pattern takes any one non-empty segment."""
-    p, c = F.split(F.trim(pattern, F.lit("/")), "/"), F.split(F.trim(concrete, F.lit("/")), "/")
-    same = F.forall(F.zip_with(p, c, lambda x, y: F.when(x.startswith(":"), y != "").otherwise(x == y)), lambda ok: F.coalesce(ok, F.lit(False)))
+    """Segment-wise equality, where a ``:name`` segment of the pattern takes any one non-empty segment.
+
+    A slash at the end makes one more, empty, segment.
+    """
+    p, c = F.split(pattern, "/"), F.split(concrete, "/")
+    same = F.forall(F.zip_with(p, c, lambda x, y: (x == y) | (x.startswith(":") & (y != ""))), lambda ok: F.coalesce(ok, F.lit(False)))
     return (F.size(p) == F.size(c)) & same
 
 
@@ -116,9 +120,15 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
 
 
-def paths_match(left: Column, right: Column) -> Column:
-    """Equal, or one is a suffix of the other that begins after a slash."""
-    return (left == right) | F.endswith(left, F.concat(F.lit("/"), right)) | F.endswith(right, F.concat(F.lit("/"), left))
+def plain_path(path: Column) -> Column:
+    """With forward slashes and without leading ``./``."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), r"^(?:\./)+", "")
+
+
+def paths_match(observed: Column, source: Column) -> Column:
+    """The observed path is the source's, or ends with it after a slash; only the observed one may be longer."""
+    o, s = plain_path(observed), plain_path(source)
+    return (o == s) | F.endswith(o, F.concat(F.lit("/"), s))
 
 
 def normal_path(path: Column) -> Column:
@@ -128,9 +138,23 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, empty, lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))), "/")
 
 
+#: Messaging systems by their exact lower-case names, and the kinds of their channels.
+CHANNEL_KINDS = {
+    "aws_sqs": "sqs-queue",
+    "sqs": "sqs-queue",
+    "aws_sns": "sns-topic",
+    "sns": "sns-topic",
+    "aws_eventbridge": "eventbridge-bus",
+    "eventbridge": "eventbridge-bus",
+    "kafka": "kafka-topic",
+    "inproc": "inproc-event",
+    "in-process": "inproc-event",
+}
+
+
 def channel_kind(system: Column) -> Column:
-    s = F.lower(system)
-    return F.when(s.contains("sqs"), "sqs").when(s.contains("sns"), "sns").when(s.contains("kafka"), "kafka").when(s.contains("eventbridge"), "eventbridge").otherwise(s)
+    """Kind of a messaging system's channels; null for a system that is not known."""
+    return case(F.lower(system), CHANNEL_KINDS)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -146,7 +170,8 @@ def mermaid_id(node_id: Column) -> Column:
 
 
 def markdown_safe(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"[\r\n]+", " ")
+    """For a table cell: bars escaped, each line break a blank."""
+    return F.translate(F.replace(text, F.lit("|"), F.lit("\\|")), "\r\n", "  ")
 
 
 def span_of(text: Column, needle: Column) -> tuple[Column, Column]:
@@ -162,16 +187,16 @@ def est_usd(size: Column, usd_in: float, usd_out: float) -> Column:
 
 
 def secret_shape(text: Column) -> Column:
-    return (F.length(text) >= 40) & text.rlike(r"^[A-Za-z0-9+/=_.:-]+$")
+    return (F.octet_length(text) >= 40) & text.rlike(r"\A[A-Za-z0-9+/_=.-]+\z")
 
 
-#: Ordered: each sees what those before it left.
+#: Fixed values, in order: each sees what those before it left.
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted-key]"),
-    (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "[redacted-bearer]"),
-    (r"\b(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}", "[redacted-token]"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "[redacted-aws]"),
-    (r"(?i)\b(password|passwd|secret|token|api_?key)\s*[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{6,}[\"']?", "$1=[redacted]"),
+    (r"(?is)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
+    (r"\b(?:github_pat_|gh[pousr]_|sk-)[A-Za-z0-9_-]{8,}", "[REDACTED TOKEN]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED AWS ACCESS KEY]"),
+    (r"""(?i)\b(api[_-]?key|access[_-]?token|auth[_-]?token|password|secret)\b(\s*[:=]\s*[\"']?)([^\s\"',;}\]\[]{4,})""", "$1$2[REDACTED]"),
 )
 
 
@@ -184,15 +209,44 @@ def redacted(text: Column) -> tuple[Column, Column]:
     return text, hits
 
 
+def _named(columns: dict[str, Column], order: tuple[str, ...]) -> Column:
+    return F.coalesce(*[columns[c] for c in (*order, "id") if c in columns])
+
+
 def display_name(**columns: Column) -> Column:
-    """First non-null of title, name, identity, logical_id, route, path, reason, id; endpoints show METHOD path."""
-    first = F.coalesce(*[columns[c] for c in ("title", "name", "identity", "logical_id", "route", "path", "reason", "id") if c in columns])
+    """Name in artifacts: first non-null of title, name, identity, logical_id, route, path, reason, id; endpoints show METHOD path."""
+    first = _named(columns, ("title", "name", "identity", "logical_id", "route", "path", "reason"))
     if "method" in columns and "label" in columns:
         return F.when((columns["label"] == "Endpoint") & columns["method"].isNotNull(), F.concat_ws(" ", columns["method"], columns["path"])).otherwise(first)
     return first
 
 
+def context_name(**columns: Column) -> Column:
+    """Name in context lines: first non-null of title, name, identity, path, reason, id."""
+    return _named(columns, ("title", "name", "identity", "path", "reason"))
+
+
+def flow_name(label: Column, node_id: Column, props: Column) -> Column:
+    """Name of a node in a flow, by its label, from JSON text of its properties."""
+    get = lambda key: F.get_json_object(props, f"$.{key}")
+    context = F.coalesce(get("entries[0]"), F.when(get("title") != "", get("title")))
+    shown = (
+        F.when(label == "Screen", F.concat(F.lit("Screen "), get("route")))
+        .when(label == "Endpoint", F.concat(get("method"), F.lit(" "), get("path")))
+        .when(label.isin("Symbol", "Component"), F.coalesce(get("name"), F.substring_index(node_id, "#", -1)))
+        .when(label == "Channel", F.concat(get("kind"), F.lit(":"), get("identity")))
+        .when(label == "ExtensionContext", F.concat_ws(" · ", F.coalesce(get("kind"), F.lit("context")), context))
+        .when(label == "Command", F.concat(F.lit("Command "), get("name")))
+        .when(label == "Gap", F.concat(F.lit("GAP: "), F.coalesce(get("reason"), F.lit("unresolved"))))
+        .when(label == "File", get("path"))
+    )
+    return F.coalesce(shown, node_id)
+
+
 def auth_state(props: Column) -> Column:
-    """True, False, or null where nothing is said, from JSON text."""
-    text = F.lower(F.coalesce(F.get_json_object(props, "$.authenticated"), F.get_json_object(props, "$.auth.authenticated"), F.get_json_object(props, "$.auth")))
-    return F.when(text.isin("true", "required", "authenticated", "jwt", "bearer"), True).when(text.isin("false", "none", "public", "anonymous", "unauthenticated"), False)
+    """True, False, or null where nothing is said, from JSON text: a flag, a flag below ``auth``, or a word."""
+    v = F.try_parse_json(props)
+    flag = lambda path: F.when(F.schema_of_variant(F.variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+    word = F.when(F.schema_of_variant(F.variant_get(v, "$.auth", "variant")) == "STRING", F.lower(F.try_variant_get(v, "$.auth", "string")))
+    said = F.when(word.isin("none", "public", "unauthenticated"), False).when(word.isin("required", "authenticated", "protected"), True)
+    return F.coalesce(flag("$.authenticated"), flag("$.auth.authenticated"), said)

@@ -7,18 +7,18 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hop_weight
-from .lineage import counted, written
+from .lineage import counted, running, written
 
 DEPTH = 64
 FORWARD = ("RENDERS", "FETCHES", "HANDLES", "ENTRY", "CALLS", "PUBLISHES")
 REVERSED = ("SUBSCRIBES", "DEFINED_IN")
 ANCHORS = ("Screen", "ExtensionContext", "Command")
-#: With at most so many steps, adjacency is broadcast and every trigger traversed where it lies.
-BROADCAST_STEPS = 200_000
+#: The exact mode broadcasts its adjacency, of at most so many steps and bytes of their ids.
+EXACT_STEPS, EXACT_BYTES = 2_000_000, 128 << 20
 #: Steps are composed with themselves while there are at most so many.
 SQUARED_STEPS = 100_000
 #: Rounds after which the tables of pairs seen are written as one.
@@ -70,39 +70,41 @@ def steps_of(edges: DataFrame) -> DataFrame:
 
 
 def _walk(adjacency: dict, gaps: set, trigger: str) -> list[tuple]:
-    """Hops in depth-first order; gap nodes are not expanded, nor what is popped at the depth bound."""
-    hops, visited, stack, limited = [], {trigger}, [(trigger, 0)], False
+    """Hops in depth-first order; gap nodes are not expanded, nor what is popped at the depth bound.
+
+    A node is expanded where it is first popped below the bound, so one cut off on a long path may still be
+    expanded on a shorter one.
+    """
+    hops, visited, stack, limited = [], set(), [(trigger, 0)], False
     while stack:
         node, depth = stack.pop()
-        if node in gaps:
-            continue
         out = adjacency.get(node, ())
         if depth >= DEPTH:
             limited = limited or bool(out)
             continue
-        fresh = []
-        for step in out:
-            hops.append((node, *step))
-            if step[0] not in visited:
-                visited.add(step[0])
-                fresh.append((step[0], depth + 1))
-        stack.extend(reversed(fresh))
+        if node in visited or node in gaps:
+            continue
+        visited.add(node)
+        hops.extend((node, *step) for step in out)
+        stack.extend((step[0], depth + 1) for step in reversed(out))
     return [(trigger, k, *hop, limited) for k, hop in enumerate(hops)]
 
 
 def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> DataFrame:
     """``trigger_id, ord, src, dst, label, conf, reversed, depth_limited``: depth-first narrative order.
 
-    The adjacency goes to every task as a broadcast variable, so its size is checked first.
+    The adjacency goes to every task as a broadcast variable, so its size in steps and bytes is checked first.
     """
     spark = nodes.sparkSession
     steps = written(steps_of(edges), "steps")
-    if steps.count() > 10 * BROADCAST_STEPS:
+    size = steps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("src") + F.octet_length("dst")), F.lit(0)).alias("b")).first()
+    if size.n > EXACT_STEPS or size.b > EXACT_BYTES:
         raise ValueError("too many steps for the exact mode; use trace_set")
     adjacency = defaultdict(list)
     for r in steps.orderBy("src", "reversed", "label", "dst").toLocalIterator():
         adjacency[r.src].append((r.dst, r.label, r.conf, r.reversed))
-    gaps = {r.id for r in nodes.where("label = 'Gap'").select("id").toLocalIterator()}
+    # of the gap nodes those that a step leads on from: the others are never expanded anyway
+    gaps = {r.id for r in nodes.where("label = 'Gap'").select("id").join(steps.select(F.col("src").alias("id")).distinct(), "id", "left_semi").toLocalIterator()}
     shared = spark.sparkContext.broadcast((dict(adjacency), gaps))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,61 +116,108 @@ def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> Data
     return triggers.select("trigger_id").mapInPandas(walk, "trigger_id string, ord long, src string, dst string, label string, conf string, reversed boolean, depth_limited boolean")
 
 
-def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> DataFrame:
-    """``trigger_id, node``: nodes that each trigger's flow expands (itself among them)."""
+def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``trigger_id, node``: nodes that each trigger's flow expands (itself among them), at most DEPTH - 1 steps away;
+    and the triggers (``trigger_id``) whose flow the bound cuts while steps lead on."""
     new = written(triggers.select("trigger_id", F.concat("trigger_id", F.lit("")).alias("node")), "flow")
     seen = new
     links = written(steps.select("src", "dst").distinct().join(open_nodes, F.col("dst") == F.col("open"), "left_semi"), "links")
-    for _ in range(DEPTH):
+    for depth in range(1, DEPTH + 1):
         nxt = new.join(links, F.col("node") == F.col("src")).select("trigger_id", F.col("dst").alias("node")).distinct()
         new, n = counted(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow")
         if not n:
             break
-        seen = seen.unionAll(new)
-    return seen
+        if depth < DEPTH:
+            seen = seen.unionAll(new)
+    cut = new.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("trigger_id").distinct()
+    return seen, cut
 
 
-def trace_set(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hops (``trigger_id, src, dst, label, conf, reversed``) of all flows, and the triggers.
+class Flows:
+    """All flows of a graph in set form: all triggers advance together, by shortest distance.
 
-    Set form: all triggers advance together; anchors first, then endpoints that no anchor's flow fetches
-    and channels that are consumed and never published.
+    Anchors come first, then endpoints that no anchor's flow fetches and channels that are consumed and never
+    published.  ``reach`` (``trigger_id, node``) holds the expanded nodes, ``triggers`` (``trigger_id, depth_limited``).
     """
-    steps = written(steps_of(edges), "steps")
-    open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
-    anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
-    reach = written(_expanded(steps, open_nodes, anchors), "reach")
-    fetched = reach.join(steps.where("label = 'FETCHES'"), F.col("node") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-    endpoints = nodes.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti")
-    consumed = edges.where("label = 'SUBSCRIBES'").select(F.col("dst").alias("id")).distinct()
-    published = edges.where("label = 'PUBLISHES'").select(F.col("dst").alias("id")).distinct()
-    channels = nodes.where("label = 'Channel'").select("id").join(consumed, "id", "left_semi").join(published, "id", "left_anti")
-    rest = written(endpoints.unionAll(channels).withColumnRenamed("id", "trigger_id"), "triggers")
-    reach = reach.unionAll(_expanded(steps, open_nodes, rest))
-    hops = reach.join(steps, F.col("node") == F.col("src")).select("trigger_id", "src", "dst", "label", "conf", "reversed")
-    return hops, anchors.unionAll(rest)
 
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        self.steps = written(steps_of(edges), "steps")
+        open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
+        anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
+        reach, cut = _expanded(self.steps, open_nodes, anchors)
+        reach = written(reach, "reach")
+        fetched = reach.join(self.steps.where("label = 'FETCHES'"), F.col("node") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        endpoints = nodes.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti")
+        consumed = edges.where("label = 'SUBSCRIBES'").select(F.col("dst").alias("id")).distinct()
+        published = edges.where("label = 'PUBLISHES'").select(F.col("dst").alias("id")).distinct()
+        channels = nodes.where("label = 'Channel'").select("id").join(consumed, "id", "left_semi").join(published, "id", "left_anti")
+        rest = written(endpoints.unionAll(channels).withColumnRenamed("id", "trigger_id"), "triggers")
+        more, cut_too = _expanded(self.steps, open_nodes, rest)
+        self.reach = reach.unionAll(more)
+        limited = cut.unionAll(cut_too).withColumn("depth_limited", F.lit(True))
+        self.triggers = anchors.unionAll(rest).join(limited, "trigger_id", "left").withColumn("depth_limited", F.coalesce("depth_limited", F.lit(False)))
+
+    def hops(self) -> DataFrame:
+        """``trigger_id, src, dst, label, conf, reversed``."""
+        return self.reach.join(self.steps, F.col("node") == F.col("src")).select("trigger_id", "src", "dst", "label", "conf", "reversed")
+
+    def scores(self, gap_nodes: DataFrame | None) -> DataFrame:
+        """As :func:`flow_scores`, from sums over each node's steps: the hops themselves are never made."""
+        steps, gap = _with_gaps(self.steps, gap_nodes)
+        sums = steps.groupBy(F.col("src").alias("node")).agg(*_sums(F.count("*"), F.sum(hop_weight(F.col("conf"))), F.bool_or(gap), F.bool_and(F.col("conf") == "Confirmed")))
+        told = self.reach.join(sums, "node").groupBy("trigger_id").agg(*_sums(F.sum("_n"), F.sum("_w"), F.bool_or("_g"), F.bool_and("_c")))
+        return _scored(self.triggers.join(told, "trigger_id", "left"))
 
-def flow_scores(hops: DataFrame, triggers: DataFrame, gap_nodes: DataFrame | None) -> DataFrame:
-    """``trigger_id, hops, score, status``; with `gap_nodes` (``id``), a hop into one makes the flow partial too."""
+
+def trace_set(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hops (``trigger_id, src, dst, label, conf, reversed``) of all flows in set form, and the triggers."""
+    flows = Flows(nodes, edges)
+    return flows.hops(), flows.triggers
+
+
+def _with_gaps(hops: DataFrame, gap_nodes: DataFrame | None) -> tuple[DataFrame, Column]:
     gap = F.col("conf") == "Gap"
-    if gap_nodes is not None:
-        hops = hops.join(gap_nodes.select(F.col("id").alias("dst"), F.lit(True).alias("_gap")), "dst", "left")
-        gap = gap | F.col("_gap").isNotNull()
-    told = hops.groupBy("trigger_id").agg(F.count("*").alias("hops"), F.avg(hop_weight(F.col("conf"))).alias("score"), F.bool_or(gap).alias("_g"), F.bool_and(F.col("conf") == "Confirmed").alias("_c"))
-    out = triggers.join(told, "trigger_id", "left")
-    status = F.when(F.coalesce("_g", F.lit(True)), "Partial").when(F.col("_c"), "Verified").otherwise("Inferred")
-    return out.select("trigger_id", F.coalesce("hops", F.lit(0)).alias("hops"), F.coalesce("score", F.lit(0.0)).alias("score"), status.alias("status"))
+    if gap_nodes is None:
+        return hops, gap
+    return hops.join(gap_nodes.select(F.col("id").alias("dst"), F.lit(True).alias("_gap")), "dst", "left"), gap | F.col("_gap").isNotNull()
+
+
+def _sums(n: Column, weight: Column, gap: Column, confirmed: Column) -> list[Column]:
+    return [n.alias("_n"), weight.alias("_w"), gap.alias("_g"), confirmed.alias("_c")]
+
+
+def _scored(told: DataFrame) -> DataFrame:
+    """A flow without hops, with a gap, or cut by the depth bound is partial."""
+    status = F.when(F.coalesce("_g", F.lit(True)) | F.col("depth_limited"), "Partial").when(F.col("_c"), "Verified").otherwise("Inferred")
+    return told.select("trigger_id", F.coalesce("_n", F.lit(0)).alias("hops"), F.coalesce(F.col("_w") / F.col("_n"), F.lit(0.0)).alias("score"), status.alias("status"))
+
+
+def flow_scores(hops: DataFrame, triggers: DataFrame, gap_nodes: DataFrame | None) -> DataFrame:
+    """``trigger_id, hops, score, status`` from hops and triggers (``trigger_id``, perhaps ``depth_limited``).
+
+    With `gap_nodes` (``id``), a hop into one makes the flow partial too.
+    """
+    if "depth_limited" in hops.columns:
+        cut = hops.groupBy("trigger_id").agg(F.bool_or("depth_limited").alias("depth_limited"))
+        triggers = triggers.drop("depth_limited").join(cut, "trigger_id", "left")
+    elif "depth_limited" not in triggers.columns:
+        triggers = triggers.withColumn("depth_limited", F.lit(False))
+    triggers = triggers.withColumn("depth_limited", F.coalesce("depth_limited", F.lit(False)))
+    hops, gap = _with_gaps(hops, gap_nodes)
+    told = hops.groupBy("trigger_id").agg(*_sums(F.count("*"), F.sum(hop_weight(F.col("conf"))), F.bool_or(gap), F.bool_and(F.col("conf") == "Confirmed")))
+    return _scored(triggers.join(told, "trigger_id", "left"))
 
 
 def k_hop(nodes: DataFrame, edges: DataFrame, focus: DataFrame, hops: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Undirected neighbourhood of the focus ids (``id``): distances (``id, hop``), its nodes, its induced edges."""
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ends = edges.select("src", "dst")
     seen = focus.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for k in range(1, hops + 1):
-        frontier = frontier.join(both, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(k))
-        frontier = written(frontier, "hop")
+        # each side is cut down by the frontier before anything is made distinct
+        out = ends.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+        back = ends.join(frontier.select(F.col("id").alias("dst")), "dst").select(F.col("src").alias("id"))
+        frontier = written(out.unionAll(back).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(k)), "hop")
         seen = seen.unionAll(frontier)
     inside = nodes.join(seen, "id")
     induced = edges.join(seen.select(F.col("id").alias("src"), F.col("hop").alias("src_hop")), "src").join(seen.select(F.col("id").alias("dst"), F.col("hop").alias("dst_hop")), "dst")
@@ -180,13 +229,10 @@ def packed(lines: DataFrame, budget: int) -> DataFrame:
 
     Prefix sums only grow, so what fits is what has a sum within the budget.
     """
-    order = Window.orderBy("hop", "kind", "id")
-    return lines.withColumn("used", F.sum(F.octet_length("line") + 1).over(order)).where(F.col("used") <= budget)
+    return running(lines, F.octet_length("line") + 1, "used", "hop", "kind", "id").where(F.col("used") <= budget)
 
 
 def hop_counts_by_cluster(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges rolled up between node labels: ``src_label, dst_label, label, n``."""
     of = nodes.select("id", F.col("label").alias("l"))
     return edges.join(of.select(F.col("id").alias("src"), F.col("l").alias("src_label")), "src").join(of.select(F.col("id").alias("dst"), F.col("l").alias("dst_label")), "dst").groupBy("src_label", "dst_label", "label").agg(F.count("*").alias("n"))
-
-

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from ..functions.exprs import REDACTIONS
+from ..functions.exprs import REDACTIONS, redacted
 
-#: Limits of a broker task; fixed values.
+#: Limits of a broker task, and the edge labels that an answer may propose.
 MAX_SPANS, MAX_SPAN_BYTES, MAX_BYTES, MAX_CANDIDATES = 12, 8 << 10, 48 << 10, 20
-DECISION_LABELS = ("CALLS", "HANDLES", "READS", "WRITES", "PUBLISHES", "SUBSCRIBES", "FETCHES", "TRIGGERS", "REFERENCES")
+DECISION_LABELS = ("CALLS", "PUBLISHES", "SUBSCRIBES", "FETCHES", "REFERENCES", "BACKS", "DECIDES", "GOVERNS", "MAPS_TO")
+SECRET_SHAPE = re.compile(r"[A-Za-z0-9+/_=.-]+")
 
 
 def pinned(facts: DataFrame, plugin: str, artifact: bytes) -> DataFrame:
@@ -51,15 +55,46 @@ def conformance(extract: Callable[[str, str], Iterable[tuple]], corpus: list[dic
 
 
 def redact_text(text: str) -> tuple[str, int]:
-    import re
-
     hits = 0
     for pattern, by in REDACTIONS:
-        text, n = re.subn(pattern, by.replace("$1", r"\1"), text)
+        text, n = re.subn(pattern, re.sub(r"\$(\d)", r"\\\1", by), text)
         hits += n
     return text, hits
 
 
+def without_secrets(value):
+    """Settings (parsed JSON) without strings that look like secrets; lists and objects lose such members."""
+    gone = object()
+
+    def kept(x):
+        if isinstance(x, str):
+            return gone if len(x.encode()) >= 40 and SECRET_SHAPE.fullmatch(x) else x
+        if isinstance(x, list):
+            return [y for y in map(kept, x) if y is not gone]
+        if isinstance(x, dict):
+            return {k: y for k, y in ((k, kept(v)) for k, v in x.items()) if y is not gone}
+        return x
+
+    out = kept(value)
+    return None if out is gone else out
+
+
+def settings_without_secrets(column: str):
+    """JSON text of settings without secret-shaped strings, members in their order; null where nothing is left or nothing parses."""
+    @pandas_udf("string")
+    def clean(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                left = without_secrets(json.loads(text))
+            except (TypeError, ValueError):
+                return None
+            return None if left is None else json.dumps(left, separators=(",", ":"), ensure_ascii=False)
+
+        return texts.map(one, na_action="ignore")
+
+    return clean(column)
+
+
 class Refused(Exception):
     """The firewall let nothing out."""
 
@@ -96,6 +131,15 @@ def first_json_object(text: str) -> str | None:
     return None
 
 
+def json_object_in(text):
+    """The first balanced JSON object in each text, null where there is none."""
+    @pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(first_json_object, na_action="ignore")
+
+    return found(text)
+
+
 def structured(complete: Callable[[str], str], prompt: str, required: set[str], tries: int = 3) -> dict:
     """An answer with the required keys; a bad one is asked for again, with the reason."""
     reason = ""
@@ -171,3 +215,65 @@ def hashed_embedding(column: str, size: int = 64):
     return F.aggregate(words, zero, lambda a, w: F.transform(a, lambda x, i: F.when(i == slot(w), x + 1).otherwise(x)))
 
 
+def valid_vector(column: Column, size: int) -> Column:
+    """True for a vector of this length whose numbers are all finite."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return F.coalesce((F.size(column) == size) & F.forall(column, finite), F.lit(False))
+
+
+def gated_plugins(plugins: DataFrame, load: Callable[[dict], tuple]) -> DataFrame:
+    """``plugin, passed, failures``: a conformance run for each row; `load` gives its extractor and golden corpus."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            gates = [conformance(*load(row)) for row in frame.to_dict("records")]
+            yield pd.DataFrame({"plugin": frame["plugin"], "passed": [g.passed for g in gates], "failures": [g.failures for g in gates]})
+
+    return plugins.mapInPandas(run, "plugin string, passed boolean, failures array<string>")
+
+
+def verdicts(tasks: DataFrame) -> DataFrame:
+    """Tasks with answers (``spans, candidates, target, label, citations``) and a ``verdict``: the first thing that is wrong with
+    the task or the answer, null if nothing is.  Column expressions only."""
+    sizes = F.transform("spans", lambda x: F.octet_length(x))
+    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    cited = F.col("citations")
+    wrong = (
+        F.when((F.size("spans") <= 0) | (F.size("candidates") <= 0), "no evidence or no candidate")
+        .when((F.size("spans") > MAX_SPANS) | (F.size("candidates") > MAX_CANDIDATES), "too many spans or candidates")
+        .when(F.exists(sizes, lambda n: n > MAX_SPAN_BYTES) | (total > MAX_BYTES), "too many bytes")
+        .when(F.size(F.array_distinct("candidates")) < F.size("candidates"), "candidates repeat")
+        .when(~F.array_contains("candidates", F.col("target")), "invented target")
+        .when(~F.col("label").isin(*DECISION_LABELS), "unknown label")
+        .when((F.size(cited) <= 0) | F.exists(cited, lambda i: (i < 0) | (i >= F.size("spans"))) | (F.size(F.array_distinct(cited)) < F.size(cited)), "citations outside the evidence")
+    )
+    return tasks.withColumn("verdict", wrong)
+
+
+def released(payloads: DataFrame, policies: list[str]) -> DataFrame:
+    """Payloads (``payload, provider, consent``) as they may leave: ``text`` redacted, its ``digest``, and ``refused`` with the
+    reason, in which case there is no text.  The cloud needs consent to this very digest."""
+    text, _ = redacted(F.col("payload"))
+    out = payloads.withColumn("_text", text).withColumn("digest", F.sha2("_text", 256))
+    refused = F.when(~F.col("provider").isin(*policies), "no policy").when((F.col("provider") == "cloud") & ~F.col("consent").eqNullSafe(F.col("digest")), "consent does not match the payload")
+    return out.withColumn("refused", refused).withColumn("text", F.when(F.col("refused").isNull(), F.col("_text"))).drop("_text")
+
+
+def answered(tasks: DataFrame, complete: Callable[[str], str], required: set[str], tries: int = 3) -> DataFrame:
+    """``task, answer`` (JSON), ``error``: each prompt answered where it lies; a failure is a row, not the end of the batch.
+
+    Cancelling the Spark job group that runs it cancels what is left.
+    """
+    kind = dict(tasks.dtypes)["task"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for task, prompt in zip(frame["task"], frame["prompt"], strict=True):
+                try:
+                    rows.append((task, json.dumps(structured(complete, prompt, required, tries), sort_keys=True), None))
+                except Exception as e:  # noqa: BLE001  a provider may fail in any way
+                    rows.append((task, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["task", "answer", "error"])
+
+    return tasks.select("task", "prompt").mapInPandas(run, f"task {kind}, answer string, error string")

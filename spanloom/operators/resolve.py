@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import route_matches
+from ..functions.exprs import plain_path
 from .store import first_by, last_by
 
 
@@ -34,6 +34,19 @@ def unique_match(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame
     return out.withColumn("target", F.when(F.col("candidates") == 1, F.col("target")))
 
 
+def typed_calls(calls: DataFrame, types: DataFrame) -> DataFrame:
+    """Calls (``call, package, fqn``) to types by full name (``fqn, package, id``): ``call, dst, conf``.
+
+    A name declared once is the target; declared more than once, or missing from a package that is declared here, it
+    leaves a gap; calls into other packages are dropped.
+    """
+    known = types.groupBy("fqn").agg(F.count("*").alias("_n"), F.min("id").alias("_id"))
+    own = types.select("package").distinct().withColumn("_own", F.lit(True))
+    out = calls.join(known, "fqn", "left").join(own, "package", "left").where("_n is not null or _own")
+    one = F.coalesce(F.col("_n") == 1, F.lit(False))
+    return out.select("call", F.when(one, F.col("_id")).otherwise(F.concat(F.lit("gap:call:"), F.col("call").cast("string"))).alias("dst"), F.when(one, "Confirmed").otherwise("Gap").alias("conf"))
+
+
 def first_candidate(asks: DataFrame, existing: DataFrame) -> DataFrame:
     """``ask, path``: the first of each ask's ordered candidates (array ``candidates``) that exists."""
     each = asks.select("ask", F.posexplode("candidates").alias("ord", "path"))
@@ -75,13 +88,21 @@ def stitched_channels(sites: DataFrame, env: DataFrame) -> tuple[DataFrame, Data
 def fetches(sites: DataFrame, endpoints: DataFrame) -> DataFrame:
     """Fetch sites (``site, repo, method, url``; url null if unresolved) against endpoints (``id, repo, method, route``).
 
-    ``site, status, target, candidates``: routes are compared only between rows of one repo, method and number
-    of segments; exactly one hit is a match, none or several leave a gap that says which.
+    ``site, status, target, candidates``: exactly one hit is a match, none or several leave a gap that says which.
+    A route matches where it equals the URL's path with some segments taken for parameters.  The sets of parameter places
+    that a repository's routes of one method and length have are few; each URL is written once per set, with ``:`` at its
+    places, and joined by equality, so unlike routes never meet.
     """
-    depth = lambda c: F.size(F.split(F.trim(c, F.lit("/")), "/"))
-    known = sites.where("url is not null and method <> '?'").withColumn("_n", depth(F.col("url")))
-    ends = endpoints.select("repo", "method", "route", F.col("id").alias("target"), depth(F.col("route")).alias("_n"))
-    hits = known.join(ends, ["repo", "method", "_n"]).where(route_matches(F.col("route"), F.col("url"))).groupBy("site").agg(F.countDistinct("target").alias("candidates"), F.min("target").alias("target"))
+    cut = lambda c: F.split(c, "/")
+    mask = F.transform(cut(F.col("route")), lambda x: x.startswith(":"))
+    shape = F.concat_ws("/", F.transform(cut(F.col("route")), lambda x: F.when(x.startswith(":"), ":").otherwise(x)))
+    ends = endpoints.select("repo", "method", F.col("id").alias("target"), mask.alias("mask"), shape.alias("shape"), F.size(mask).alias("_n"))
+    known = sites.where("url is not null and method <> '?'").withColumn("_n", F.size(cut(F.col("url"))))
+    masks = ends.select("repo", "method", "_n", "mask").distinct()
+    segments = F.zip_with(cut(F.col("url")), "mask", lambda x, m: F.when(m & (x != ""), ":").when(~m, x))
+    written_ = known.select("site", "repo", "method", "url", "_n").join(masks, ["repo", "method", "_n"]).withColumn("_s", segments)
+    asked = written_.where(~F.exists("_s", lambda x: x.isNull())).select("site", "repo", "method", "mask", F.concat_ws("/", "_s").alias("shape"))
+    hits = asked.join(ends.drop("_n"), ["repo", "method", "mask", "shape"]).groupBy("site").agg(F.countDistinct("target").alias("candidates"), F.min("target").alias("target"))
     out = sites.join(hits, "site", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     status = F.when(F.col("url").isNull(), "url not resolved").when(F.col("method") == "?", "method not resolved").when(F.col("candidates") == 1, "matched").when(F.col("candidates") == 0, "no recovered endpoint").otherwise(F.format_string("ambiguous (%d candidates)", "candidates"))
     return out.select("site", status.alias("status"), F.when(status == "matched", F.col("target")).alias("target"), "candidates")
@@ -94,27 +115,25 @@ def expanded_policies(grants: DataFrame, statements: DataFrame) -> DataFrame:
     return told.groupBy("principal", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("actions")))).alias("actions"))
 
 
-def backings(resources: DataFrame, channels: DataFrame) -> DataFrame:
-    """``src, dst``: resources (``id, kind, observed, output, input``) that back an existing channel (``id``)."""
-    named = resources.select(F.col("id").alias("src"), F.concat_ws(":", F.lit("chan"), "kind", F.coalesce("observed", "output", "input")).alias("dst"), F.coalesce("observed", "output", "input").alias("_i"))
-    return named.where("_i is not null").join(channels.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-
-
 def traced_gaps(gaps: DataFrame, spans: DataFrame) -> DataFrame:
     """Gaps (``gap, kind, path``) against spans (``kind, path, identity``; path null if not located).
 
-    Located spans match by path suffix; where no span of a kind is located, only a kind's single gap is
-    matched.  Exactly one identity resolves.
+    Where any span of a kind is located, only spans whose path is the gap's, or ends with it after a slash, count; else
+    spans count for the only gap of their kind.  Exactly one identity resolves; otherwise ``reason`` says what was tried.
+    An observed path's endings are exploded, so the suffix condition is an equi-join.
     """
     located = spans.groupBy("kind").agg(F.max(F.col("path").isNotNull()).alias("located"))
     alone = gaps.groupBy("kind").agg(F.count("*").alias("n"))
-    asked = gaps.join(located, "kind").join(alone, "kind")
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    by_path = asked.where("located").withColumn("_b", base(F.col("path"))).join(spans.where("path is not null").select("kind", F.col("path").alias("_p"), "identity", base(F.col("path")).alias("_b")), ["kind", "_b"])
-    by_path = by_path.where((F.col("path") == F.col("_p")) | F.endswith("path", F.concat(F.lit("/"), "_p")) | F.endswith("_p", F.concat(F.lit("/"), "path"))).select("gap", "identity")
+    asked = gaps.withColumn("path", plain_path(F.col("path"))).join(located, "kind", "left").join(alone, "kind")
+    parts = F.split(plain_path(F.col("path")), "/")
+    endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    ends = spans.where("path is not null").select("kind", "identity", F.explode(endings).alias("path")).distinct()
+    by_path = asked.where("located").join(ends, ["kind", "path"]).select("gap", "identity")
     by_kind = asked.where("not located and n = 1").join(spans.select("kind", "identity"), "kind").select("gap", "identity")
     told = by_path.unionAll(by_kind).groupBy("gap").agg(F.countDistinct("identity").alias("identities"), F.min("identity").alias("identity"))
-    return gaps.select("gap").join(told, "gap", "left").select("gap", F.coalesce("identities", F.lit(0)).alias("identities"), F.when(F.col("identities") == 1, F.col("identity")).alias("identity"))
+    reason = F.when(F.col("identities") == 0, "no trace observation uniquely matched this source gap").when(F.col("identities") > 1, "multiple observed channel identities matched this source gap")
+    out = gaps.select("gap", "kind").join(told, "gap", "left").withColumn("identities", F.coalesce("identities", F.lit(0)))
+    return out.select("gap", "kind", "identities", F.when(F.col("identities") == 1, F.col("identity")).alias("identity"), reason.alias("reason"))
 
 
 def replaced_gaps(nodes: DataFrame, edges: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_of
+from .lineage import running
 
 NODE_KEY, EDGE_KEY = ["id"], ["src", "dst", "label"]
 SCHEMA_VERSION = 2
@@ -73,12 +74,13 @@ def guarded_update(stored: DataFrame, changes: DataFrame, key: str, status: str
 def graph_hash(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row ``graph_hash``: digest of all facts whatever their order.
 
-    Facts are digested in 4096 groups by the first digits of their own digests, each sorted, and the
-    group digests then joined in order: no task holds more than one group.
+    Every fact is digested; the digests' eight 32-bit words are added up over all facts, and the sums and the
+    number of facts digested.  Sums add up before the shuffle, so no task holds a list of facts.
     """
     lines = nodes.select(F.concat_ws(" ", F.lit("n"), "id", "label", "hash").alias("l")).unionAll(edges.select(F.concat_ws(" ", F.lit("e"), "src", "label", "dst", "hash").alias("l")))
-    groups = lines.groupBy(F.substring(F.sha2("l", 256), 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("l")), "\n"), 256).alias("h"))
-    return groups.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "g", "h"))), "\n"), 256).alias("graph_hash"))
+    digests = lines.select(F.sha2("l", 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")) for k in range(8)]
+    return digests.agg(F.count("*").alias("n"), *[w.alias(f"w{k}") for k, w in enumerate(words)]).select(F.sha2(F.concat_ws(" ", "n", *[F.coalesce(F.col(f"w{k}").cast("string"), F.lit("0")) for k in range(8)]), 256).alias("graph_hash"))
 
 
 def ordered_merge(*sources: DataFrame) -> DataFrame:
@@ -91,5 +93,36 @@ def ordered_merge(*sources: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, form: str) -> DataFrame:
-    """Presentational ids in the order of `key`, for reports: ``{form % n}``."""
-    return df.withColumn("ref", F.format_string(form, F.row_number().over(Window.orderBy(key))))
+    """Presentational ids (``ref``) in the order of a unique `key`: ``{form % n}``."""
+    return running(df, F.lit(1), "_n", key).withColumn("ref", F.format_string(form, F.col("_n").cast("bigint"))).drop("_n")
+
+
+#: The stored layout's version; a graph written under another is thrown away.
+VERSION_FILE = "schema_version"
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """Store a graph as Parquet, partitioned by label, with the version of its layout."""
+    for df, name in ((nodes, "nodes"), (edges, "edges")):
+        df.write.mode("overwrite").partitionBy("label").parquet(f"{folder}/{name}")
+    nodes.sparkSession.createDataFrame([(SCHEMA_VERSION,)], "version int").write.mode("overwrite").parquet(f"{folder}/{VERSION_FILE}")
+
+
+def stored_version(spark: SparkSession, folder: str) -> int | None:
+    """The version that a stored graph was written under; null where there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{VERSION_FILE}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.parquet(f"{folder}/{VERSION_FILE}").agg(F.max("version")).first()[0]
+
+
+def read_graph(spark: SparkSession, folder: str, node_schema: str, edge_schema: str) -> tuple[DataFrame, DataFrame]:
+    """A stored graph; one of another version, or none, is empty: the graph can always be made again from its sources."""
+    if stored_version(spark, folder) != SCHEMA_VERSION:
+        return spark.createDataFrame([], node_schema), spark.createDataFrame([], edge_schema)
+    return spark.read.schema(node_schema).parquet(f"{folder}/nodes"), spark.read.schema(edge_schema).parquet(f"{folder}/edges")
+
+
+def cleared(*frames: DataFrame) -> list[DataFrame]:
+    """The frames without rows."""
+    return [df.where(F.lit(False)) for df in frames]

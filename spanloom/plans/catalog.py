@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, source_queries, text_queries
+from . import artifact_queries, enrich_queries, graph_queries, source_queries, text_queries
 
 FLAGSHIP = "flow_trace_set"
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES | source_queries.QUERIES
-ORACLES = graph_queries.ORACLES | text_queries.ORACLES | source_queries.ORACLES
+_MODULES = (graph_queries, text_queries, source_queries, artifact_queries, enrich_queries)
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

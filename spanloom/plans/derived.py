@@ -29,13 +29,43 @@ union all select distinct concat('sym:o', cast(l_orderkey as string)), concat('g
 union all select distinct concat('sym:s', cast(l_suppkey as string)), concat('chan:p', cast(l_partkey as string)), 'SUBSCRIBES', 'Confirmed' from lineitem where l_linenumber = 1
 """
 
-#: A graph with cycles: what users do leads to another user, or back.
-CYCLES = """
-select distinct case when event_type = 'error' then concat('u', cast((user_id * 7 + 3) % 97 as string)) else concat('u', cast(user_id % 97 as string)) end as src,
- case when event_type = 'error' then concat('u', cast(user_id % 97 as string)) else concat('u', cast((user_id * 7 + 3) % 97 as string)) end as dst, event_type as label
+#: A graph with cycles: what users do leads to a user of the same hundred, or back; it grows with the users.
+_OTHER = "(user_id - user_id % 100 + (user_id % 100 * 7 + 3) % 100)"
+CYCLES = f"""
+select distinct concat('u', cast(case when event_type = 'error' then {_OTHER} else user_id end as string)) as src,
+ concat('u', cast(case when event_type = 'error' then user_id else {_OTHER} end as string)) as dst, event_type as label
 from events where event_type in ('click', 'error')
 """
 
+#: Facts of the domain layer with their properties, for artifacts and enrichment.
+_ROWS = {
+    "Capability": ("concat('cap:r', cast(r_regionkey as string))", """concat('{"title":"', r_name, '"}')""", "case when r_regionkey = 4 then 'Gap' else 'Confirmed' end", "from region"),
+    "DataEntity": ("concat('data:shop@idb:n', cast(n_nationkey as string))", """concat('{"name":"', n_name, '"}')""", "case n_nationkey % 5 when 0 then 'InferredStrong' when 1 then 'InferredWeak' else 'Confirmed' end", "from nation"),
+    "Resource": ("concat('res:shop@s', cast(s_suppkey as string))", """concat('{"type":"aws_sqs_queue","logical_id":"', s_name, '"', case when s_nationkey % 4 = 0 then ',"placeholder":true' else '' end, '}')""", "case when s_suppkey % 10 = 9 then 'Gap' else 'Confirmed' end", "from supplier"),
+    "Channel": ("concat('chan:sqs-queue:p', cast(p_partkey as string))", """concat('{"kind":"sqs-queue","identity":"', p_name, '"}')""", "'Confirmed'", "from part"),
+    "ADR": ("concat('adr:shop@docs/adr/', cast(p_partkey as string), '.md')", """concat('{"title":"', p_name, '","origin":"found","status":"accepted","forbids":["SUBSCRIBES"]}')""", "'Confirmed'", "from part where p_size = 7"),
+    "Tool": ("concat('tool:shop@', p_brand)", """concat('{"display":"', p_brand, '","category":"build","settings":{"b":"x|y","a":"', cast(n as string), '"}', case when n % 2 = 0 then ',"settings_behind_code":true' else '' end, '}')""", "'Confirmed'", "from (select p_brand, count(*) as n from part group by p_brand) t_"),
+    "Endpoint": ("concat('ep:shop@GET:/c/', cast(c_custkey as string))", """concat('{"method":"GET","path":"/c/', cast(c_custkey as string), '"', case c_mktsegment when 'BUILDING' then ',"authenticated":false' when 'MACHINERY' then ',"auth":"Protected"' else '' end, '}')""", "case when c_custkey % 6 = 5 then 'Gap' else 'Confirmed' end", "from customer"),
+    "Drift": ("concat('drift:n', cast(n_nationkey as string))", """concat('{"title":"drift ', n_name, '","adr_id":"adr:', n_name, '","offending_edge":"a SUBSCRIBES b"', case when n_nationkey % 2 = 0 then ',"flow_triggers":["x","y"]' else '' end, '}')""", "'Confirmed'", "from nation where n_nationkey % 7 = 0"),
+    "Finding": ("concat('finding:security:n', cast(n_nationkey as string))", """concat('{"kind":"security","title":"wide ', n_name, '","category":"iam","subject_id":"s | t","resource_scope":["*"],"actions":["s3:*","sqs:Get"]}')""", "'Confirmed'", "from nation where n_nationkey % 6 = 0"),
+    "Gap": ("concat('gap:chan:s', cast(s_suppkey as string))", """concat('{"reason":"computed identity","kind":"sqs-queue","raw":"queue ', s_name, '"}')""", "'Gap'", "from supplier where s_suppkey % 3 = 0"),
+}
+FACT_NODES = " union all ".join(f"select {i} as id, '{label}' as label, {p} as props, {c} as conf {rest}" for label, (i, p, c, rest) in _ROWS.items())
+
+_RES, _CHAN, _DATA = "concat('res:shop@s', cast({} as string))", "concat('chan:sqs-queue:p', cast({} as string))", "concat('data:shop@idb:n', cast({} as string))"
+FACT_EDGES = f"""
+select {_DATA.format('n_nationkey')} as src, concat('cap:r', cast(n_regionkey as string)) as dst, 'REALIZES' as label, '{{}}' as props, 'Confirmed' as conf from nation
+union all select concat('ep:shop@GET:/c/', cast(c_custkey as string)), {_DATA.format('c_nationkey')}, case when c_custkey % 2 = 0 then 'READS' else 'WRITES' end, '{{}}', case c_custkey % 9 when 0 then 'Gap' when 1 then 'InferredWeak' else 'Confirmed' end from customer
+union all select concat('adr:shop@docs/adr/', cast(p_partkey as string), '.md'), {_CHAN.format('p_partkey')}, 'DECIDES', '{{}}', 'Confirmed' from part where p_size = 7
+union all select distinct {_RES.format('l_suppkey')}, {_CHAN.format('l_partkey')}, 'SUBSCRIBES', '{{}}', case (l_suppkey + l_partkey) % 5 when 0 then 'InferredWeak' when 1 then 'InferredStrong' else 'Confirmed' end from lineitem where l_linenumber = 1
+union all select {_RES.format('s_suppkey')}, {_CHAN.format('s_suppkey')}, 'BACKS', '{{}}', 'Confirmed' from supplier
+union all select {_RES.format('s_suppkey')}, {_RES.format('s_suppkey + 1')}, 'DEPENDS_ON', '{{}}', 'Confirmed' from supplier where s_suppkey % 3 = 0
+union all select {_RES.format('s_suppkey')}, {_RES.format('s_suppkey + 2')}, 'GRANTS', case when s_suppkey % 4 = 0 then '{{"actions":["s3:*"]}}' else '{{"actions":["s3:Get"]}}' end, 'Confirmed' from supplier
+union all select distinct concat('tool:shop@', p_brand), concat('file:shop@', p_type, '.json'), 'DEFINED_IN', '{{}}', 'Confirmed' from part
+union all select {_RES.format('s_suppkey')}, concat('gap:chan:s', cast(s_suppkey as string)), 'PUBLISHES', '{{"reason":"computed identity"}}', 'Gap' from supplier where s_suppkey % 3 = 0
+union all select concat('drift:n', cast(n_nationkey as string)), {_CHAN.format('n_nationkey')}, 'CONFLICTS', '{{}}', 'Confirmed' from nation where n_nationkey % 7 = 0
+"""
+
 def sql(text: str, dialect: str) -> str:
     """`sha(x)` in the text becomes the digest function of the dialect."""
     out, at = [], 0
@@ -53,7 +83,10 @@ def sql(text: str, dialect: str) -> str:
 def facts(dialect: str) -> dict[str, str]:
     nodes = f"select *, {_TIER.format(c='conf')} as tier, sha(concat('n ', id)) as hash from ({NODES}) n_"
     edges = f"select *, {_TIER.format(c='conf')} as tier, sha(concat(src, ' ', label, ' ', dst)) as hash from ({EDGES}) e_"
-    return {"nodes": sql(nodes, dialect), "edges": sql(edges, dialect), "cycles": CYCLES}
+    stamp = f"{_TIER.format(c='conf')} as tier, 'x' as extractor, '' as evidence"
+    fact_n = f"select *, {stamp}, sha(concat('n ', id)) as hash from ({FACT_NODES}) n_"
+    fact_e = f"select *, {stamp}, sha(concat(src, ' ', label, ' ', dst)) as hash from ({FACT_EDGES}) e_"
+    return {"nodes": sql(nodes, dialect), "edges": sql(edges, dialect), "cycles": CYCLES, "facts_n": sql(fact_n, dialect), "facts_e": sql(fact_e, dialect)}
 
 
 def oracle(text: str, *names: str) -> str:
@@ -91,6 +124,14 @@ class Source:
     def edges(self) -> DataFrame:
         return self.sql(facts("spark")["edges"])
 
+    @property
+    def fact_nodes(self) -> DataFrame:
+        return self.sql(facts("spark")["facts_n"])
+
+    @property
+    def fact_edges(self) -> DataFrame:
+        return self.sql(facts("spark")["facts_e"])
+
     @property
     def cycles(self) -> DataFrame:
         return self.sql(facts("spark")["cycles"])

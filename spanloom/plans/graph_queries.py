@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import graph, registers, resolve, semantic, store
-from ..operators.lineage import written
+from ..operators.lineage import fresh_path, written
 from .derived import Source, oracle
 
 QUERIES: dict = {}
@@ -106,14 +106,38 @@ def _(s):
     return store.with_labels(s.edges, ["RENDERS", "SUBSCRIBES"]).select(*E)
 
 
-@query("op012_no_labels", "select src, dst, label, conf from edges where false")
+@query("op012_no_labels", "select 'none' as labels, 0 as n union all select 'FETCHES', count(*) from edges where label = 'FETCHES'")
 def _(s):
-    return store.with_labels(s.edges, []).select(*E)
+    asked = {"none": [], "FETCHES": ["FETCHES"]}
+    none, some = (store.with_labels(s.edges, v).agg(F.lit(k).alias("labels"), F.count("*").alias("n")) for k, v in asked.items())
+    return none.unionAll(some)
 
 
-@query("op013_clear", "select id, label from nodes where false")
+@query("op013_clear", "select 'before' as state, (select count(*) from nodes) as nodes, (select count(*) from edges) as edges union all select 'after', 0, 0")
 def _(s):
-    return s.nodes.where(F.lit(False)).select("id", "label")
+    size = lambda n, e, k: n.agg(F.lit(k).alias("state"), F.count("*").alias("nodes")).join(e.agg(F.count("*").alias("edges")), F.lit(True))
+    return size(s.nodes, s.edges, "before").unionAll(size(*store.cleared(s.nodes, s.edges), "after"))
+
+
+_STORED = "id string, label string, name string", "src string, dst string, label string"
+
+
+@query("op014_schema_gate", "select 'same' as version, (select count(*) from nodes) as n union all select 'other', 0")
+def _(s):
+    folder, out = fresh_path(s.spark, "graph"), []
+    for state in ("same", "other"):
+        store.write_graph(s.nodes.select("id", "label", "name"), s.edges.select("src", "dst", "label"), f"{folder}/{state}")
+    s.spark.createDataFrame([(store.SCHEMA_VERSION - 1,)], "version int").write.mode("overwrite").parquet(f"{folder}/other/{store.VERSION_FILE}")
+    for state in ("same", "other"):
+        out.append(store.read_graph(s.spark, f"{folder}/{state}", *_STORED)[0].agg(F.lit(state).alias("version"), F.count("*").alias("n")))
+    return out[0].unionAll(out[1])
+
+
+@query("op043_stored_graph", "select src, dst, label from edges where label in ('RENDERS', 'FETCHES')")
+def _(s):
+    folder = fresh_path(s.spark, "graph")
+    store.write_graph(s.nodes.select("id", "label", "name"), s.edges.select("src", "dst", "label"), folder)
+    return store.read_graph(s.spark, folder, *_STORED)[1].where("label in ('RENDERS', 'FETCHES')").select("src", "dst", "label")
 
 
 # --- provenance and projections -------------------------------------------------------------------------
@@ -179,6 +203,34 @@ def _(s):
     return s.nodes.select("id", X.display_name(label=F.col("label"), name=name, method=method, path=path, id=F.col("id")).alias("shown"))
 
 
+_FLOWN = """case label when 'Screen' then concat('Screen ', name) when 'Endpoint' then concat('GET /', name) when 'Component' then name when 'Symbol' then case when k % 2 = 0 then name else concat('f', k) end
+ when 'Channel' then concat('kafka-topic:', name) when 'Gap' then 'GAP: unresolved' end"""
+
+
+@query("op059_flow_names", f"select id, {_FLOWN} as shown from nodes union all select concat('extctx:', n_nationkey), case when n_nationkey % 2 = 0 then concat('popup · ', n_name) else 'context' end from nation union all select concat('extcmd:', n_nationkey), concat('Command ', n_name) from nation union all select concat('file:', n_nationkey), n_name from nation")
+def _(s):
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    one = lambda key, c: F.concat(F.lit('{"' + key + '":'), q(c), F.lit("}"))
+    label, name = F.col("label"), F.col("name")
+    props = F.when(label == "Screen", one("route", name)).when(label == "Endpoint", F.concat(F.lit('{"method":"GET","path":'), q(F.concat(F.lit("/"), name)), F.lit("}"))).when((label == "Component") | ((label == "Symbol") & (F.col("k") % 2 == 0)), one("name", name)).when(label == "Channel", F.concat(F.lit('{"kind":"kafka-topic","identity":'), q(name), F.lit("}"))).otherwise("{}")
+    key = F.when((label == "Symbol") & (F.col("k") % 2 == 1), F.concat("id", F.lit("#f"), F.col("k").cast("string"))).otherwise(F.col("id"))
+    main = s.nodes.select("id", X.flow_name(label, key, props).alias("shown"))
+    n = s.table("nation")
+    extra = None
+    for kind, at, text in (("ExtensionContext", "extctx:", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit('{"kind":"popup","entries":["'), "n_name", F.lit('"]}'))).otherwise('{"title":""}')), ("Command", "extcmd:", one("name", F.col("n_name"))), ("File", "file:", one("path", F.col("n_name")))):
+        key = F.concat(F.lit(at), F.col("n_nationkey").cast("string"))
+        rows = n.select(key.alias("id"), X.flow_name(F.lit(kind), key, text).alias("shown"))
+        extra = rows if extra is None else extra.unionAll(rows)
+    return main.unionAll(extra)
+
+
+@query("op060_context_names", "select id, case when label = 'Gap' then id when label = 'Channel' then concat('i:', name) else name end as shown from nodes")
+def _(s):
+    channel = F.col("label") == "Channel"
+    columns = {"name": F.when(~channel & (F.col("label") != "Gap"), F.col("name")), "identity": F.when(channel, F.concat(F.lit("i:"), "name")), "path": F.when(channel, "later"), "id": F.col("id")}
+    return s.nodes.select("id", X.context_name(**columns).alias("shown"))
+
+
 @query("op061_owned_by_evidence", "select o_custkey as owner, count(*) as n from (select o_custkey, list_distinct(list(o_orderstatus)) as ev from orders group by o_custkey) where ev = ['O'] group by o_custkey")
 def _(s):
     ev = s.table("orders").groupBy(F.col("o_custkey").alias("owner")).agg(F.collect_set("o_orderstatus").alias("ev"))
@@ -227,15 +279,34 @@ def _graph(s):
 @query("flow_trace_set", _TRACE)
 def flow_trace_set(s):
     nodes, edges = _graph(s)
-    hops, triggers = graph.trace_set(nodes, edges)
-    return graph.flow_scores(hops, triggers, nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
+    return graph.Flows(nodes, edges).scores(nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
 
 
 @query("op127_projected_scores", f"with recursive {_STEPS} " + _SCORE.format(gap=""))
+def _(s):
+    return graph.Flows(*_graph(s)).scores(None).withColumn("score", F.round("score", 9))
+
+
+@query("op126_scores_from_hops", _TRACE)
 def _(s):
     nodes, edges = _graph(s)
     hops, triggers = graph.trace_set(nodes, edges)
-    return graph.flow_scores(hops, triggers, None).withColumn("score", F.round("score", 9))
+    return graph.flow_scores(hops, triggers, nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
+
+
+_CHAIN = "select concat('s', k // 100, '.', k % 100) as src, concat('s', k // 100, '.', k % 100 + 1) as dst, k // 100 as c, k % 100 as i from range(1000) t(k) where k % 100 < 7 * (k // 100 + 1) + 17"
+
+
+@query("op174_depth_bound", f"with ch as ({_CHAIN}) select concat('s', c, '.0') as trigger_id, least(count(*), 64) as hops, case when count(*) > 64 then 'Partial' else 'Verified' end as status from ch group by c")
+def _(s):
+    k = F.col("id")
+    c, i = F.floor(k / 100), k % 100
+    ids = lambda x: F.concat(F.lit("s"), c.cast("string"), F.lit("."), x.cast("string"))
+    chain = s.spark.range(1000).where(i < 7 * (c + 1) + 17)
+    edges = chain.select(ids(i).alias("src"), ids(i + 1).alias("dst"), F.lit("CALLS").alias("label"), F.lit("Confirmed").alias("conf"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    nodes = ends.select("id", F.when(F.col("id").endswith(".0"), "Screen").otherwise("Symbol").alias("label"))
+    return graph.Flows(nodes, edges).scores(None).select("trigger_id", "hops", "status")
 
 
 @query("op170_flow_trace_exact", _TRACE)
@@ -252,7 +323,7 @@ def _(s):
 
 @query("op171_triggers", f"with recursive {_STEPS} select t as trigger_id from triggers")
 def _(s):
-    return graph.trace_set(*_graph(s))[1]
+    return graph.Flows(*_graph(s)).triggers.select("trigger_id")
 
 
 @query("op172_steps", "select src, dst, label, false as reversed from edges where label in ('RENDERS', 'FETCHES', 'HANDLES', 'PUBLISHES') union all select dst, src, label, true from edges where label = 'SUBSCRIBES'")
@@ -321,10 +392,11 @@ def _(s):
     return out.select("extractor", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("files", F.lit(0)).alias("files"), pct.alias("percent"))
 
 
-_LINES = "lines as (select concat_ws(' ', 'n', id, label, hash) as l from nodes union all select concat_ws(' ', 'e', src, label, dst, hash) from edges), g as (select substr(sha(l), 1, 3) as g, sha(string_agg(l, chr(10) order by l)) as h from lines group by 1)"
+_WORDS = ", ".join(f"cast(coalesce(sum(cast(('0x' || substr(h, {8 * k + 1}, 8)) as bigint)), 0) as varchar)" for k in range(8))
+_LINES = "lines as (select concat_ws(' ', 'n', id, label, hash) as l from nodes union all select concat_ws(' ', 'e', src, label, dst, hash) from edges), d as (select sha(l) as h from lines)"
 
 
-@query("op122_graph_hash", f"with {_LINES} select sha(string_agg(concat_ws(' ', g, h), chr(10) order by g)) as graph_hash from g")
+@query("op122_graph_hash", f"with {_LINES} select sha(concat_ws(' ', cast(count(*) as varchar), {_WORDS})) as graph_hash from d")
 def _(s):
     return store.graph_hash(s.nodes, s.edges)
 
@@ -422,17 +494,30 @@ def _(s):
     return resolve.calls_or_gaps(calls, known, F.col("relative")).select("call_id", "dst")
 
 
-@query("op082_calls_last_wins", "with d as (select p_brand, p_size, max_by(p_partkey, p_partkey) as target from part group by p_brand, p_size) select q.p_partkey as call, d.target from part q join d on d.p_brand = q.p_brand and d.p_size = q.p_size where q.p_retailprice > 1000")
+@query("op082_calls_last_wins", "with d as (select p_brand, p_size, max_by(p_partkey, p_partkey) as target from part group by p_brand, p_size) select q.p_partkey as call, d.target from part q join d on d.p_brand = q.p_brand and d.p_size = q.p_size where q.p_partkey % 2 = 0")
 def _(s):
     defs = s.table("part").select("p_brand", "p_size", F.col("p_partkey").alias("target"))
-    calls = s.table("part").where("p_retailprice > 1000").select(F.col("p_partkey").alias("call"), "p_brand", "p_size")
+    calls = s.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("call"), "p_brand", "p_size")
     return resolve.last_wins_join(calls, defs.withColumn("seq", F.col("target")), ["p_brand", "p_size"], "seq").select("call", "target")
 
 
 _UNIQUE = "with r as (select l_partkey, count(*) as candidates, min(l_suppkey) as target from (select distinct l_partkey, l_suppkey from lineitem where l_linenumber = 1) group by 1) select p_partkey as part, coalesce(candidates, 0) as candidates, case when candidates = 1 then target end as target from part left join r on l_partkey = p_partkey"
 
 
-@query("op083_unique_types", _UNIQUE)
+_TYPED = """with q as (select p_partkey as call, case when p_size % 5 = 0 then 'ext' else p_brand end as package, concat(case when p_size % 5 = 0 then 'ext' else p_brand end, '.', case when p_size % 4 = 0 then 'Missing' else concat(p_type, cast(p_size as varchar)) end) as fqn from part),
+ t as (select concat(p_brand, '.', p_type, cast(p_size as varchar)) as fqn, count(*) as n, min(p_partkey) as id from part group by 1)
+ select call, case when n = 1 then concat('type:', cast(id as varchar)) else concat('gap:call:', cast(call as varchar)) end as dst, case when n = 1 then 'Confirmed' else 'Gap' end as conf from q left join t on t.fqn = q.fqn where n is not null or package in (select p_brand from part)"""
+
+
+@query("op083_typed_calls", _TYPED)
+def _(s):
+    p = s.table("part")
+    package = F.when(F.col("p_size") % 5 == 0, "ext").otherwise(F.col("p_brand"))
+    calls = p.select(F.col("p_partkey").alias("call"), package.alias("package"), F.concat(package, F.lit("."), F.when(F.col("p_size") % 4 == 0, "Missing").otherwise(F.concat("p_type", F.col("p_size").cast("string")))).alias("fqn"))
+    types = p.select(F.concat("p_brand", F.lit("."), "p_type", F.col("p_size").cast("string")).alias("fqn"), F.col("p_brand").alias("package"), F.concat(F.lit("type:"), F.col("p_partkey").cast("string")).alias("id"))
+    return resolve.typed_calls(calls, types)
+
+
 @query("op092_unique_resources", _UNIQUE)
 def _(s):
     right = s.table("lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("target")).distinct()
@@ -487,7 +572,7 @@ def _(s):
 
 @query("op090_fetches", """with si as (select page_id as site, case when page_id % 11 = 0 then null else regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') end as u, case when page_id % 13 = 0 then '?' else 'GET' end as method from pages),
  en as (select 'a' as id, '/en/:id' as route union all select 'b', '/fr/:id' union all select 'c', '/:lang/7' union all select 'd', '/de/:id'),
- h as (select site, count(distinct id) as n, min(id) as t from si join en on split_part(u, '/', 4) = '' and (route in ('/en/:id', '/fr/:id', '/de/:id') and split_part(route, '/', 2) = split_part(u, '/', 2) and split_part(u, '/', 3) <> '' or route = '/:lang/7' and split_part(u, '/', 3) = '7' and split_part(u, '/', 2) <> '') where u is not null and method <> '?' group by site)
+ h as (select site, count(distinct id) as n, min(id) as t from si join en on len(string_split(u, '/')) = 3 and (route in ('/en/:id', '/fr/:id', '/de/:id') and split_part(route, '/', 2) = split_part(u, '/', 2) and split_part(u, '/', 3) <> '' or route = '/:lang/7' and split_part(u, '/', 3) = '7' and split_part(u, '/', 2) <> '') where u is not null and method <> '?' group by site)
  select si.site, case when u is null then 'url not resolved' when method = '?' then 'method not resolved' when n = 1 then 'matched' when n is null then 'no recovered endpoint' else concat('ambiguous (', cast(n as varchar), ' candidates)') end as status, case when n = 1 then t end as target, coalesce(n, 0) as candidates from si left join h on h.site = si.site""")
 def _(s):
     url = F.when(F.col("page_id") % 11 != 0, X.url_path(F.col("url")))
@@ -496,23 +581,10 @@ def _(s):
     return resolve.fetches(sites, ends)
 
 
-@query("op093_backings", "select concat('res:', cast(s_suppkey as varchar)) as src, concat('chan:', case when s_suppkey % 2 = 0 then 'click' else 'error' end, ':E', cast(s_suppkey % 60 as varchar)) as dst from supplier where concat('chan:', case when s_suppkey % 2 = 0 then 'click' else 'error' end, ':E', cast(s_suppkey % 60 as varchar)) in (select distinct concat('chan:', event_type, ':E', cast(user_id % 40 as varchar)) from events)")
-def _(s):
-    res = s.table("supplier").select(F.concat(F.lit("res:"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "click").otherwise("error").alias("kind"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("E"), (F.col("s_suppkey") % 60).cast("string"))).alias("observed"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("E"), (F.col("s_suppkey") % 60).cast("string"))).alias("output"), F.concat(F.lit("E"), (F.col("s_suppkey") % 60).cast("string")).alias("input"))
-    channels = s.table("events").select(F.concat_ws(":", F.lit("chan"), "event_type", F.concat(F.lit("E"), (F.col("user_id") % 40).cast("string"))).alias("id")).distinct()
-    return resolve.backings(res, channels)
-
-
-@query("op095_first_span", "with o as (select o_custkey, count(*) as n, min_by(o_orderkey, o_orderdate) as t from (select o_custkey, o_orderkey, row(o_orderdate, o_orderkey) as o_orderdate from orders) group by 1) select c_custkey as endpoint, t as span from customer join o on o_custkey = c_custkey")
-def _(s):
-    spans = s.table("orders").select(F.col("o_custkey").alias("endpoint"), F.col("o_orderkey").alias("span"), "o_orderdate")
-    return s.table("customer").select(F.col("c_custkey").alias("endpoint")).join(store.first_by(spans, ["endpoint"], "o_orderdate", "span").select("endpoint", "span"), "endpoint")
-
-
-@query("op096_policy_expansion", "with g as (select o_custkey as principal, cast(o_orderkey as varchar) as document from orders where o_orderstatus = 'F'), st as (select cast(l_orderkey as varchar) as document, concat('p', cast(l_partkey % 50 as varchar)) as target, l_returnflag as action from lineitem where l_linenumber <= 2 and l_orderkey % 3 > 0) select principal, coalesce(target, g.document) as target, coalesce(string_agg(distinct action, ',' order by action), '') as actions from g left join st on st.document = g.document group by 1, 2")
+@query("op096_policy_expansion", "with g as (select o_custkey as principal, cast(o_orderkey as varchar) as document from orders where o_orderstatus = 'F'), st as (select cast(l_orderkey as varchar) as document, concat('p', cast(l_partkey % 50 as varchar)) as target, l_returnflag as action from lineitem where l_quantity < 20) select principal, coalesce(target, g.document) as target, coalesce(string_agg(distinct action, ',' order by action), '') as actions from g left join st on st.document = g.document group by 1, 2")
 def _(s):
     grants = s.table("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("principal"), F.col("o_orderkey").cast("string").alias("document"))
-    st = s.table("lineitem").where("l_linenumber <= 2 and l_orderkey % 3 > 0").select(F.col("l_orderkey").cast("string").alias("document"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("target"), F.array("l_returnflag").alias("actions"))
+    st = s.table("lineitem").where("l_quantity < 20").select(F.col("l_orderkey").cast("string").alias("document"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("target"), F.array("l_returnflag").alias("actions"))
     return resolve.expanded_policies(grants, st).withColumn("actions", F.array_join("actions", ","))
 
 
@@ -522,10 +594,10 @@ def _(s):
     return registers.ungoverned_channels(channels, channels.where("k % 10 = 0"), s.edges)
 
 
-@query("op101_drift", "with d as (select concat('adr', cast(p_partkey as varchar)) as adr, concat('chan:p', cast(p_partkey as varchar)) as governs, 'SUBSCRIBES' as forbids from part where p_size = 7 union all select 'adr:s', concat('sym:s', cast(s_suppkey as varchar)), 'SUBSCRIBES' from supplier where s_suppkey < 9) select distinct adr, src, dst, label from d join edges on label = forbids and (src = governs or dst = governs) and conf <> 'Gap'")
+@query("op101_drift", "with d as (select concat('adr', cast(p_partkey as varchar)) as adr, concat('chan:p', cast(p_partkey as varchar)) as governs, 'SUBSCRIBES' as forbids from part where p_size = 7 union all select 'adr:s', concat('sym:s', cast(s_suppkey as varchar)), 'SUBSCRIBES' from supplier) select distinct adr, src, dst, label from d join edges on label = forbids and (src = governs or dst = governs) and conf <> 'Gap'")
 def _(s):
     d = s.table("part").where("p_size = 7").select(F.concat(F.lit("adr"), F.col("p_partkey").cast("string")).alias("adr"), F.concat(F.lit("chan:p"), F.col("p_partkey").cast("string")).alias("governs"), F.lit("SUBSCRIBES").alias("forbids"))
-    d = d.unionAll(s.table("supplier").where("s_suppkey < 9").select(F.lit("adr:s"), F.concat(F.lit("sym:s"), F.col("s_suppkey").cast("string")), F.lit("SUBSCRIBES")))
+    d = d.unionAll(s.table("supplier").select(F.lit("adr:s"), F.concat(F.lit("sym:s"), F.col("s_suppkey").cast("string")), F.lit("SUBSCRIBES")))
     return registers.drift(d, s.edges)
 
 
@@ -551,14 +623,6 @@ def _(s):
     return store.closure(s.nodes.where("k % 9 > 0 or label in ('Screen', 'Component')"), s.edges)
 
 
-@query("op105_data_edges", "select src, dst, label from edges where (src in (select id from nodes where label = 'Channel' and k % 20 = 0) or dst in (select id from nodes where label = 'Channel' and k % 20 = 0)) and src in (select id from nodes) and dst in (select id from nodes)")
-def _(s):
-    few = s.nodes.where("label = 'Channel' and k % 20 = 0").select("id")
-    known = s.nodes.select("id")
-    hit = s.edges.join(few.withColumnRenamed("id", "src"), "src", "left_semi").select(*E).unionByName(s.edges.join(few.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*E)).distinct()
-    return hit.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "label")
-
-
 @query("op107_config_dedup", "select o_orderkey as file from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
 def _(s):
     return s.table("orders").select(F.col("o_orderkey").alias("file")).join(s.table("lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("file")).distinct(), "file", "left_anti")
@@ -622,7 +686,6 @@ _COS = "greatest(0, least(1, list_dot_product(cast(a.embedding as double[]), cas
 
 
 @query("op141_top_k", f"with p as (select a.vec_id as query_id, b.vec_id as target_id, round({_COS}, 4) as similarity from embeddings a join embeddings b on a.label is not distinct from b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select query_id, target_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, target_id) as r from p) where r <= 3")
-@query("op179_semantic_propose", f"with p as (select a.vec_id as query_id, b.vec_id as target_id, round({_COS}, 4) as similarity from embeddings a join embeddings b on a.label is not distinct from b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select query_id, target_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, target_id) as r from p) where r <= 3")
 def _(s):
     e = s.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return semantic.top_k(e.where("id % 50 = 0"), e, 3, ["label"], digits=4)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import artifacts, registers, state, store
+from ..operators import plugins, state, store
 from .derived import Source, oracle
 
 QUERIES: dict = {}
@@ -24,13 +24,28 @@ def query(name: str, sql: str | None = None):
 
 
 # --- text scans -----------------------------------------------------------------------------------------
-@query("op063_secret_shapes", r"select doc_id, count(*) as n from (select doc_id, unnest(regexp_split_to_array(text, '\s+')) as w from documents) where length(w) >= 40 and regexp_full_match(w, '[A-Za-z0-9+/=_.:-]+') group by doc_id")
+@query("op063_secret_shapes", "select doc_id from documents where doc_id % 3 = 0")
 def _(s):
-    words = s.table("documents").select("doc_id", F.explode(F.split("text", r"[\t-\r ]+")).alias("w"))
-    return words.where(X.secret_shape(F.col("w"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    word = F.when(F.col("doc_id") % 3 == 0, h).when(F.col("doc_id") % 3 == 1, F.concat(F.substring(h, 1, 30), F.lit(":"), F.substring(h, 1, 30))).otherwise(F.substring(h, 1, 39))
+    return s.table("documents").where(X.secret_shape(word)).select("doc_id")
 
 
-_RED = [(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[redacted-key]"), (r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "[redacted-bearer]"), (r"\b(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,}", "[redacted-token]"), (r"\bAKIA[0-9A-Z]{16}\b", "[redacted-aws]"), (r"(?i)\b(password|passwd|secret|token|api_?key)\s*[:=]\s*[\"'']?[A-Za-z0-9+/_.=-]{6,}[\"'']?", r"\1=[redacted]")]
+@query("op064_settings", """select doc_id, concat('{"a":1,"b":{', case when doc_id % 2 = 0 then '' else concat('"k":"', doc_id, '"') end, '},"l":["x"]}') as settings from documents""")
+def _(s):
+    h = F.sha2(F.col("doc_id").cast("string"), 256)
+    inner = F.when(F.col("doc_id") % 2 == 0, h).otherwise(F.col("doc_id").cast("string"))
+    text = F.concat(F.lit('{"a": 1, "b": {"k": "'), inner, F.lit('"}, "l": ["'), h, F.lit('", "x"], "s": "'), h, F.lit('"}'))
+    return s.table("documents").select("doc_id", plugins.settings_without_secrets(text).alias("settings"))
+
+
+_RED = [
+    (r"(?is)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED PRIVATE KEY]"),
+    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", "Bearer [REDACTED]"),
+    (r"\b(?:github_pat_|ghp_|gho_|ghu_|ghs_|ghr_|sk-)[A-Za-z0-9_-]{8,}", "[REDACTED TOKEN]"),
+    (r"\bAKIA[0-9A-Z]{16}\b", "[REDACTED AWS ACCESS KEY]"),
+    (r"""(?i)\b(api_?key|api-key|access_?token|access-token|auth_?token|auth-token|password|secret)\b(\s*[:=]\s*["'']?)([^\s"'',;}\]\[]{4,})""", r"\1\2[REDACTED]"),
+]
 
 
 def _redaction_sql() -> str:
@@ -53,12 +68,12 @@ def _(s):
     return lines.where(F.col("l").contains("password") | F.col("l").contains("|")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("line"), F.col("l").contains("password").alias("assigns"), F.col("l").contains("|").alias("tables"))
 
 
-@query("op240_url_path", "select page_id, case when p = '' then '/' else p end as path from (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as p from pages)")
+@query("op240_url_path", "select page_id, case when p = '' and url like '%://%' then '/' else p end as path from (select page_id, url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as p from pages)")
 def _(s):
     return s.table("pages").select("page_id", X.url_path(F.col("url")).alias("path"))
 
 
-@query("op241_route_match", "select page_id from (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as p from pages) where regexp_full_match(p, '/en/[^/]+/*')")
+@query("op241_route_match", "select page_id from (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') as p from pages) where regexp_full_match(p, '/en/[^/]+')")
 def _(s):
     return s.table("pages").where(X.route_matches(F.lit("/en/:id"), X.url_path(F.col("url")))).select("page_id")
 
@@ -80,12 +95,13 @@ def _(s):
     return s.table("part").select("p_type", X.snake_case(F.replace("p_type", F.lit(" "), F.lit(""))).alias("snake")).distinct()
 
 
-@query("op245_paths_match", "with p as (select concat('src/', c_custkey % 30, '.ts') as a, case when c_custkey % 2 = 0 then concat(c_custkey % 30, '.ts') else concat('c/', c_custkey % 30, '.ts') end as b, c_custkey as k from customer) select k, a = b or ends_with(a, concat('/', b)) or ends_with(b, concat('/', a)) as same from p")
+@query("op245_paths_match", "select c_custkey as k, c_custkey % 4 in (0, 1, 2) as same from customer")
 def _(s):
-    n = (F.col("c_custkey") % 30).cast("string")
-    a = F.concat(F.lit("src/"), n, F.lit(".ts"))
-    b = F.when(F.col("c_custkey") % 2 == 0, F.concat(n, F.lit(".ts"))).otherwise(F.concat(F.lit("c/"), n, F.lit(".ts")))
-    return s.table("customer").select(F.col("c_custkey").alias("k"), X.paths_match(a, b).alias("same"))
+    n, k = (F.col("c_custkey") % 30).cast("string"), F.col("c_custkey") % 4
+    source = F.concat(F.lit("src/"), n, F.lit(".ts"))
+    # the same, the same with other slashes, longer, shorter
+    observed = F.when(k == 0, F.concat(F.lit("./src/"), n, F.lit(".ts"))).when(k == 1, F.concat(F.lit("src\\"), n, F.lit(".ts"))).when(k == 2, F.concat(F.lit("/app/src/"), n, F.lit(".ts"))).otherwise(F.concat(n, F.lit(".ts")))
+    return s.table("customer").select(F.col("c_custkey").alias("k"), X.paths_match(observed, source).alias("same"))
 
 
 @query("op246_normal_path", "select distinct c_custkey % 20 as k, concat('src/', c_custkey % 20) as path from customer")
@@ -100,9 +116,9 @@ def _(s):
     return s.table("documents").select("doc_id", h.alias("hash"), F.substring(h, 1, 16).alias("h16"), F.substring(h, 1, 8).alias("h8"))
 
 
-@query("op248_channel_kind", "select event_type, case when event_type = 'click' then 'kafka' when event_type = 'error' then 'sqs' else event_type end as kind, count(*) as n from events group by all")
+@query("op248_channel_kind", "select event_type, case event_type when 'click' then 'kafka-topic' when 'error' then 'sqs-queue' end as kind, count(*) as n from events group by all")
 def _(s):
-    system = F.when(F.col("event_type") == "click", "Apache.Kafka").when(F.col("event_type") == "error", "aws_SQS").otherwise(F.col("event_type"))
+    system = F.when(F.col("event_type") == "click", "Kafka").when(F.col("event_type") == "error", "AWS_sqs").otherwise(F.concat(F.lit("apache.kafka."), "event_type"))
     return s.table("events").groupBy("event_type", X.channel_kind(system).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -116,6 +132,17 @@ def _(s):
     return s.nodes.select("id", X.mermaid_id(F.col("id")).alias("mermaid"))
 
 
+@query("op251_markdown_safe", "select doc_id, sha(replace(replace(replace(text, '|', '\\|'), chr(10), ' '), chr(13), ' ')) as safe_sha256 from documents where text is not null")
+def _(s):
+    return s.table("documents").where("text is not null").select("doc_id", X.content_hash(X.markdown_safe(F.col("text"))).alias("safe_sha256"))
+
+
+@query("op253_first_json_object", """select event_id, concat('{"a": "}", "b": {"c": ', event_id, '}}') as found from events""")
+def _(s):
+    text = F.concat(F.lit('noise } {"a": "}", "b": {"c": '), F.col("event_id").cast("string"), F.lit("}} {tail"))
+    return s.table("events").select("event_id", plugins.json_object_in(text).alias("found"))
+
+
 @query("op252_byte_spans", "select doc_id, case when position(' de ' in text) > 0 then strlen(left(text, position(' de ' in text) - 1)) else 0 end as byte_start, case when position(' de ' in text) > 0 then strlen(left(text, position(' de ' in text) - 1)) + 4 else strlen(text) end as byte_end from documents where text is not null")
 def _(s):
     start, end = X.span_of(F.col("text"), F.lit(" de "))
@@ -142,9 +169,10 @@ def _(s):
     return s.table("orders").groupBy(F.col("o_custkey").alias("task")).agg(X.content_hash(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|")).alias("basis_hash"))
 
 
-@query("op068_auth_state", "select event_id, case when event_id % 4 = 0 then true when event_id % 4 = 1 then false when event_id % 4 = 2 then true end as auth from events")
+@query("op068_auth_state", "select event_id, case cast(event_id % 6 as int) when 0 then true when 1 then false when 2 then true when 3 then false end as auth from events")
 def _(s):
-    props = F.when(F.col("event_id") % 4 == 0, '{"authenticated": true}').when(F.col("event_id") % 4 == 1, '{"auth": {"authenticated": false}}').when(F.col("event_id") % 4 == 2, '{"auth": "JWT"}').otherwise('{"x": 1}')
+    k = F.col("event_id") % 6
+    props = F.when(k == 0, '{"authenticated": true, "auth": "none"}').when(k == 1, '{"auth": {"authenticated": false}}').when(k == 2, '{"auth": "Protected"}').when(k == 3, '{"auth": "public"}').when(k == 4, '{"auth": "anonymous", "authenticated": "false"}').otherwise('{"x": 1}')
     return s.table("events").select("event_id", X.auth_state(props).alias("auth"))
 
 
@@ -240,16 +268,16 @@ def _(s):
     return state.reapplied(b.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "decision"), b.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "task")).select("decision", "task")
 
 
-@query("op028_plugin_gates", "select p_partkey as plugin, p_brand as content_hash from part where p_size > 10 and p_retailprice > 1000")
+@query("op028_plugin_gates", "select p_partkey as plugin, p_brand as content_hash from part where p_size > 10 and p_partkey % 3 > 0")
 def _(s):
     p = s.table("part").select(F.col("p_partkey").alias("plugin"), F.col("p_brand").alias("content_hash"), "p_size", "p_retailprice")
-    return state.active_plugins(p.where("p_size > 10"), p.where("p_retailprice > 1000")).select("plugin", "content_hash")
+    return state.active_plugins(p.where("p_size > 10"), p.where("plugin % 3 > 0")).select("plugin", "content_hash")
 
 
-@query("op264_active_set", "select p_partkey as plugin, p_brand as content_hash from part where p_size > 25 and p_retailprice > 1200")
+@query("op264_active_set", "select p_partkey as plugin, p_brand as content_hash from part where p_size > 25 and p_partkey % 2 = 0")
 def _(s):
     p = s.table("part").select(F.col("p_partkey").alias("plugin"), F.col("p_brand").alias("content_hash"), "p_size", "p_retailprice")
-    return state.active_plugins(p.where("p_size > 25"), p.where("p_retailprice > 1200")).select("plugin", "content_hash")
+    return state.active_plugins(p.where("p_size > 25"), p.where("plugin % 2 = 0")).select("plugin", "content_hash")
 
 
 @query("op029_tier_settings", "select c_custkey as tier, case when c_custkey % 3 = 0 then 'local' when c_mktsegment = 'BUILDING' then 'cloud' else 'local' end as provider, c_custkey % 3 > 0 and c_mktsegment = 'BUILDING' and c_acctbal > 0 as consent from customer")
@@ -303,63 +331,7 @@ def _(s):
     return state.cache_plan(now, cache)
 
 
-# --- artifacts ------------------------------------------------------------------------------------------
-@query("op190_user_stories", "select printf('US-R-%04d', row_number() over (order by id)) as ref, id, name from nodes where label = 'Component' and conf <> 'Gap'")
-def _(s):
-    return artifacts.user_stories(s.nodes, "Component")
-
-
-@query("op191_traceability", "select src, label, dst, conf from edges where label in ('RENDERS', 'FETCHES', 'HANDLES', 'PUBLISHES', 'SUBSCRIBES') and conf <> 'Gap'")
-def _(s):
-    return artifacts.traceability(s.edges, ["RENDERS", "FETCHES", "HANDLES", "PUBLISHES", "SUBSCRIBES"])
-
-
-@query("op193_topology_lines", "select distinct concat(regexp_replace(src, '[^A-Za-z0-9]', '_', 'g'), '_', substr(sha(src), 1, 8), ' -->|', label, '| ', regexp_replace(dst, '[^A-Za-z0-9]', '_', 'g'), '_', substr(sha(dst), 1, 8)) as line from edges where label = 'SUBSCRIBES'")
-def _(s):
-    return artifacts.mermaid_lines(s.edges.where("label = 'SUBSCRIBES'"))
-
-
-@query("op194_data_model", "select concat('d', cast(row_number() over (order by id) - 1 as varchar)) as alias, id from nodes where label = 'Screen'")
-def _(s):
-    return artifacts.data_aliases(s.nodes.where("label = 'Screen'"))
-
-
-@query("op195_decisions", "select n.id, count(e.src) as decides from nodes n left join edges e on e.src = n.id and e.label = 'FETCHES' where n.label = 'Component' group by n.id")
-def _(s):
-    return artifacts.decision_set(s.nodes.where("label = 'Component'"), s.edges, "FETCHES")
-
-
-@query("op196_gap_register", "select distinct id, reason from (select id, 'gap node' as reason from nodes where label = 'Gap' or conf = 'Gap' union all select concat(src, ' ', label, ' ', dst), 'gap edge' from edges where conf = 'Gap')")
-def _(s):
-    return artifacts.gap_register(s.nodes, s.edges)
-
-
-@query("op055_drift_facts", "select id from nodes where label = 'Drift' union all select concat(src, ' ', label, ' ', dst) from edges where label in ('CONFLICTS', 'DRIFTS_FROM')")
-@query("op197_drift_register", "select id from nodes where label = 'Drift' union all select concat(src, ' ', label, ' ', dst) from edges where label in ('CONFLICTS', 'DRIFTS_FROM')")
-def _(s):
-    return s.nodes.where("label = 'Drift'").select("id").unionAll(s.edges.where(F.col("label").isin(*registers.DRIFT_EDGES)).select(X.edge_identity(F.col("src"), F.col("label"), F.col("dst")).alias("id")))
-
-
-@query("op199_toolchain", "select n.extractor as tool, count(*) as files, min(n.name) as first_file from nodes n group by n.extractor")
-def _(s):
-    return s.nodes.groupBy(F.col("extractor").alias("tool")).agg(F.count("*").alias("files"), F.min("name").alias("first_file"))
-
-
-@query("op202_projection_gaps", "select src, case when conf = 'InferredWeak' then 'UNRESOLVED' else label end as label, case when conf = 'InferredWeak' then concat('gap:projection:', substr(sha(concat(src, ' ', label, ' ', dst)), 1, 16)) else dst end as dst from edges where label = 'HANDLES'")
-def _(s):
-    return artifacts.projected(s.edges.where("label = 'HANDLES'"), s.edges.limit(0)).select("src", "label", "dst")
-
-
-@query("op200_compile_spec")
-def _(s):
-    return artifacts.compile_spec(s.nodes, s.edges, best_effort=False)
-
-
-@query("op044_artifact_text", "select label, sha(string_agg(id, chr(10) order by id)) as text_sha256 from nodes where label in ('Screen', 'Component') group by label")
-def _(s):
-    return s.nodes.where("label in ('Screen', 'Component')").groupBy("label").agg(X.content_hash(F.array_join(F.array_sort(F.collect_list("id")), "\n")).alias("text_sha256"))
-
-
+# --- export ---------------------------------------------------------------------------------------------
 @query("op045_snapshot", "select kind, line from (select 'node' as kind, concat_ws(' ', id, label) as line from nodes union all select 'edge', concat_ws(' ', src, label, dst) from edges)")
 def _(s):
     n = s.nodes.orderBy("id").select(F.lit("node").alias("kind"), F.concat_ws(" ", "id", "label").alias("line"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tomllib
 from collections.abc import Iterator
 
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.store import last_by
 
 LAYERS = ("infra", "cloud", "server", "events", "client")
-SKIPPED_DIRS = ("node_modules", ".git", "target", "dist", "build", ".venv", ".cartograph")
+#: Folders that hold dependencies, build output or version control, not sources.
+SKIPPED_DIRS = (".git", ".venv", "__pycache__", "build", "dist", "node_modules", "target")
 REDACTED = "[redacted]"
 
 
@@ -24,12 +26,23 @@ def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return found.where(~F.col("path").rlike(f"/({skipped})/")).select("path", "content")
 
 
+def listed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``path, size`` of the files under `root`, without skipped folders, in the order of their paths; no content is read."""
+    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return found.where(~F.col("path").rlike(f"/({skipped})/")).select("path", F.col("length").alias("size")).orderBy("path")
+
+
 def env_entries(lines: DataFrame) -> DataFrame:
-    """``file, line, key, value`` of KEY=VALUE lines (``file, line, text``); comments, blanks and keys with spaces are left out."""
-    text = F.regexp_replace(F.trim("text"), r"^export\s+", "")
-    key = F.trim(F.regexp_extract(text, r"^([^=#]+)=(.*)$", 1))
-    value = F.regexp_replace(F.trim(F.regexp_extract(text, r"^([^=#]+)=(.*)$", 2)), r"""^(["'])(.*)\1$""", "$2")
-    return lines.select("file", "line", key.alias("key"), value.alias("value")).where((F.col("key") != "") & ~F.col("key").rlike(r"\s"))
+    """``file, line, key, value`` of KEY=VALUE lines (``file, line, text``).
+
+    Comments, blanks and keys with white space are left out; quotes go from both ends of a value, paired or not.
+    """
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    told = lines.withColumn("_t", text).where(F.col("_t").contains("=") & ~F.col("_t").startswith("#"))
+    key = F.regexp_replace(F.regexp_replace(F.substring_index("_t", "=", 1), r"\s+$", ""), r"^(?:export )*\s*", "")
+    value = F.regexp_replace(F.regexp_replace("_t", r"^[^=]*=\s*", ""), r"""^["']+|["']+$""", "")
+    return told.select("file", "line", key.alias("key"), value.alias("value")).where((F.col("key") != "") & ~F.col("key").rlike(r"\s"))
 
 
 def repo_name(url: Column) -> Column:
@@ -89,12 +102,23 @@ def _tf_rows(text: str) -> list[tuple]:
         module = todo.pop(0)
         for r in module.get("resources", []):
             hidden = r.get("sensitive_values") or {}
-            values = {k: (REDACTED if hidden.get(k) is True else v) for k, v in (r.get("values") or {}).items() if not isinstance(v, dict | list)}
+            values = {k: (REDACTED if hidden.get(k) is True else v) for k, v in (r.get("values") or {}).items() if v is not None and not isinstance(v, dict | list)}
             out.append((r.get("address"), r.get("type"), r.get("name"), json.dumps(values, sort_keys=True)))
         todo += module.get("child_modules", [])
     return out
 
 
+def _tf_modules(text: str) -> list[tuple]:
+    doc = json.loads(text)
+    todo, out = [(doc.get("values") or doc.get("planned_values") or {}).get("root_module") or {}], []
+    while todo:
+        module = todo.pop(0)
+        if module.get("address"):
+            out.append((module["address"], len(module.get("resources") or [])))
+        todo += module.get("child_modules") or []
+    return out
+
+
 def _redact(value):
     """Pulumi secret wrappers are masked wherever they are."""
     if isinstance(value, dict):
@@ -138,6 +162,11 @@ def terraform_resources(documents: DataFrame) -> DataFrame:
     return documents.select("path", "text").mapInPandas(_parsed(_tf_rows, ["path", "address", "type", "name", "values"]), "path string, address string, type string, name string, values string")
 
 
+def terraform_modules(documents: DataFrame) -> DataFrame:
+    """``path, address, resources``: the modules of state or plan documents and how many resources each has itself."""
+    return documents.select("path", "text").mapInPandas(_parsed(_tf_modules, ["path", "address", "resources"]), "path string, address string, resources long")
+
+
 def pulumi_resources(documents: DataFrame) -> DataFrame:
     """``path, urn, type, inputs, outputs``: the last record of each URN in exports, previews or event lines."""
     rows = documents.select("path", "text").mapInPandas(_parsed(_pulumi_rows, ["path", "seq", "urn", "type", "inputs", "outputs"]), "path string, seq long, urn string, type string, inputs string, outputs string")
@@ -145,46 +174,33 @@ def pulumi_resources(documents: DataFrame) -> DataFrame:
 
 
 def decision_records(documents: DataFrame) -> DataFrame:
-    """``path, title, status, governs, forbids`` of Markdown records by path (folder or file name) and size (up to 1 MiB)."""
+    """``path, title, status, governs, mentions, forbids`` of Markdown records by path (folder or file name) and size (up to 1 MiB).
+
+    A record governs what its field lists; what it names as inline code it mentions.
+    """
     named = F.col("path").rlike(r"(?i)(^|/)(adrs?|decisions?|rfcs?)/[^/]*\.md$") | F.col("path").rlike(r"(?i)(^|/)(adr|rfc)-[^/]*\.md$")
     field = lambda name: F.regexp_extract("text", rf"(?im)^\s*(?:[-*]\s*)?(?:\*\*)?{name}:(?:\*\*)?\s*(.+?)\s*$", 1)
     items = lambda c: F.filter(F.transform(F.split(c, ","), lambda x: F.regexp_replace(F.trim(x), "^`|`$", "")), lambda x: x != "")
     found = documents.where(named & (F.octet_length("text") <= 1 << 20))
     title = F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1)
     spans = F.regexp_extract_all("text", F.lit("`([^`\n]+)`"), F.lit(1))
-    governs = F.when(field("Governs") != "", items(field("Governs"))).otherwise(spans)
-    return found.select("path", title.alias("title"), field("Status").alias("status"), governs.alias("governs"), F.filter(items(field("Forbids")), lambda x: x.rlike("^[A-Z_]+$")).alias("forbids"))
+    return found.select("path", title.alias("title"), field("Status").alias("status"), items(field("Governs")).alias("governs"), spans.alias("mentions"), F.filter(items(field("Forbids")), lambda x: x.rlike("^[A-Z_]+$")).alias("forbids"))
+
+
+_JSONC = re.compile(r"""("(?:\\.|[^"\\])*"?)|//[^\n]*|/\*.*?(?:\*/|\Z)""", re.S)
+_TRAILING = re.compile(r"""("(?:\\.|[^"\\])*"?)|,(?=\s*[}\]])""", re.S)
 
 
 def without_comments(text: str) -> str:
-    """JSON text of JSONC: comments and trailing commas go, strings stay as they are."""
-    out, i, n = [], 0, len(text)
-    while i < n:
-        c = text[i]
-        if c == '"':
-            j = i + 1
-            while j < n and text[j] != '"':
-                j += 2 if text[j] == "\\" else 1
-            out.append(text[i : j + 1])
-            i = j + 1
-        elif text.startswith("//", i):
-            i = text.find("\n", i) if text.find("\n", i) >= 0 else n
-        elif text.startswith("/*", i):
-            i = text.find("*/", i) + 2 if text.find("*/", i) >= 0 else n
-        elif c == ",":
-            j = i + 1
-            rest = without_comments(text[j : j + 400]).lstrip() if j < n else ""
-            if not rest.startswith(("}", "]")):
-                out.append(c)
-            i += 1
-        else:
-            out.append(c)
-            i += 1
-    return "".join(out)
+    """JSON text of JSONC: comments go, then trailing commas; strings stay as they are.  Two passes over the text."""
+    for pattern in (_JSONC, _TRAILING):
+        text = pattern.sub(lambda m: m[1] or "", text)
+    return text
 
 
 def tsconfig_paths(documents: DataFrame) -> DataFrame:
-    """``dir, base_url, pattern, targets`` of tsconfig documents (``path, text``); an unreadable one has no patterns."""
+    """``dir, config_path, base_url, pattern, targets`` of tsconfig documents (``path, text``); one without patterns, or
+    unreadable, has one row without a pattern."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -192,18 +208,62 @@ def tsconfig_paths(documents: DataFrame) -> DataFrame:
             for path, text in zip(frame["path"], frame["text"], strict=True):
                 try:
                     options = json.loads(without_comments(text)).get("compilerOptions") or {}
-                except (ValueError, AttributeError):
+                except (ValueError, AttributeError, TypeError):
                     options = {}
                 folder, base = path.rpartition("/")[0], options.get("baseUrl")
                 paths = options.get("paths") or {}
-                rows += [(folder, base, p, list(t)) for p, t in paths.items()] or [(folder, base, None, [])]
-            yield pd.DataFrame(rows, columns=["dir", "base_url", "pattern", "targets"])
+                rows += [(folder, path, base, p, [x for x in t if isinstance(x, str)]) for p, t in paths.items()] or [(folder, path, base, None, [])]
+            yield pd.DataFrame(rows, columns=["dir", "config_path", "base_url", "pattern", "targets"])
 
-    return documents.select("path", "text").mapInPandas(parse, "dir string, base_url string, pattern string, targets array<string>")
+    return documents.select("path", "text").mapInPandas(parse, "dir string, config_path string, base_url string, pattern string, targets array<string>")
 
 
-def evidence_slice(content: DataFrame, limit: int = 256 << 10) -> DataFrame:
+def package_entries(documents: DataFrame) -> DataFrame:
+    """``name, dir, entries, config_path`` of package.json documents with a name and entries, in the order in which they
+    are preferred: exports (import, default, require), module, main."""
+
+    def entries(doc: dict) -> list[str]:
+        exports = doc.get("exports")
+        dot = exports.get(".") if isinstance(exports, dict) else exports
+        told = [dot.get(k) for k in ("import", "default", "require")] if isinstance(dot, dict) else [dot]
+        return [re.sub(r"^(?:\./)+", "", x) for x in [*told, doc.get("module"), doc.get("main")] if isinstance(x, str)]
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, text in zip(frame["path"], frame["text"], strict=True):
+                try:
+                    doc = json.loads(text)
+                except (ValueError, TypeError):
+                    continue
+                if isinstance(doc, dict) and isinstance(doc.get("name"), str) and entries(doc):
+                    rows.append((doc["name"], path.rpartition("/")[0], entries(doc), path))
+            yield pd.DataFrame(rows, columns=["name", "dir", "entries", "config_path"])
+
+    return documents.select("path", "text").mapInPandas(parse, "name string, dir string, entries array<string>, config_path string")
+
+
+WINDOW = 256 << 10
+
+
+def evidence_slice(content: DataFrame, limit: int = WINDOW) -> DataFrame:
     """``path, text, start_line``: the bytes byte_start to byte_end of each file (``path, content`` binary), then decoded."""
     part = F.expr("substring(content, cast(byte_start as int) + 1, cast(least(byte_end - byte_start, " + str(limit) + ") as int))")
-    before = F.expr("decode(substring(content, 1, cast(byte_start as int)), 'ISO-8859-1')")
-    return content.select("path", F.decode(part, "UTF-8").alias("text"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("start_line"))
+    return content.select("path", F.decode(part, "UTF-8").alias("text"), _line_of("byte_start").alias("start_line"))
+
+
+def _line_of(at: str) -> Column:
+    before = F.expr(f"decode(substring(content, 1, cast({at} as int)), 'ISO-8859-1')")
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def evidence_window(content: DataFrame, limit: int = WINDOW) -> DataFrame:
+    """``path, window_start, text, start_line, truncated``: at most `limit` bytes of each file (``path, content, byte_start,
+    byte_end``), from half the room before the span on, with the line that the window begins in; small files are whole."""
+    size, span = F.octet_length("content").cast("bigint"), (F.col("byte_end") - F.col("byte_start")).cast("bigint")
+    room = F.floor(F.greatest(F.lit(limit) - span, F.lit(0)) / 2)
+    start = F.when(size <= limit, F.lit(0)).otherwise(F.least(F.greatest(F.col("byte_start") - room, F.lit(0)), size)).cast("bigint")
+    framed = content.withColumn("window_start", start)
+    part = F.expr(f"substring(content, cast(window_start as int) + 1, {int(limit)})")
+    cut = (F.col("window_start") > 0) | (F.col("window_start") + limit < size)
+    return framed.select("path", "window_start", F.decode(part, "UTF-8").alias("text"), _line_of("window_start").alias("start_line"), cut.alias("truncated"))

@@ -7,7 +7,6 @@ import pytest
 from spanloom.plans import catalog
 from spanloom.plans.derived import TABLES
 
-LIGHT = [n for n in sorted(catalog.ORACLES) if not n.startswith(("op127", "op170", "op171", "op173"))]
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def rows(frame):
     return sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", LIGHT)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query(spark, duck, sf, name):
     ours, theirs = catalog.QUERIES[name](spark, sf).toPandas(), duck.execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
