@@ -23,7 +23,7 @@ SMALL_ROWS, SMALL_BYTES = 100_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder."""
+    """Whole URI of the shared folder, for Spark's file systems and others."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -32,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir("file://" + own)
         path = spark.sparkContext.getCheckpointDir()
-    return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return whole if "://" in whole else whole.replace(":/", ":///", 1)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
