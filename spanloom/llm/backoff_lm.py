@@ -1,18 +1,22 @@
 """Stupid-backoff language-model scores, computed relationally (operator 7).
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased.  Counts of all n-grams up to
-`order` over the whole corpus; a word w after context c scores count(c w) / count(c) where that n-gram occurs
-at least LEAST times, else BACKOFF times the score after the shorter context; a single word scores
-count(w) / N, or 1 / N below LEAST.  A document's score is the mean natural logarithm over its words.
+`order` over the whole corpus.  A document is scored by the counts of all other text, so its own occurrences are taken
+off: a word w after context c scores count(c w) / count(c) where that n-gram occurs elsewhere, else BACKOFF times
+the score after the shorter context; a single word scores count(w) / N, with N the words elsewhere, and 1 / N where it
+occurs nowhere else.  A document's score is the mean natural logarithm over its words.
 
 Relations: the corpus is dealt into chunks of documents.  A chunk explodes its n-grams and pre-aggregates them;
 what is shuffled are not single rows but blocks: the sorted distinct hashes, with counts, that one chunk has in one
 hash bucket.  The count table is partitioned by these buckets: each bucket adds up what all chunks hold of it
 and joins the totals back to each chunk's block.  The totals, in the order of the block's hashes, meet their chunk's
-documents again (the same shuffle of the texts is read twice), whose n-grams are looked up and summed per document.  Chunk and bucket numbers grow with the corpus, so a task's memory does not.
+documents again (the same shuffle of the texts is read twice), whose n-grams are looked up and summed per document.
+Chunk and bucket numbers grow with the corpus, and so do partitions, so a task's memory and input do not.  Blocks are as
+many as any shuffle has (chunks times buckets), and never more than the pre-aggregated n-grams.
 
 N-grams are identified by 64-bit hashes.  Defined results: a document without words (or null) has n_words 0 and
-a null score.  Repeated rows count, and score, each on its own.
+a null score.  Repeated rows count, and score, each on its own: each is text elsewhere for the others.  Other columns do
+not take part.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import U, blocks, windows
-ORDER = 2
-LEAST = 2
+from .hashing import PLACE, U, blocks, mix, windows
+
+ORDER = 3
 BACKOFF = 0.4
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000
+#: Chunks or buckets in a partition where they would otherwise be more.
+TOGETHER = 16
 _BLOCK = "chunk long, bucket long, keys binary, counts binary"
 
 
@@ -51,17 +57,17 @@ def _ngrams(column: pa.Array, order: int) -> Iterator[tuple[int, list[tuple[np.n
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, each in as many bytes as the largest needs."""
+    """Sorted keys as differences, each in as many bytes as the largest needs; first all lowest bytes, then the next ..."""
     gaps = np.diff(keys, prepend=U(0))
     gaps[0] = 0
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     width = data[0]
     gaps = np.zeros((len(data) - 9) // width, dtype=U)
-    gaps.view(np.uint8).reshape(-1, 8)[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
+    gaps.view(np.uint8).reshape(-1, 8)[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(width, -1).T
     gaps[0] = int.from_bytes(data[1:9], "little")
     return np.cumsum(gaps, dtype=U)
 
@@ -110,6 +116,13 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("chunk"), table.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "counts"])
 
 
+def _elsewhere(total: np.ndarray, hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Total counts of the n-grams of some texts without those in the n-gram's own text."""
+    owner = np.repeat(np.arange(len(begin) - 1, dtype=np.int64), np.diff(begin))
+    _, place, count = np.unique(mix(hashes + owner.astype(U) * PLACE[9]), return_inverse=True, return_counts=True)
+    return total - count[place]
+
+
 def _scored(order: int, words: int):
     def scored(key: tuple, docs: pa.Table, table: pa.Table) -> pa.Table:
         grams_of = [grams for _, grams in _ngrams(docs.column("text"), order)]
@@ -121,9 +134,11 @@ def _scored(order: int, words: int):
             known.append((keys, np.concatenate(counts) if counts else np.zeros(0, np.int64)))
         count, score = [], []
         for grams in grams_of:
-            found = [known[n][1][np.searchsorted(known[n][0], grams[n][0])] if len(grams[n][0]) else np.zeros(0, np.int64) for n in range(order)]
+            found = [_elsewhere(known[n][1][np.searchsorted(known[n][0], grams[n][0])], *grams[n]) if len(grams[n][0]) else np.zeros(0, np.int64) for n in range(order)]
             at = grams[0][1]
-            logs = np.log(np.where(found[0] >= LEAST, found[0], 1) / words)
+            size = np.diff(at)
+            rest = np.repeat(np.maximum(words - size, 1), size)
+            logs = np.log(np.maximum(found[0], 1) / rest)
             for n in range(1, order):
                 begin = grams[n][1]
                 # n-gram i of a text ends at its word i + n and has the (n)-gram i before as context
@@ -131,10 +146,7 @@ def _scored(order: int, words: int):
                 inside = np.arange(len(owner)) - begin[owner]
                 end = at[owner] + inside + n
                 context = found[n - 1][grams[n - 1][1][owner] + inside]
-                better = found[n] >= LEAST
-                back = logs[end] + np.log(BACKOFF)
-                logs[end] = np.where(better, np.log(np.maximum(found[n], 1) / np.maximum(context, 1)), back)
-            size = np.diff(at)
+                logs[end] = np.where(found[n] > 0, np.log(np.maximum(found[n], 1) / np.maximum(context, 1)), logs[end] + np.log(BACKOFF))
             sums = np.concatenate([[0.0], np.cumsum(logs)])
             count.append(size)
             score.append(np.where(size > 0, (sums[at[1:]] - sums[at[:-1]]) / np.maximum(size, 1), np.nan))
@@ -145,14 +157,20 @@ def _scored(order: int, words: int):
     return scored
 
 
+def _dealt(df: DataFrame, column: str, groups: int) -> DataFrame:
+    """By the column, in more partitions than usual where there would be more than TOGETHER groups in one."""
+    need = -(-groups // TOGETHER)
+    return df.repartition(need, column) if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def backoff_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_words, score`` for every document, with counts from all of them."""
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.select(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
     chunks = max(1, -(-(size["bytes"] or 0) // CHUNK_BYTES))
     buckets = max(1, -(-(size["bytes"] or 0) // BUCKET_BYTES))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    parts = dealt.groupBy("chunk").applyInArrow(_chunk_counts(order, buckets), _BLOCK)
+    dealt = _dealt(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), "chunk", chunks)
+    parts = _dealt(dealt.groupBy("chunk").applyInArrow(_chunk_counts(order, buckets), _BLOCK), "bucket", buckets * order)
     totals = parts.groupBy("bucket").applyInArrow(_totals, "chunk long, bucket long, counts binary")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
     return dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scored(order, max(1, size["words"] or 0)), schema)
