@@ -9,9 +9,13 @@ task that failed and ran again is never referred to.
 Reading: the selected index rows are dealt out by file and sorted by offset; neighbouring byte ranges with gaps of up
 to GAP bytes are coalesced into single reads of at most READ bytes, and the records in them parsed.
 
-Files are opened through pyarrow's file systems, so the folder may be on any store that they know.  Defined
-results: a null html is the empty payload, a null url the empty URL.  Rows that repeat the smallest page_id of
-their payload are all responses.  A null page_id is never a response to others; alone it is one.
+Files are opened by their whole URI, which the index holds, through pyarrow's file systems, so the folder may be on any
+store that they know.  Record ids are unique: page, archive and offset.  A revisit names its response by the page and by
+the payload's digest, as the response may lie in an archive not written yet.
+
+Defined results: a null html is the empty payload, a null url the empty URL.  Rows that repeat the smallest page_id of
+their payload are all responses.  A null page_id is never a response to others; alone it is one.  Other columns do not
+take part.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import fresh_path, small, written
+from .workspace import dropped, fresh_path, small, written
 
 LEAST_PAYLOAD = 100
 GAP = 64 << 10
@@ -39,12 +43,12 @@ def _clean(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; refers_to is None for a response."""
+def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, place: str = "0:0") -> bytes:
+    """One WARC record; refers_to is None for a response, `place` tells records of one page apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {_clean(url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)[:-1]}:{place}>", f"WARC-Target-URI: {_clean(url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -65,7 +69,7 @@ def parsed(data: bytes) -> dict:
         size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     bare = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else ""
-    return {"record_type": fields["WARC-Type"], "page": bare(fields["WARC-Record-ID"]), "refers_to": bare(fields.get("WARC-Refers-To")), "bytes": size, "digest": digest, "payload": payload}
+    return {"record_type": fields["WARC-Type"], "page": bare(fields["WARC-Record-ID"]).rsplit(":", 2)[0], "refers_to": bare(fields.get("WARC-Refers-To")), "bytes": size, "digest": digest, "payload": payload}
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
@@ -80,14 +84,15 @@ def write_archives(pages: DataFrame) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pa.fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        name, at, out = f"{path}/{uuid.uuid4().hex}.warc.gz", 0, None
+        archive, at, out = uuid.uuid4().hex, 0, None
+        name = f"{folder}/{archive}.warc.gz"
         try:
             for batch in batches:
                 rows = []
                 for r in batch.to_pylist():
-                    out = out or store.open_output_stream(name, compression=None)
+                    out = out or store.open_output_stream(f"{path}/{archive}.warc.gz", compression=None)
                     press = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    data = press.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"])) + press.flush()
+                    data = press.compress(record(r["page_id"], r["url"], r["html"].encode(), r["digest"], r["refers_to"], f"{archive}:{at}")) + press.flush()
                     out.write(data)
                     rows.append({"file": name, "offset": at, "length": len(data), "url": r["url"], "digest": r["digest"], "page_id": r["page_id"], "record_type": "response" if r["refers_to"] is None else "revisit", "refers_to": r["refers_to"]})
                     at += len(data)
@@ -103,7 +108,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     ddl = INDEX.format(kind, kind)
     index_schema = to_arrow_schema(StructType.fromDDL(ddl))
     index = written(body.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(write, ddl), "index")
-    index._archives = folder
+    dropped(groups)
     return index
 
 
@@ -122,18 +127,16 @@ def ranges(rows: list[dict]) -> Iterator[list[dict]]:
 def read_records(index: DataFrame) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to, payload`` of the records in `index`, which may be any selection."""
     kind = dict(index.dtypes)["page_id"]
-    uri = getattr(index, "_archives", None) or ""
-    scheme = uri.split(":", 1)[0]
     ddl = f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, payload binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, opened, name = None, None, None
+        opened, name = None, None
         for batch in batches:
             for run in ranges(batch.to_pylist()):
-                if store is None:
-                    store = pa.fs.FileSystem.from_uri(uri)[0] if scheme else pa.fs.LocalFileSystem()
                 if name != run[0]["file"]:
-                    opened, name = store.open_input_file(run[0]["file"]), run[0]["file"]
+                    name = run[0]["file"]
+                    store, path = pa.fs.FileSystem.from_uri(name)
+                    opened = store.open_input_file(path)
                 begin = run[0]["offset"]
                 data = opened.read_at(run[-1]["offset"] + run[-1]["length"] - begin, begin)
                 rows = []
