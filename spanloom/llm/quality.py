@@ -11,11 +11,12 @@ lines occur, each share put on a logarithmic scale of levels.
 
 Training uses the labelled documents with the SAMPLE smallest hashes of doc_id (the documented bound; all of
 them where there are fewer); their features, not their texts, go to the driver, which fits by full-batch adaptive
-gradient steps.  Ratings outside 0 and 1 or null leave a row out.  Without any labelled rows every document
-gets the even odds of an unfitted model and all are kept.
+gradient steps.  Ratings outside 0 and 1 or null leave a row out; of contradictory ratings of a document the lowest grade
+counts.  Without any labelled rows every document gets the even odds of an unfitted model and all are kept.
 
-Defined results: a null text is the empty text and is rejected (tail probability 0).  Repeated rows have equal
-results.  Other columns are kept by `accepted`.
+Defined results: a null text is the empty text and is rejected (tail probability 0); an empty table gives none.  Texts
+of any length are read whole.  Repeated rows have equal results.  Other columns, whatever their names, are kept by
+`accepted` and ignored by `graded`.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LETTERS, PLACE, Block, U, blocks, mix
-from .workspace import small, written
+from .workspace import dropped, small, written
 
 SAMPLE = 8_000
 WIDTH = 1 << 20
@@ -39,8 +40,9 @@ KEEP = 0.4
 STEPS = 200
 RIDGE = 2e-4
 LEAST_COUNT = 6
-#: A feature is used from this score on; with many rows, from this correlation on.
-SCREEN, STRENGTH = 5.0, 0.075
+#: A feature is used if its association with a boundary between grades is both significant (score of the test) and strong
+#: (correlation), and if it occurs in LEAST_COUNT labelled texts: three constants, however many are labelled.
+SCREEN, STRENGTH = 5.0, 0.09
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-()"]] = True
 _UPPER = np.zeros(256, dtype=bool)
@@ -114,22 +116,31 @@ def fit(grades: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     weights, cuts = np.zeros(WIDTH), np.array([-1.0, 1.0])
     if not len(grades):
         return weights, np.array([0.0, 0.0])
-    flat = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
     above = np.stack([grades > 0, grades > 1]).astype(float)
-    # screening: only features whose presence is associated with a boundary between grades, by a score test
-    count = np.bincount(flat, minlength=WIDTH).astype(float)
+    # screening: only features whose presence is associated with a boundary between grades, by a score test; some texts at a time
+    some = [slice(k, k + 500) for k in range(0, len(lists), 500)]
+    of = lambda part: np.repeat(np.arange(part.start, min(part.stop, len(lists)), dtype=np.int32), [len(x) for x in lists[part]])
+    count, seen = np.zeros(WIDTH), np.zeros((2, WIDTH))
+    for part in some:
+        flat, owner = np.concatenate(lists[part]), of(part)
+        count += np.bincount(flat, minlength=WIDTH)
+        for k in range(2):
+            seen[k] += np.bincount(flat, weights=above[k][owner], minlength=WIDTH)
     strongest = np.zeros(WIDTH)
-    for y in above:
-        rate = y.mean()
-        seen = np.bincount(flat, weights=y[owner], minlength=WIDTH)
+    for k, rate in enumerate(above.mean(1)):
         spread = np.sqrt(np.maximum(count * rate * (1 - rate) * (1 - count / len(grades)), 1e-9))
-        strongest = np.maximum(strongest, np.abs(seen - count * rate) / np.maximum(spread, 0.5))
-    chosen = np.flatnonzero((strongest >= max(SCREEN, STRENGTH * np.sqrt(len(grades)))) & (count >= min(LEAST_COUNT, max(1, len(grades) // 20))))
+        strongest = np.maximum(strongest, np.abs(seen[k] - count * rate) / np.maximum(spread, 0.5))
+    chosen = np.flatnonzero((strongest >= SCREEN) & (strongest / np.sqrt(len(grades)) >= STRENGTH) & (count >= LEAST_COUNT))
     place = np.full(WIDTH, -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[flat] >= 0
-    flat, owner, width = place[flat[keep]], owner[keep], len(chosen)
+    del seen, strongest, count
+    flats, owners, width = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], len(chosen)
+    for part in some:
+        flat, owner = place[np.concatenate(lists[part])], of(part)
+        flats.append(flat[flat >= 0])
+        owners.append(owner[flat >= 0])
+    flat, owner = np.concatenate(flats), np.concatenate(owners)
+    del flats, owners, place
     part = np.zeros(width)
     share = np.array([np.mean(grades == g) for g in range(3)])
     weight = np.clip(1 / (3 * np.maximum(share, 1e-3)), 0.3, 3.0)[grades.astype(int)]
@@ -149,15 +160,20 @@ def fit(grades: np.ndarray, lists: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return weights, cuts
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """``doc_id, grade`` of every labelled document; of contradictory ratings the lowest grade counts."""
+    rated = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)")
+    return rated.groupBy("doc_id").agg(F.min(F.expr("if(quality = 0, 0, if(toxic = 1, 1, 2))")).alias("grade"))
+
+
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Fit on the labelled documents with the SAMPLE smallest hashes of doc_id."""
-    graded = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy("doc_id").agg(F.min(F.expr("if(quality = 0, 0, if(toxic = 1, 1, 2))")).alias("grade"))
-    chosen = written(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")
+    chosen = written(grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")
     docs = documents.select("doc_id", "text").where("text is not null").join(small(chosen, SAMPLE), "doc_id").select("grade", "text")
-    rows = docs.mapInArrow(_featured, "grade int, features binary").toPandas()
-    lists = [np.frombuffer(x, dtype="<i4") for x in rows.features]
-    order = sorted(range(len(lists)), key=lambda i: (rows.grade[i], rows.features[i]))  # the same fit whatever the row order
-    return fit(rows.grade.to_numpy()[order].astype(int), [lists[i] for i in order])
+    rows = docs.mapInArrow(_featured, "grade int, features binary").collect()
+    dropped(chosen)
+    rows.sort(key=lambda r: (r.grade, r.features))  # the same fit whatever the row order
+    return fit(np.array([r.grade for r in rows], dtype=np.int64), [np.frombuffer(r.features, dtype="<i4") for r in rows])
 
 
 def graded(documents: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
