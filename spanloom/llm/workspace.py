@@ -1,52 +1,16 @@
-"""Tables written to the folder that driver and executors share.
-
-Long plans are cut by writing a table and reading it again: a lost executor then costs one stage, not the
-whole lineage.  The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests)
-is a temporary folder made and set.
-"""
+"""Tables written to the folder that driver and executors share (see ``operators.lineage``)."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import dropped, fresh_path, release, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to the shared folder and read again."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Delete tables made by :func:`written`; frames that still read them must not be used afterwards."""
-    for df in frames:
-        path = getattr(df, "_written_to", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["dropped", "fresh_path", "release", "shared_dir", "small", "written"]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """With a broadcast hint if the (already written) frame has at most `rows` rows, else as it is: shuffled."""
+    """With a broadcast hint if the (already written) frame of a few numbers or digests in each row has at most `rows`
+    rows, which bounds its bytes; else as it is: shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -419,20 +419,29 @@ def test_backoff_brute_force(spark, monkeypatch, order):
     rng = random.Random(8)
     rows = [(0, None), (1, ""), (2, "solo"), (3, "a b"), (3, "a b")] + [(10 + k, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 40)))) for k in range(40)]
     docs = [(d, (t or "").lower().split()) for d, t in rows]
-    counts = {}
-    for _, w in docs:
-        for n in range(1, order + 1):
-            for i in range(len(w) - n + 1):
-                counts[tuple(w[i : i + n])] = counts.get(tuple(w[i : i + n]), 0) + 1
-    total = sum(len(w) for _, w in docs)
-
-    def score(gram):
-        c = counts.get(gram, 0)
-        if len(gram) == 1:
-            return (c if c >= 2 else 1) / total
-        return c / counts[gram[:-1]] if c >= 2 else 0.4 * score(gram[1:])
-
-    want = [(d, len(w), round(sum(np.log(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))) / len(w), 6) if w else None) for d, w in docs]
+
+    def counted(texts):
+        out = {}
+        for w in texts:
+            for n in range(1, order + 1):
+                for i in range(len(w) - n + 1):
+                    out[tuple(w[i : i + n])] = out.get(tuple(w[i : i + n]), 0) + 1
+        return out
+
+    counts, total = counted([w for _, w in docs]), sum(len(w) for _, w in docs)
+
+    def mean(w):
+        own = counted([w])
+        rest = lambda g: counts.get(g, 0) - own.get(g, 0)
+
+        def score(gram):
+            if len(gram) == 1:
+                return max(rest(gram), 1) / max(total - len(w), 1)
+            return rest(gram) / rest(gram[:-1]) if rest(gram) else 0.4 * score(gram[1:])
+
+        return round(sum(np.log(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))) / len(w), 6) if w else None
+
+    want = [(d, len(w), mean(w)) for d, w in docs]
     got = [(r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in backoff_lm.backoff_scores(frame(spark, rows), order).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -495,12 +504,26 @@ def test_warc_reads_a_selection(spark):
     rows = [(k, f"http://h/{k}", "x" * (200 + k)) for k in range(50)]
     index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
     few = index.where("page_id % 7 = 0")
-    few._archives = index._archives
     assert {(r.page_id, r.payload_bytes) for r in warc.read_records(few).collect()} == {(k, 200 + k) for k in range(0, 50, 7)}
     runs = list(warc.ranges([{"file": "a", "offset": 0, "length": 10}, {"file": "a", "offset": 20, "length": 5}, {"file": "a", "offset": 10**6, "length": 5}, {"file": "b", "offset": 0, "length": 1}]))
     assert [len(r) for r in runs] == [2, 1, 1]
 
 
+def test_warc_record_ids_are_unique(spark):
+    rows = [(1, "http://a", "x" * 300), (1, "http://b", "y" * 300), (None, "http://c", "z"), (2, "http://d", "x" * 300)]
+    index = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    found = index.collect()
+    assert all(re.match(r"\w+:/", r.file) for r in found), found[0].file
+    assert {r.url for r in found} == {u for _, u, _ in rows}
+    import gzip
+
+    heads = []
+    for r in found:
+        with open("/" + r.file.split(":", 1)[1].lstrip("/"), "rb") as file:
+            heads.append(re.search(rb"WARC-Record-ID: (\S+)", gzip.decompress(file.read()[r.offset : r.offset + r.length]))[1])
+    assert len(set(heads)) == 4
+
+
 def rules(t):
     t = t or ""
     w = re.findall("[^\x20\x09-\x0d]+", t)
@@ -536,3 +559,136 @@ def test_pipeline_keeps_clean(spark, sf, tmp_path):
             assert kept.columns == docs.columns
         assert 0 < kept.count() <= docs.count()
         docs = kept
+
+
+def test_language_needs_letters():
+    assert crf_language.words_of("½ ² Ⅳ 12 _ ①") == []
+    assert crf_language.words_of("x² aⅣb über") == ["x", "a", "b", "über"]
+
+
+def test_tagger_posteriors_by_enumeration():
+    """The recursion that predicts, against sums over all label paths."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    tagger = crf_language.Tagger(["a", "b", "c"], np.zeros((crf_language.WIDTH, 3)), rng.normal(size=(3, 3)))
+    tagger.scores = rng.normal(size=(10, 3)).astype(np.float32)
+    length = np.array([4, 3, 1])
+    index = rng.integers(0, 10, (4, 3)).astype(np.int32)
+    post, _ = tagger._posteriors(index, length)
+    for s, n in enumerate(length):
+        want, total = np.zeros((n, 3)), 0.0
+        for path in itertools.product(range(3), repeat=int(n)):
+            w = np.exp(sum(tagger.scores[index[i, s], y] for i, y in enumerate(path)) + sum(tagger.moves[x, y] for x, y in zip(path, path[1:], strict=False)))
+            total += w
+            for i, y in enumerate(path):
+                want[i, y] += w
+        assert np.allclose(post[:n, s], want / total, atol=1e-5)
+
+
+CLASHING = ("_t", "_w", "_c", "_h", "_hits", "_text", "row", "base", "spans", "node", "sig", "chunk", "bucket", "score", "kept", "grade", "trusted", "held_out", "window", "digest", "file", "p_good", "rid", "flag")
+
+
+def odd_documents(spark, kind):
+    if kind == "empty":
+        rows = []
+    elif kind == "nulls":
+        rows = [(None, None), (None, "some words of a text"), (1, None)]
+    elif kind == "repeated":
+        rows = [(1, "one text of some words, secret = abcdef123 " * 3)] * 3 + [(1, "another text")]
+    else:
+        rng = random.Random(3)
+        rows = [(1, " ".join(rng.choice(BASE) + str(rng.randrange(99)) for _ in range(60_000)) + " password = abcdef123"), (2, "short")]
+    docs = frame(spark, rows)
+    return docs.select("*", *[F.lit("x").alias(c) for c in CLASHING]) if kind == "clashing" or kind == "repeated" else docs
+
+
+DOCUMENT_OPERATORS = {
+    "op1": lambda d, labels, bench: secrets.secret_digests(d),
+    "op1_masked": lambda d, labels, bench: secrets.masked(d),
+    "op2": lambda d, labels, bench: bpe.bpe_digests(d),
+    "op3": lambda d, labels, bench: decontaminate.contamination(d, bench),
+    "op3_kept": lambda d, labels, bench: decontaminate.decontaminated(d, bench),
+    "op4": lambda d, labels, bench: jaccard_join.jaccard_classes(d),
+    "op5": lambda d, labels, bench: quality.graded(d, labels),
+    "op5_kept": lambda d, labels, bench: quality.accepted(d, labels),
+    "op6": lambda d, labels, bench: crf_language.languages(d),
+    "op7": lambda d, labels, bench: backoff_lm.backoff_scores(d),
+    "op10": lambda d, labels, bench: quality_rules.quality_rules(d, labels),
+}
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "repeated", "long"])
+@pytest.mark.parametrize("name", DOCUMENT_OPERATORS)
+def test_odd_documents(spark, name, kind):
+    """Every operator takes empty tables, nulls, repeated rows with clashing columns and very long texts, row for row."""
+    docs = odd_documents(spark, kind)
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(7, "another text"), (None, None)], "item_id long, text string")
+    got = DOCUMENT_OPERATORS[name](docs, labels, bench)
+    rows = got.collect()
+    if name.endswith("_kept"):
+        assert len(rows) <= docs.count() and got.columns == docs.columns
+    else:
+        assert len(rows) == docs.count()
+    if kind == "repeated" and not name.endswith("_kept"):
+        assert len({tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows}) <= 2  # equal rows have equal results
+    if name == "op1_masked" and kind == "long":
+        assert rows[0].text.endswith("[assign]") or rows[1].text.endswith("[assign]")
+
+
+def test_odd_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string, pieces string, lines string"
+    assert chat.chat_digests(spark.createDataFrame([], schema)).count() == 0
+    long = [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k} " * 50, "x", "y") for k in range(120)]
+    rows = chat.chat_digests(spark.createDataFrame([*long, (2, 0, "assistant", "z" * 300_000, "x", "y"), (None, None, None, None, "x", "y")], schema)).collect()
+    got = {r.conv_id: r for r in rows}
+    assert got[1].n_turns == 120 and got[1].loss_chars == sum(len(t[3]) for t in long if t[2] == "assistant")
+    assert got[2].loss_chars == 300_000 and got[None].n_turns == 1 and got[None].loss_chars == 0
+
+
+def test_odd_pages(spark):
+    schema = "page_id long, url string, html string, digest string, first string, file string"
+    assert warc.warc_round_trip(spark.createDataFrame([], schema)).count() == 0
+    big = "".join(chr(97 + k % 26) for k in range(3_000_000))
+    rows = warc.warc_round_trip(spark.createDataFrame([(1, "u", big, "d", "f", "g"), (2, "v", big, "d", "f", "g")], schema)).collect()
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in rows} == {(1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1)}
+
+
+def test_contradictory_labels_count_as_the_lowest_grade(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in quality.grades(labels).collect()} == {(1, 0), (2, 2)}
+
+
+def test_quality_score_by_hand(spark):
+    """The likelihood ratio of one text, from counts made apart."""
+    docs = frame(spark, [(1, "aa bb aa"), (2, "cc dd"), (3, "aa cc")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    words = lambda t: t.split() + list(zip(t.split(), t.split()[1:], strict=False))
+    raw, good = words("aa bb aa") + words("cc dd") + words("aa cc"), words("aa bb aa")
+    width = quality_rules.WIDTH
+    ratio = lambda g: np.log((good.count(g) + 1) / (len(good) + width)) - np.log((raw.count(g) + 1) / (len(raw) + width))
+    got = {r.doc_id: (r.score, r.kept) for r in quality_rules.quality_rules(docs, labels).collect()}
+    for d, t in ((1, "aa bb aa"), (2, "cc dd"), (3, "aa cc")):
+        assert abs(got[d][0] - np.mean([ratio(g) for g in words(t)])) < 1e-9 and not got[d][1]  # too few words to be kept
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, body), (None, body), (1, body), (1, body), (2, body + " x"), (3, None), (4, ""), (5, "alpha beta gamma"), (6, "password = abcdef123 and " + body[:50]), (7, body[100:]), (7, "other text " + body[:80])]
+    docs = frame(spark, rows).withColumn("_h", F.lit("x"))
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, folder).collect()
+    ids = sorted((r.doc_id for r in out), key=str)
+    assert ids == [1, 6, 7, 7] or ids == [1, 6, 7, 7, None]
+    spark.createDataFrame([], docs.schema).write.parquet(f"{folder}/none/documents.parquet")
+    labels.write.parquet(f"{folder}/none/labels.parquet")
+    bench.write.parquet(f"{folder}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
