@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from .hashing import PLACE, U, blocks, mix, windows
 
-ORDER = 3
+#: Order 3 takes 4.7 times the input in shuffles, order 2 about 3.
+ORDER = 2
 BACKOFF = 0.4
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000
