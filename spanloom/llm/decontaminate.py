@@ -1,32 +1,35 @@
-"""Benchmark decontamination by a shipped set of n-gram hashes (operator 3; DataFrame functions only).
+"""Benchmark decontamination by a broadcast set of n-gram hashes (operator 3; DataFrame functions only).
 
-Method: the windows of 13 normalised words of every benchmark item (a shorter item is one window) are hashed;
-the set travels with the plan, as a constant that Spark's optimizer turns into a hash set.  Each document is
-scanned in one pass, without a shuffle: of any window of L words, one aligned run of (L + 1) // 2 words lies on
-a multiple of that length, so only those runs are looked up at first.  Documents with such a run have every
-window looked up, and windows whose hash is in the set are compared word for word with the benchmark's.
+Method: the windows of 13 normalised words of every benchmark item (a shorter item is one window) are hashed.  Of any
+window of L words, one aligned run of (L + 1) // 2 words lies on a multiple of that length, so each document is first
+scanned for aligned runs only: their hashes are looked up in the set of the runs of all windows, which travels with the
+plan as a constant hash set.  Documents with such a run, and only they, have all their windows hashed and joined to the
+broadcast windows; hits are verified word for word.
 
-Size: at most SET_SIZE windows are shipped at a time; a larger benchmark is taken in several blocks, each one
-more expression over the same row, so neither driver nor executors hold more than a block in a set.
+Sizes are counted first.  With more than SET_RUNS runs, the aligned runs of the documents are joined to the runs instead
+of looked up; windows beyond SET_WINDOWS or SET_BYTES are joined by a shuffle instead of broadcast.  Both give the same
+rows, at any size of the benchmark.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and all characters from U+0080 on.  Defined results: a
 null or wordless text has no words and no hits, nor has a null or wordless item.  Repeated rows give repeated
-results; items that share an item_id count once.  Null item ids hit but are not listed.  Other columns of the
-documents are kept by `decontaminated` and ignored by `contamination`.
+results; items that share an item_id count once.  Null item ids hit but are not listed.  Texts of any length are scanned
+whole.  Other columns of the documents, whatever their names, are kept by `decontaminated` and ignored by `contamination`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import written
+from .workspace import dropped, small, written
 
 N = 13
-SET_SIZE = 20_000
+#: Bounds of what is shipped to every task: hashes in the set, windows in the broadcast and their bytes.
+SET_RUNS, SET_WINDOWS, SET_BYTES = 50_000, 200_000, 32 << 20
+#: Contaminated rows are broadcast by their numbers up to so many.
+BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,13 +38,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), "")
 
 
-def _runs(array: Column, length: int, step: int) -> Column:
-    """Hashes of the runs of `length` words that begin at multiples of `step`."""
-    count = F.floor((F.size(array) - length) / step).cast("int")
-    return F.when(F.size(array) >= length, F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.slice(array, i * step + 1, length)))).otherwise(F.array().cast("array<bigint>"))
+def _half(length: int) -> int:
+    return (length + 1) // 2
 
 
-def _windows(benchmark: DataFrame) -> DataFrame:
+def _aligned(w: Column, half: int) -> Column:
+    """Hashes of the runs of `half` words that begin at multiples of `half`."""
+    last = F.floor((F.size(w) - half) / half).cast("int")
+    return F.when(F.size(w) >= half, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(w, i * half + 1, half)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def windows(benchmark: DataFrame) -> DataFrame:
     """The distinct windows: ``length, window`` (words joined by spaces), ``items`` (sorted ids), ``whole`` (its hash)
     and ``parts`` (the hashes of its runs of (length + 1) // 2 words)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
@@ -52,61 +59,89 @@ def _windows(benchmark: DataFrame) -> DataFrame:
     return sets.select("length", F.array_join("w", " ").alias("window"), "items", F.xxhash64("w").alias("whole"), parts.alias("parts"))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list]:
-    rows = _windows(benchmark).orderBy("length", "window").toLocalIterator()
-    while block := list(islice(rows, SET_SIZE)):
-        yield block
-
-
-def _with_hits(docs: DataFrame, block: list) -> tuple[DataFrame, list[str]]:
-    """Adds, for each window length of the block, a column of hits: array of (start, end, items)."""
-    added = []
-    for length in sorted({r.length for r in block}):
-        mine = [r for r in block if r.length == length]
-        half = (length + 1) // 2
-        whole, parts = sorted({r.whole for r in mine}), sorted({x for r in mine for x in r.parts})
-        ids = sorted({x for r in mine for x in r["items"]})
-        at = {x: k + 1 for k, x in enumerate(ids)}
-        # constants: windows, and for each the places of its items in `ids`
-        known = F.split(F.lit("\n".join(r.window for r in mine)), "\n")
-        owners = F.split(F.lit("\n".join(" ".join(str(at[x]) for x in r["items"]) for r in mine)), "\n")
-        name, w = f"_hits{len(docs.columns)}", F.col("_w")
-        maybe = F.exists(_runs(w, half, half), lambda h: h.isin(parts))
-        starts = F.filter(F.sequence(F.lit(1), F.size(w) - length + 1), lambda i: F.xxhash64(F.slice(w, i, length)).isin(whole))
-
-        places = F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_position(known, F.array_join(F.slice(w, i, length), " ")).cast("int").alias("at")))
-        items = F.array(*[F.lit(x) for x in ids]).cast("array<string>")
-        own = lambda h: F.transform(F.filter(F.split(F.element_at(owners, h["at"]), " "), lambda x: x != ""), lambda x: F.element_at(items, x.cast("int")))
-        hits = F.transform(F.filter(places, lambda h: h["at"] > 0), lambda h: F.struct(h["start"].alias("start"), (h["start"] + length).alias("end"), own(h).alias("items")))
-        docs = docs.withColumn(name, F.when((F.size(w) >= length) & maybe, hits))
-        added.append(name)
-    return docs, added
-
-
-def _judged(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_w`` (words), ``_hits`` sorted by start, ``n_words, n_hit, n_items, items_sha256, contaminated``."""
-    docs, names = docs.withColumn("_w", words(F.col(text))), []
-    for block in _blocks(benchmark):
-        docs, more = _with_hits(docs, block)
-        names += more
-    none = F.array().cast("array<struct<start:int,end:int,items:array<string>>>")
-    every = F.concat(none, *[F.coalesce(F.col(n), none) for n in names]) if names else none
-    docs = docs.withColumn("_hits", F.array_sort(every)).drop(*names)
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
-    covered = F.aggregate("_hits", start, lambda a, h: F.struct(F.greatest(a["end"], h["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(a["end"], h["start"]))).alias("n")), lambda a: a["n"])
-    docs = docs.withColumns({"n_words": F.size("_w").cast("bigint"), "n_hit": covered, "_items": F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"]))))})
-    return docs.withColumns({"n_items": F.size("_items").cast("bigint"), "items_sha256": F.sha2(F.array_join("_items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))}).drop("_items")
+class Scan:
+    """Documents (one text and some columns to carry) held against a benchmark.
+
+    ``rows`` (``rid``, the carried columns, ``n_words``) has a row for every document, and ``verdicts`` one for each that was
+    hit: ``rid, n_hit, items, hits, contaminated``.  rid is a number written with the row, so it holds when tasks run again.
+    """
+
+    def __init__(self, documents: DataFrame, carried: list[Column], text: Column, benchmark: DataFrame):
+        self.known = written(windows(benchmark), "windows")
+        size = self.known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("window") + 16 * F.size("items")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("runs")).first()
+        self.lengths = sorted(r.length for r in self.known.select("length").distinct().collect())  # N at most
+        plain = documents.select(*carried, words(text).alias("_w")).withColumn("n_words", F.size("_w"))
+        scanned = self._by_set(plain) if size.runs <= SET_RUNS else plain
+        table = written(scanned.withColumn("rid", F.monotonically_increasing_id()), "scan")
+        self.rows = table.drop("_w")
+        asked = table.where("_w is not null").select("rid", "_w")
+        if size.runs > SET_RUNS:
+            asked = asked.join(self._by_join(asked), "rid", "left_semi")
+        self.known = F.broadcast(self.known) if size.n <= SET_WINDOWS and size.bytes <= SET_BYTES else self.known
+        self.verdicts = written(self._verdicts(asked, self.rows), "verdicts")
+
+    def _by_set(self, plain: DataFrame) -> DataFrame:
+        """With the words only of documents that have an aligned run of the benchmark's."""
+        maybe, columns = F.lit(False), plain.columns
+        for half in sorted({_half(x) for x in self.lengths}):
+            mine = [x for x in self.lengths if _half(x) == half]
+            runs = self.known.where(F.col("length").isin(mine)).select(F.explode("parts").alias("p")).distinct().collect()  # SET_RUNS at most
+            held = ", ".join(f"{r.p}L" if r.p > -(1 << 63) else "cast('-9223372036854775808' as bigint)" for r in runs)
+            plain = plain.withColumn(f"_runs{half}", F.when(F.size("_w") >= min(mine), _aligned(F.col("_w"), half)).otherwise(F.array().cast("array<bigint>")))
+            maybe = maybe | F.expr(f"exists(_runs{half}, h -> h in ({held}))")
+        return plain.withColumn("_w", F.when(maybe, F.col("_w"))).select(*columns)
+
+    def _by_join(self, asked: DataFrame) -> DataFrame:
+        """The numbers of documents that have an aligned run of the benchmark's."""
+        runs = self.known.select(F.expr("cast((length + 1) div 2 as int)").alias("half"), F.explode("parts").alias("run")).distinct()
+        halves = sorted({_half(x) for x in self.lengths})
+        each = [asked.select("rid", F.lit(h).alias("half"), F.explode(F.array_distinct(_aligned(F.col("_w"), h))).alias("run")) for h in halves]
+        return reduce(DataFrame.unionAll, each).join(runs, ["half", "run"], "left_semi").select("rid").distinct()
+
+    def _verdicts(self, asked: DataFrame, rows: DataFrame) -> DataFrame:
+        found = None
+        for length in self.lengths:
+            at = asked.where(F.size("_w") >= length).select("rid", "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - length + 1)).alias("start"))
+            cut = F.slice("_w", F.col("start"), length)
+            here = at.select("rid", "start", F.xxhash64(cut).alias("whole"), F.array_join(cut, " ").alias("_words"))
+            hits = here.join(self.known.where(F.col("length") == length).select("whole", "window", "items"), "whole").where("_words = window")
+            hits = hits.select("rid", F.struct("start", (F.col("start") + length).alias("end"), "items").alias("hit"))
+            found = hits if found is None else found.unionAll(hits)
+        if found is None:
+            none = F.lit(None).cast("struct<start:int,end:int,items:array<string>>")
+            found = asked.limit(0).select("rid", none.alias("hit"))
+        told = found.groupBy("rid").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+        start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
+        covered = F.aggregate("hits", start, lambda a, h: F.struct(F.greatest(a["end"], h["end"]).alias("end"), (a["n"] + F.greatest(F.lit(0), h["end"] - F.greatest(a["end"], h["start"]))).alias("n")), lambda a: a["n"])
+        told = told.select("rid", "hits", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"])))).alias("items"))
+        return told.join(rows.select("rid", "n_words"), "rid").select("rid", "n_hit", "items", "hits", (20 * F.col("n_hit") >= F.col("n_words")).alias("contaminated"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document."""
-    return _judged(documents.select("doc_id", "text"), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    scan = Scan(documents, [F.col("doc_id")], F.col("text"), benchmark)
+    out = scan.rows.join(scan.verdicts, "rid", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(
+        "doc_id",
+        F.col("n_words").cast("bigint").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+    )
+
+
+def hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, start, end, items``: each occurrence of a window, in words from 1 on, end exclusive."""
+    scan = Scan(documents, [F.col("doc_id")], F.col("text"), benchmark)
+    return scan.rows.join(scan.verdicts, "rid").select("doc_id", F.inline("hits"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that are contaminated; all columns as they were."""
-    columns = documents.columns
-    plain = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).withColumn("text", F.col("row.text"))
-    # written first: a filter on the verdict would be pushed below it and repeat the scan inside every lambda
-    judged = written(_judged(plain, benchmark).select("row", "contaminated"), "judged")
-    return judged.where("not contaminated").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    scan = Scan(documents, [row.alias("row")], F.col("text"), benchmark)
+    gone = written(scan.verdicts.where("contaminated").select("rid"), "contaminated")
+    dropped(scan.verdicts)
+    return scan.rows.join(small(gone, BROADCAST_ROWS), "rid", "left_anti").select("row.*")
