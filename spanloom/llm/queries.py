@@ -82,17 +82,15 @@ ORACLES: dict[str, str] = {
  c as (select a as doc_id, min(b) as component_id from r group by a)
  select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id from w left join n on n.doc_id = w.doc_id join c on c.doc_id = w.doc_id""",
     "op7_lm_scoring": f"""with w as (select doc_id, {_WORDS} as w from documents),
- t as (select doc_id, i, w[i] as word, case when i > 1 then w[i - 1] || ' ' || w[i] end as two, case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as three from (select doc_id, w, unnest(generate_series(1, len(w))) as i from w)),
- g as (select doc_id, word as g from t union all select doc_id, two from t where two is not null union all select doc_id, three from t where three is not null),
+ t as (select doc_id, i, w[i] as word, case when i > 1 then w[i - 1] || ' ' || w[i] end as two from (select doc_id, w, unnest(generate_series(1, len(w))) as i from w)),
+ g as (select doc_id, word as g from t union all select doc_id, two from t where two is not null),
  own as (select doc_id, g, count(*) as c from g group by 1, 2), allc as (select g, sum(c) as c from own group by g),
  els as (select own.doc_id, own.g, allc.c - own.c as c from own join allc on allc.g = own.g),
  n as (select (select count(*) from t) as n), size as (select doc_id, count(*) as d from t group by doc_id),
- x as (select t.doc_id, t.i, ln(greatest(u.c, 1) / greatest(n.n - size.d, 1)) as l1, b.c as c2, bu.c as ctx2, r.c as c3, rb.c as ctx3
+ x as (select t.doc_id, t.i, ln(greatest(u.c, 1) / greatest(n.n - size.d, 1)) as l1, b.c as c2, bu.c as ctx2
   from t cross join n join size on size.doc_id = t.doc_id join els u on u.doc_id = t.doc_id and u.g = t.word
-  left join els b on b.doc_id = t.doc_id and b.g = t.two left join els bu on bu.doc_id = t.doc_id and bu.g = split_part(t.two, ' ', 1)
-  left join els r on r.doc_id = t.doc_id and r.g = t.three left join els rb on rb.doc_id = t.doc_id and rb.g = split_part(t.three, ' ', 1) || ' ' || split_part(t.three, ' ', 2)),
- y as (select *, case when i = 1 then l1 when c2 > 0 then ln(c2 / ctx2) else l1 + ln(0.4) end as l2 from x),
- m as (select doc_id, count(*) as n, sum(case when i <= 2 then l2 when c3 > 0 then ln(c3 / ctx3) else l2 + ln(0.4) end) as s from y group by doc_id)
+  left join els b on b.doc_id = t.doc_id and b.g = t.two left join els bu on bu.doc_id = t.doc_id and bu.g = split_part(t.two, ' ', 1)),
+ m as (select doc_id, count(*) as n, sum(case when i = 1 then l1 when c2 > 0 then ln(c2 / ctx2) else l1 + ln(0.4) end) as s from x group by doc_id)
  select w.doc_id, coalesce(m.n, 0) as n_words, round(m.s / m.n, 6) as score from w left join m on m.doc_id = w.doc_id""",
     "op8_chat_formatting": """with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
  select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256,
