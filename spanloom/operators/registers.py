@@ -78,8 +78,9 @@ def security_findings(endpoints: DataFrame, grants: DataFrame) -> DataFrame:
 
 
 def union_of_evidence(facts: DataFrame, key: str) -> DataFrame:
-    """``key, evidence``: sorted distinct evidence of all facts with a key."""
-    return facts.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    """``key, evidence``: sorted distinct evidence of all facts with a key; repeats go before anything is gathered."""
+    each = facts.select(key, F.explode_outer("evidence").alias("e")).distinct()
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
 
 
 def first_per(df: DataFrame, key: str, value: Column, order: Column) -> DataFrame:
@@ -89,3 +90,50 @@ def first_per(df: DataFrame, key: str, value: Column, order: Column) -> DataFram
 def gap_classes(gaps: DataFrame) -> DataFrame:
     """Gaps (``reason, extractor, in_flow``) by class, those that block flows first."""
     return gaps.groupBy("reason", "extractor").agg(F.count("*").alias("n"), F.count_if("in_flow").alias("blocking"))
+
+
+def latest(df: DataFrame, key: str, value: str, seq: str) -> DataFrame:
+    """``key, latest``: the value with the largest `seq` of each key."""
+    return df.groupBy(key).agg(F.max_by(value, seq).alias("latest"))
+
+
+def newest(df: DataFrame, seq: str, limit: int | None = None) -> DataFrame:
+    """Rows newest first, the first `limit` of them."""
+    out = df.orderBy(F.desc(seq))
+    return out if limit is None else out.limit(limit)
+
+
+def authority(conf: Column) -> Column:
+    """How far what was recovered may be relied on."""
+    return F.when(conf == "Confirmed", "authoritative").when(conf == "Gap", "partial").otherwise("inferred")
+
+
+def counters(nodes: DataFrame, by: str, file: str) -> DataFrame:
+    """Nodes and distinct files by layer or extractor."""
+    return nodes.groupBy(by).agg(F.count("*").alias("nodes"), F.countDistinct(file).alias("files"))
+
+
+def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row ``gaps, unsupported, open, graph_facts``."""
+    parts = gap_findings(nodes, edges).select(F.lit("gaps").alias("k"), F.col("findings").alias("n"))
+    parts = parts.unionAll(nodes.where("conf = 'InferredWeak'").agg(F.lit("unsupported").alias("k"), F.count("*").alias("n")))
+    for df in (nodes, edges):
+        parts = parts.unionAll(df.agg(F.lit("facts").alias("k"), F.count("*").alias("n")))
+    of = lambda *k: F.sum(F.when(F.col("k").isin(*k), F.col("n")).otherwise(0))
+    return parts.agg(of("gaps").alias("gaps"), of("unsupported").alias("unsupported"), of("gaps", "unsupported").alias("open"), of("facts").alias("graph_facts"))
+
+
+def deterministic_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``line`` of every fact of the deterministic tier, for snapshots that must not change between runs."""
+    n = nodes.where("tier = 'Deterministic'").select(F.concat_ws(" ", F.lit("n"), "id", "label", "hash").alias("line"))
+    return n.unionAll(edges.where("tier = 'Deterministic'").select(F.concat_ws(" ", F.lit("e"), "src", "label", "dst", "hash")))
+
+
+def merged_tools(tools: DataFrame) -> DataFrame:
+    """Tools (``tool, setting, behind_code, proof``) of all files: the first file's setting, all proofs in order."""
+    return tools.groupBy("tool").agg(F.min_by("setting", "proof").alias("setting"), F.bool_or("behind_code").alias("behind_code"), F.array_join(F.transform(F.array_sort(F.collect_set("proof")), lambda x: x.cast("string")), ",").alias("proofs"))
+
+
+def action_sets(grants: DataFrame) -> DataFrame:
+    """``target, actions``: the sorted distinct actions granted on each target (``target, action``)."""
+    return grants.groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("action")), "|").alias("actions"))

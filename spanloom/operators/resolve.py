@@ -111,8 +111,8 @@ def fetches(sites: DataFrame, endpoints: DataFrame) -> DataFrame:
 def expanded_policies(grants: DataFrame, statements: DataFrame) -> DataFrame:
     """Grants to a policy document become grants to its statements' targets with the union of actions."""
     each = grants.join(statements, "document", "left")
-    told = each.select("principal", F.coalesce("target", "document").alias("target"), F.coalesce("actions", F.array().cast("array<string>")).alias("actions"))
-    return told.groupBy("principal", "target").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("actions")))).alias("actions"))
+    told = each.select("principal", F.coalesce("target", "document").alias("target"), F.explode_outer("actions").alias("action")).distinct()
+    return told.groupBy("principal", "target").agg(F.array_sort(F.collect_list("action")).alias("actions"))
 
 
 def traced_gaps(gaps: DataFrame, spans: DataFrame) -> DataFrame:

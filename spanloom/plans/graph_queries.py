@@ -385,11 +385,9 @@ def _(s):
 
 @query("op121_coverage", "with f as (select source as extractor, count(*) as facts, count(distinct concat(source, ':', lang)) as files from documents where source is not null group by source), sc as (select distinct concat('src', cast(p_size % 25 as varchar)) as extractor, p_size % 25 % 6 as scope_files from part) select coalesce(f.extractor, sc.extractor) as extractor, coalesce(facts, 0) as facts, coalesce(files, 0) as files, case when sc.extractor is null then null when scope_files = 0 then 0.0 else round(100.0 * coalesce(files, 0) / scope_files, 6) end as percent from f full outer join sc on f.extractor = sc.extractor")
 def _(s):
-    got = s.table("documents").where("source is not null").groupBy(F.col("source").alias("extractor")).agg(F.count("*").alias("facts"), F.countDistinct(F.when(F.col("lang").isNotNull(), F.concat("source", F.lit(":"), "lang"))).alias("files"))
+    docs = s.table("documents").where("source is not null").select(F.col("source").alias("extractor"), F.concat_ws("", "source", F.lit(":"), "lang").alias("file"))
     scope = s.table("part").select(F.concat(F.lit("src"), (F.col("p_size") % 25).cast("string")).alias("extractor"), (F.col("p_size") % 25 % 6).alias("scope_files")).distinct()
-    out = got.join(scope, "extractor", "full_outer")
-    pct = F.when(F.col("scope_files").isNotNull(), F.when(F.col("scope_files") == 0, 0.0).otherwise(F.round(100.0 * F.coalesce("files", F.lit(0)) / F.col("scope_files"), 6)))
-    return out.select("extractor", F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("files", F.lit(0)).alias("files"), pct.alias("percent"))
+    return registers.coverage(docs, scope)
 
 
 _WORDS = ", ".join(f"cast(coalesce(sum(cast(('0x' || substr(h, {8 * k + 1}, 8)) as bigint)), 0) as varchar)" for k in range(8))
@@ -403,7 +401,7 @@ def _(s):
 
 @query("op123_deterministic_lines", "select concat_ws(' ', 'n', id, label, hash) as line from nodes where tier = 'Deterministic' union all select concat_ws(' ', 'e', src, label, dst, hash) from edges where tier = 'Deterministic'")
 def _(s):
-    return s.nodes.where("tier = 'Deterministic'").select(F.concat_ws(" ", F.lit("n"), "id", "label", "hash").alias("line")).unionAll(s.edges.where("tier = 'Deterministic'").select(F.concat_ws(" ", F.lit("e"), "src", "label", "dst", "hash")))
+    return registers.deterministic_lines(s.nodes, s.edges)
 
 
 _FINDINGS = "(select count(*) from nodes where label = 'Gap' or conf = 'Gap') + (select count(*) from edges where conf = 'Gap' and src not in (select id from nodes where label = 'Gap') and dst not in (select id from nodes where label = 'Gap'))"
@@ -411,10 +409,7 @@ _FINDINGS = "(select count(*) from nodes where label = 'Gap' or conf = 'Gap') +
 
 @query("op124_register_summary", f"select {_FINDINGS} as gaps, (select count(*) from nodes where conf = 'InferredWeak') as unsupported, {_FINDINGS} + (select count(*) from nodes where conf = 'InferredWeak') as open, (select count(*) from nodes) + (select count(*) from edges) as graph_facts")
 def _(s):
-    parts = registers.gap_findings(s.nodes, s.edges).select(F.lit("gaps").alias("k"), F.col("findings").alias("n"))
-    parts = parts.unionAll(s.nodes.where("conf = 'InferredWeak'").agg(F.lit("unsupported").alias("k"), F.count("*").alias("n"))).unionAll(s.nodes.agg(F.lit("facts").alias("k"), F.count("*").alias("n"))).unionAll(s.edges.agg(F.lit("facts").alias("k"), F.count("*").alias("n")))
-    of = lambda *k: F.sum(F.when(F.col("k").isin(*k), F.col("n")).otherwise(0))
-    return parts.agg(of("gaps").alias("gaps"), of("unsupported").alias("unsupported"), of("gaps", "unsupported").alias("open"), of("facts").alias("graph_facts"))
+    return registers.summary(s.nodes, s.edges)
 
 
 @query("op125_gap_findings", f"select {_FINDINGS} as findings")
@@ -436,7 +431,7 @@ def _(s):
 
 @query("op132_recovery_authority", "select conf, case conf when 'Confirmed' then 'authoritative' when 'Gap' then 'partial' else 'inferred' end as authority, count(*) as n from edges group by all")
 def _(s):
-    return s.edges.select("conf", F.when(F.col("conf") == "Confirmed", "authoritative").when(F.col("conf") == "Gap", "partial").otherwise("inferred").alias("authority")).groupBy("conf", "authority").agg(F.count("*").alias("n"))
+    return s.edges.select("conf", registers.authority(F.col("conf")).alias("authority")).groupBy("conf", "authority").agg(F.count("*").alias("n"))
 
 
 @query("op133_first_commit", 'select o_custkey as repo, min_by(o_orderpriority, o_orderkey) as "first" from orders group by o_custkey')
@@ -446,7 +441,7 @@ def _(s):
 
 @query("op134_extractor_counters", "select extractor, count(*) as nodes, count(distinct k) as files from nodes group by extractor")
 def _(s):
-    return s.nodes.groupBy("extractor").agg(F.count("*").alias("nodes"), F.countDistinct("k").alias("files"))
+    return registers.counters(s.nodes, "extractor", "k")
 
 
 @query("op135_languages", "select lang, count(*) as n, min_by(source, doc_id) as first_source from documents where lang is not null group by lang")
@@ -456,7 +451,7 @@ def _(s):
 
 @query("op136_tool_merge", "select p_brand as tool, min_by(p_type, p_partkey) as setting, bool_or(p_size > 45) as behind_code, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) as proofs from part group by p_brand")
 def _(s):
-    return s.table("part").groupBy(F.col("p_brand").alias("tool")).agg(F.min_by("p_type", "p_partkey").alias("setting"), F.bool_or(F.col("p_size") > 45).alias("behind_code"), F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("proofs"))
+    return registers.merged_tools(s.table("part").select(F.col("p_brand").alias("tool"), F.col("p_type").alias("setting"), (F.col("p_size") > 45).alias("behind_code"), F.col("p_partkey").alias("proof")))
 
 
 @query("op137_evidence_union", "select l_orderkey as k, string_agg(concat_ws(':', f, cast(a as varchar), cast(b as varchar)), ',' order by f, a, b) as evidence from (select distinct l_orderkey, l_returnflag as f, l_partkey % 5 as a, l_suppkey % 3 as b from lineitem) group by l_orderkey")
@@ -468,7 +463,7 @@ def _(s):
 
 @query("op138_action_sets", "select o_custkey as target, string_agg(distinct o_orderpriority, '|' order by o_orderpriority) as actions from orders group by o_custkey")
 def _(s):
-    return s.table("orders").groupBy(F.col("o_custkey").alias("target")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("actions"))
+    return registers.action_sets(s.table("orders").select(F.col("o_custkey").alias("target"), F.col("o_orderpriority").alias("action")))
 
 
 @query("op146_hop_order", "select src, dst, label, row_number() over (partition by src order by label, dst) as place from edges where label in ('HANDLES', 'PUBLISHES')")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import plugins, state, store
+from ..operators import plugins, registers, state, store
 from .derived import Source, oracle
 
 QUERIES: dict = {}
@@ -205,7 +205,7 @@ def _(s):
 
 @query("op018_list_jobs", f"select o_orderkey as id, {_STATUS} as status from orders")
 def _(s):
-    return _jobs(s).orderBy(F.desc("id"))
+    return registers.newest(_jobs(s), "id")
 
 
 @query("op019_replace_findings", "select l_orderkey as repo, l_returnflag as detector, l_linenumber as f from lineitem where l_orderkey % 10 > 0 or l_returnflag <> 'R' union all select distinct l_orderkey, 'R', 99 from lineitem where l_orderkey % 10 = 0 and l_returnflag = 'R'")
@@ -227,12 +227,12 @@ def _(s):
 
 @query("op022_history_top", "select o_orderkey as id, o_totalprice from orders order by o_orderkey desc limit 20")
 def _(s):
-    return s.table("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice").orderBy(F.desc("id")).limit(20)
+    return registers.newest(s.table("orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "id", 20)
 
 
 @query("op147_limit_history", "select event_id, event_type from events order by event_id desc limit 50")
 def _(s):
-    return s.table("events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(50)
+    return registers.newest(s.table("events").select("event_id", "event_type"), "event_id", 50)
 
 
 @query("op144_candidate_cap", "select p_partkey from part where p_size > 20 order by p_partkey limit 8")
@@ -242,7 +242,7 @@ def _(s):
 
 @query("op023_latest_coverage", "select o_custkey as repo, max_by(o_totalprice, o_orderkey) as latest from orders group by o_custkey")
 def _(s):
-    return s.table("orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.max_by("o_totalprice", "o_orderkey").alias("latest"))
+    return registers.latest(s.table("orders").withColumnRenamed("o_custkey", "repo"), "repo", "o_totalprice", "o_orderkey")
 
 
 @query("op024_egress_bytes", "select c_custkey as tier, coalesce(sum(o_custkey), 0) as bytes from customer left join orders on o_custkey = c_custkey group by c_custkey")
