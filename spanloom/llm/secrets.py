@@ -19,8 +19,10 @@ threshold for a false discovery rate of FDR is found from a histogram of -log10
 counted over all candidates of the input, so nothing is sorted in one place and the driver receives at most
 BANDS x BINS numbers.  Short strings need a stronger p, as their band holds more written words.
 
-Positions are code points, ends exclusive.  Defined results: a null text is the empty text (no spans).  Random
-spans that overlap a rule's span are not added.  Repeated rows count each as a candidate.
+Positions are code points, ends exclusive.  Defined results: a null text is the empty text (no spans); an empty table
+has none.  Texts of any length are scanned whole.  Random spans that overlap a rule's span are not added.  Repeated rows
+count each as a candidate and have equal results.  Other columns, whatever their names, are kept by `masked` and ignored
+by `secret_digests`.
 """
 
 from __future__ import annotations
@@ -83,6 +85,21 @@ KEPT = 0.9
 ALPHABETS = (("[0-9]", 10), ("[0-9a-f]", 16), ("[0-9A-F]", 16), ("[a-z]", 26), ("[A-Z]", 26), ("[A-Z2-7]", 32), ("[a-z2-7]", 32), ("[0-9a-z]", 36), ("[0-9A-Z]", 36), ("[A-Za-z]", 52), ("[0-9A-Za-z]", 62))
 ENCODINGS = len(ALPHABETS) + 1
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Items folded between two growths of a text's array of spans.
+BLOCK = 256
+
+
+def _folded(items: Column, begin: Column, step, last) -> Column:
+    """A fold whose state has a growing array ``spans``: in blocks, so that what is copied stays small beside what is added."""
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice(items, i + 1, F.lit(BLOCK)))
+    none = F.array().cast(_SPAN)
+
+    def block(a, part):
+        inner = F.aggregate(part, F.struct(a["at"].alias("at"), none.alias("spans")), step)
+        both = F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(a["spans"], x["spans"]).alias("spans")))
+        return both[0]
+
+    return F.aggregate(blocks, begin, block, last)
 
 
 def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -97,8 +114,8 @@ def _found(text: Column, pattern: str, kind: int, keep=None) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), (F.concat(a["spans"], F.when(keep(x["1"]), span).otherwise(F.array().cast(_SPAN))) if keep else F.concat(a["spans"], span)).alias("spans"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("0"), matches.alias("1"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, step, lambda a: a["spans"])).otherwise(F.array().cast(_SPAN))
+    pairs = F.transform(F.array(F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("0"), matches.alias("1"))), lambda p: _folded(p, begin, step, lambda a: a["spans"]))[0]
+    return F.when(text.rlike(pattern), pairs).otherwise(F.array().cast(_SPAN))
 
 
 def _long_enough(match: Column) -> Column:
@@ -176,7 +193,7 @@ def secret_spans(documents: DataFrame, kept: list[str] = ["doc_id"]) -> DataFram
     scan = scan.select(*kept, "_text", base.alias("base"), _found(t, CANDIDATE, 3).alias("_c"))
     free = F.filter("_c", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     scored = F.transform(free, lambda c: F.struct(c.alias("span"), _band(c["end"] - c["start"]).alias("band"), _battery(F.substring(t, c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int"))).alias("score")))
-    rows = written(scan.select(*kept, "base", F.when(F.size("_c") > 0, scored).alias("_c")), "secrets")
+    rows = written(scan.select(*kept, "base", F.when(F.size("_c") > 0, scored).alias("_c")), "secrets")  # kept: none of base, _c, _text
     least = F.array(*[F.lit(x) for x in _thresholds(rows.where("_c is not null").select(F.inline("_c")))])
     sure = F.transform(F.filter(F.coalesce("_c", F.expr("cast(array() as " + dict(rows.dtypes)["_c"] + ")")), lambda c: c["score"] >= F.element_at(least, c["band"] + 1)), lambda c: c["span"])
     return rows.select(*kept, "base", F.array_sort(F.concat("base", sure)).alias("spans"))
@@ -200,13 +217,14 @@ def masked(documents: DataFrame) -> DataFrame:
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("text").alias("text"))
     rows = secret_spans(whole, ["_row"])
     names, text = F.array(*[F.lit(k) for k in KINDS]), F.col("_row.text")
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(a, s):
-        piece = F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]"))
-        inside = s["start"] < a["at"]
-        return F.struct(F.when(inside, F.greatest(a["at"], s["end"])).otherwise(s["end"]).alias("at"), F.when(inside, a["out"]).otherwise(piece).alias("out"))
+    def step(a, s):  # of each span that begins outside those before: where the text before it begins, its kind, where it begins
+        outside = F.array(F.struct(a["at"].alias("start"), s["kind"].alias("kind"), s["start"].alias("end")))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["spans"], F.when(s["start"] >= a["at"], outside).otherwise(F.array().cast(_SPAN))).alias("spans"))
 
-    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate("spans", begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text)))))
-    rows = rows.withColumn("_clean", clean)
+    rows = rows.withColumn("_cuts", F.when(F.size("spans") > 0, _folded(F.col("spans"), begin, step, lambda a: a)))
+    pieces = F.transform("_cuts.spans", lambda c: F.concat(F.substring(text, c["start"].cast("int") + 1, (c["end"] - c["start"]).cast("int")), F.lit("["), F.element_at(names, c["kind"] + 1), F.lit("]")))
+    rest = F.substring(text, F.col("_cuts.at").cast("int") + 1, F.length(text))
+    rows = rows.withColumn("_clean", F.when(F.col("_cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest)))
     return rows.select(*[(F.col("_clean") if c == "text" else F.coalesce(F.length("_clean").cast(dict(documents.dtypes)[c]), F.col(f"_row.`{c}`")) if c == "n_chars" else F.col(f"_row.`{c}`")).alias(c) for c in columns])
