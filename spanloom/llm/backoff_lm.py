@@ -37,7 +37,7 @@ BACKOFF = 0.4
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 8_000_000
 #: Chunks or buckets in a partition where they would otherwise be more.
-TOGETHER = 16
+TOGETHER = 8
 _BLOCK = "chunk long, bucket long, keys binary, counts binary"
 
 

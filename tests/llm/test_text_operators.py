@@ -316,6 +316,19 @@ def test_secret_order_is_not_random(spark):
     assert all(r.n_random == 0 for r in secrets.secret_digests(frame(spark, list(enumerate(ordered)))).collect())
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"x{k} token=abcdef{k} and {'0a' * 13}" for k in range(1500))
+    spans = base_spans(text)
+    row = secrets.secret_digests(frame(spark, [(1, text)])).first()
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    out, at = [], 0
+    for a, k, b in spans:
+        if a >= at:
+            out += [text[at:a], f"[{secrets.KINDS[k]}]"]
+        at = max(at, b)
+    assert secrets.masked(frame(spark, [(1, text)])).first().text == "".join(out) + text[at:]
+
+
 def test_secrets_masked(spark):
     rows = [(1, "a password=abcdefg b"), (2, None), (3, "clean"), (4, "token=" + "0a" * 20)]
     out = {r.doc_id: r for r in secrets.masked(frame(spark, rows)).collect()}
