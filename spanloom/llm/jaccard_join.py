@@ -16,8 +16,8 @@ and, where a partner may be smaller, in the band below.  Allocation by counted c
 * threshold 1, a segment with its one-deletion neighbourhood, has 1 + k signatures for k shingles and covers two, so
   it pays where one segment is enough: sets of 4 to 8 shingles (U = 1).  Above that two cheap segments cost less.
 
-So what many sets share is passed over unless a set has nothing else.  Of the sets under one signature the one with
-the most shared signatures is the pivot.  Every set is first held against one pivot, the one it shares most
+So what many sets share is passed over unless a set has nothing else.  No group of a signature is ever gathered: of the sets
+under one signature the one with the most shared signatures is, by an aggregate, the pivot.  Every set is first held against one pivot, the one it shares most
 signatures with; sets whose component still differs then against their other pivots; and in groups that still
 hold several components the pairs across them are filtered and verified too, so no link that joins components is
 lost while a group of thousands of copies costs thousands of comparisons.  Lossless filters on bucket counts
@@ -54,6 +54,8 @@ FINE = 256
 LARGE = 1500
 #: Counters of the shingle table, in SLICES parts that are added up apart; its size does not grow with the corpus.
 TABLE, SLICES = 1 << 18, 16
+#: Sets of a signature whose pairs are looked at together; larger groups meet in pairs of such blocks.
+GROUP = 2048
 #: Partitions tried for a set with too few filled segments.
 TURNS = 4
 #: Segments of a band are this share of its largest set size.
@@ -242,14 +244,14 @@ def _index(costs: np.ndarray, percent: int):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables in which every sig of the sorted input is whole."""
+    """Tables in which every group of the sorted input is whole; groups are bounded by GROUP."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig = batch.column("sig").to_numpy()
-        cut = int(np.searchsorted(sig, sig[-1]))
-        if held and (cut or held[-1].column("sig")[-1].as_py() != sig[0]):
+        group = batch.column("group").to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))
+        if held and (cut or held[-1].column("group")[-1].as_py() != group[0]):
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = []
         elif cut:
@@ -260,38 +262,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, once each, of signatures that several nodes have."""
-    for table in _runs(batches):
-        sig, node = table.column("sig").to_numpy(), table.column("node").to_numpy()
-        keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        sig, node = sig[keep], node[keep]
+    """The rows, once each, of signatures that several nodes have; one row is held back, never a group."""
+    sig, node, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and if it goes with the one before
+    for batch in batches:
+        sig, node = np.concatenate([sig, batch.column("sig").to_numpy()]), np.concatenate([node, batch.column("node").to_numpy()])
+        if not len(sig):
+            continue
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node = sig[new], node[new]
         same = sig[1:] == sig[:-1]
-        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        keep = same | np.concatenate([[before], same[:-1]]) if len(same) else np.zeros(0, dtype=bool)
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], ["sig", "node"])
-
-
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each signature's other sets, its pivot: the set with the most shared signatures, of those the least."""
-    for table in _runs(batches):
-        sig, node, shared = (table.column(c).to_numpy() for c in ("sig", "node", "shared"))
-        order = np.lexsort((node, -shared, sig))
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        pivot = np.repeat(node[order[first]], np.diff(np.append(first, len(sig))))
-        keep = node != pivot
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(pivot[keep])], ["node", "pivot"])
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of signatures that sets of different components have."""
-    for table in _runs(batches):
-        sig, root = table.column("sig").to_numpy(), table.column("root").to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(first, len(sig)))
-        mixed = np.logical_or.reduceat(root != np.repeat(root[first], count), first) & (count > 2)
-        if mixed.any():
-            yield from table.filter(pa.array(np.repeat(mixed, count))).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(sig[:-1][keep]), pa.array(node[:-1][keep])], ["sig", "node"])
+        before = bool(same[-1]) if len(same) else before
+        sig, node = sig[-1:], node[-1:]
+    if before:
+        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], ["sig", "node"])
 
 
 def _pairs(percent: int):
@@ -313,12 +299,12 @@ def _pairs(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["node", "pivot"])
 
         for table in _runs(batches):
-            sig, node, size = (table.column(c).to_numpy() for c in ("sig", "node", "n_shingles"))
+            group, node, size, block = (table.column(c).to_numpy() for c in ("group", "node", "n_shingles", "block"))
             counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            last = np.append(first[1:], len(sig))
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            last = np.append(first[1:], len(group))
             fine = _FineCounts(table.column("fine").to_pylist(), size)
-            for i, j in _across(first, last, table.column("root").to_numpy()):
+            for i, j in _across(first, last, table.column("root").to_numpy(), block):
                 i, j = allowed(size, counts, fine, i, j)
                 if len(i):
                     both = np.stack([node[i], node[j]], axis=1)
@@ -334,13 +320,14 @@ def _pairs(percent: int):
     return pairs
 
 
-def _across(first: np.ndarray, last: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within each group whose roots differ, a bounded number at a time."""
-    mixed = np.logical_or.reduceat(root != np.repeat(root[first], last - first), first)
+def _across(first: np.ndarray, last: np.ndarray, root: np.ndarray, block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within each group whose roots differ, of a group of two blocks those between them; some at a time."""
     ii, jj, held = [], [], 0
-    for a, z in zip(first[mixed], last[mixed], strict=True):
+    for a, z in zip(first, last, strict=True):
+        two = (block[a:z] != block[a]).any()
         for x in range(a + 1, z):
-            j = a + np.flatnonzero(root[a:x] != root[x])
+            other = root[a:x] != root[x]
+            j = a + np.flatnonzero(other & (block[a:x] != block[x]) if two else other)
             ii.append(np.full(len(j), x))
             jj.append(j)
             held += len(j)
@@ -419,8 +406,11 @@ def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     groups = written(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "groups")
     about = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
     about = written(about.join(groups.select("node").distinct(), "node", "left_semi"), "about")
-    laid = groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node").repartition("sig").sortWithinPartitions("sig", "node")
-    votes = written(laid.mapInArrow(_led, _PAIR).groupBy("node", "pivot").agg(F.count("*").alias("votes")), "votes")
+    # the pivot of a signature, by aggregates that add up before they shuffle
+    laid = written(groups.join(groups.groupBy("node").agg(F.count("*").alias("shared")), "node"), "laid")
+    lead = laid.groupBy("sig").agg(F.max_by("node", F.struct("shared", "node")).alias("pivot"))
+    votes = written(groups.join(lead, "sig").where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("votes")), "votes")
+    dropped(laid)
     best = written(votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")).select("node", "pivot"), "best")
     one = _links(best, about, members, docs, percent)
     roots = _roots(one)
@@ -429,12 +419,18 @@ def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     two = _links(rest, about, members, docs, percent)
     dropped(roots)
     roots = _roots(one, two)
-    mixed = _rooted(groups, roots, "node", "root").repartition("sig").sortWithinPartitions("sig", "node").select("sig", "node", "root").mapInArrow(_mixed, "sig long, node long, root long")
-    laid = mixed.join(about, "node").repartition("sig").sortWithinPartitions("sig", "node")
+    rooted = written(_rooted(groups, roots, "node", "root"), "rooted")
+    mixed = rooted.groupBy("sig").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1 and n > 2").select("sig", F.ceil(F.col("n") / GROUP).alias("blocks"))
+    # a large group meets in pairs of blocks, so none is ever whole in one task
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    dealt = rooted.join(mixed, "sig").withColumn("block", block).select("node", "root", "block", "blocks", "sig", F.explode(meets).alias("m"))
+    dealt = dealt.select("node", "root", "block", F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", "m.i", "m.j")).alias("group"))
+    laid = dealt.join(about, "node").repartition("group").sortWithinPartitions("group", "node")
     tried = votes.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
     across = written(laid.mapInArrow(_pairs(percent), _PAIR).distinct().join(tried, ["node", "pivot"], "left_anti"), "across")
     three = _links(across, about, members, docs, percent)
-    dropped(groups, roots, about, votes, best, rest, across)
+    dropped(groups, rooted, roots, about, votes, best, rest, across)
     roots = _roots(one, two, three)
     dropped(one, two, three)
     named = written(_rooted(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), roots, "node", "root"), "named")
