@@ -269,8 +269,9 @@ def with_assertions(lines: DataFrame, assertions: DataFrame) -> DataFrame:
     return _joined(lines, head, rows)
 
 
-def derived(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts that follow from what survived a filter: recovered decisions, drift and security findings, and their edges."""
+def derived(nodes: DataFrame, edges: DataFrame, hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Facts that follow from what survived a filter: recovered decisions, drift (with the flows that it breaks) and security
+    findings, and their edges."""
     get = prop
     found = edges.where("label = 'DECIDES'").join(nodes.where(F.col("label") == "ADR").select(F.col("id").alias("src")), "src", "left_semi")
     open_ = registers.ungoverned_channels(nodes.where("label = 'Channel'"), found.select(F.col("dst").alias("id")), edges)
@@ -281,9 +282,9 @@ def derived(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     adr_nodes = adr.select(F.col("adr").alias("id"), F.lit("ADR").alias("label"), F.to_json(F.struct(F.concat(F.lit("Asynchronous channel "), "channel").alias("title"), F.lit("recovered").alias("origin"), F.lit("Recovered").alias("status"))).alias("props"), *stamp(F.col("adr"), "recovered-adr"))
     adr_edges = adr.select(F.col("adr").alias("src"), F.col("channel").alias("dst"), F.lit("DECIDES").alias("label"), F.lit("{}").alias("props"), *stamp(F.concat_ws(" ", "adr", F.lit("DECIDES"), "channel"), "recovered-adr"))
     rules = nodes.where("label = 'ADR'").select(F.col("id").alias("adr"), F.explode(F.from_json(get("forbids"), "array<string>")).alias("forbids")).join(found.select(F.col("src").alias("adr"), F.col("dst").alias("governs")), "adr")
-    broken = registers.drift(rules, edges).join(edges.select("src", "dst", "label", "conf"), ["src", "dst", "label"])
+    broken = registers.with_triggers(registers.drift(rules, edges).join(edges.select("src", "dst", "label", "conf"), ["src", "dst", "label"]), hops)
     broken = broken.withColumn("edge", edge_identity(F.col("src"), F.col("label"), F.col("dst"))).withColumn("drift", F.concat(F.lit("drift:"), h16("adr", "edge")))
-    drift_nodes = broken.select(F.col("drift").alias("id"), F.lit("Drift").alias("label"), F.to_json(F.struct(F.concat("label", F.lit(" is forbidden by "), "adr").alias("title"), F.col("adr").alias("adr_id"), F.col("edge").alias("offending_edge"))).alias("props"), *stamp(F.col("drift"), "drift"))
+    drift_nodes = broken.select(F.col("drift").alias("id"), F.lit("Drift").alias("label"), F.to_json(F.struct(F.concat("label", F.lit(" is forbidden by "), "adr").alias("title"), F.col("adr").alias("adr_id"), F.col("edge").alias("offending_edge"), "flow_triggers")).alias("props"), *stamp(F.col("drift"), "drift"))
     drift_edges = broken.select(F.col("drift").alias("src"), F.explode(F.array(F.struct(F.col("adr").alias("dst"), F.lit("DRIFTS_FROM").alias("label")), F.struct(F.col("src").alias("dst"), F.lit("CONFLICTS").alias("label")))).alias("e"), "conf").select("src", "e.dst", "e.label", F.lit("{}").alias("props"), *stamp(F.concat_ws(" ", "src", "e.label", "e.dst"), "drift"))
     ends = nodes.where("label = 'Endpoint'").select("id", auth_state(F.col("props")).alias("auth"), "conf")
     listed = lambda key: F.coalesce(F.from_json(get(key), "array<string>"), F.array().cast("array<string>"))
@@ -306,11 +307,12 @@ def compile_spec(nodes: DataFrame, edges: DataFrame, hops: DataFrame, triggers:
     no = rejected if rejected is not None else nodes.select("hash").limit(0)
     keep = lambda df: registers.exported(df, no, best_effort)
     n, e = written(keep(nodes.select(*NODE)).select(*NODE), "nodes"), written(keep(edges.select(*EDGE)).select(*EDGE), "edges")
-    more_nodes, more_edges = derived(n, e)
+    shown = projected(hops, no, best_effort)
+    more_nodes, more_edges = derived(n, e, shown)
     n = written(n.unionByName(keep(more_nodes).select(*NODE)), "nodes")
     e = written(e.unionByName(keep(more_edges).select(*EDGE)), "edges")
     names = n.select("id", name_of().alias("name"))
-    dossiers = flow_dossiers(projected(hops, no, best_effort), triggers, names)
+    dossiers = flow_dossiers(shown, triggers, names)
     return {
         "user-stories": user_stories(n),
         "us-tm": traceability(e),

@@ -99,6 +99,26 @@ class Refused(Exception):
     """The firewall let nothing out."""
 
 
+class ProviderRefusal(Exception):
+    """The provider declined to answer; asking again does not help."""
+
+
+def completion_text(answer: dict) -> str:
+    """The text of a completion (``text, stop_reason``); a refusal is an error of its own kind, and so is an empty text."""
+    if answer.get("stop_reason") == "refusal":
+        raise ProviderRefusal(answer.get("text") or "refused")
+    text = (answer.get("text") or "").strip()
+    if not text:
+        raise ValueError("empty completion")
+    return text
+
+
+def loopback(url: Column) -> Column:
+    """True for URLs of this very machine: the only ones that a local provider may have."""
+    host = F.lower(F.regexp_extract(url, r"^https?://(?:[^@/]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+    return (host == "localhost") | host.rlike(r"^127(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$") | (host == "[::1]")
+
+
 def egress(payload: str, provider: str, policies: set[str], consents: dict[str, str]) -> tuple[str, str]:
     """The redacted payload and its hash, if policy allows the provider and, for the cloud, consent names this very payload."""
     if provider not in policies:

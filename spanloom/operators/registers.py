@@ -70,6 +70,14 @@ def drift(decisions: DataFrame, edges: DataFrame) -> DataFrame:
     return hits[0].unionAll(hits[1]).distinct()
 
 
+def with_triggers(broken: DataFrame, hops: DataFrame) -> DataFrame:
+    """Drift rows with the sorted ids of the flows (``trigger_id, src, dst, label``) that contain the offending edge."""
+    key = ["src", "dst", "label"]
+    asked = broken.select(*key).distinct()
+    told = hops.select("trigger_id", *key).join(asked, key, "left_semi").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("trigger_id")).alias("flow_triggers"))
+    return broken.join(told, key, "left").withColumn("flow_triggers", F.coalesce("flow_triggers", F.array().cast("array<string>")))
+
+
 def security_findings(endpoints: DataFrame, grants: DataFrame) -> DataFrame:
     """Explicitly open endpoints (``id, auth``) and grants with a wildcard (``src, dst, actions, scopes``), with evidence."""
     open_ = endpoints.where("auth = false and conf <> 'Gap'").select(F.lit("unauthenticated").alias("finding"), F.col("id").alias("subject"))

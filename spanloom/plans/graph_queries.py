@@ -596,6 +596,14 @@ def _(s):
     return registers.drift(d, s.edges)
 
 
+@query("op101_drift_triggers", "with d as (select concat('adr', cast(p_partkey as varchar)) as adr, concat('chan:p', cast(p_partkey as varchar)) as governs from part where p_size = 7), h as (select concat('t', l_linenumber) as t, concat('sym:s', l_suppkey) as src, concat('chan:p', l_partkey) as dst from lineitem) select adr, e.src, e.dst, coalesce(string_agg(distinct t, ',' order by t), '') as triggers from d join edges e on e.label = 'SUBSCRIBES' and e.dst = governs and conf <> 'Gap' left join h on h.src = e.src and h.dst = e.dst group by all")
+def _(s):
+    k = F.col("p_partkey").cast("string")
+    rules = s.table("part").where("p_size = 7").select(F.concat(F.lit("adr"), k).alias("adr"), F.concat(F.lit("chan:p"), k).alias("governs"), F.lit("SUBSCRIBES").alias("forbids"))
+    hops = s.table("lineitem").select(F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("trigger_id"), F.concat(F.lit("sym:s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("chan:p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("SUBSCRIBES").alias("label"))
+    return registers.with_triggers(registers.drift(rules, s.edges), hops).select("adr", "src", "dst", F.array_join("flow_triggers", ",").alias("triggers"))
+
+
 _APPROVED = "select concat('sym:o', cast(l_orderkey as varchar)) as src, concat('gap:o', cast(l_orderkey as varchar), '@', cast(l_linenumber as varchar)) as gap, concat('chan:p', cast(l_partkey as varchar)) as target from lineitem where l_returnflag = 'R' and l_quantity < 3"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import redacted
-from ..operators import plugins, semantic
+from ..operators import plugins, resolve, semantic
 from ..sources import extractors, observations
 from .derived import Source, oracle
 
@@ -75,10 +75,38 @@ def _(s):
     return observations.otlp_spans(e.select(line.alias("text"))).select("span_id", "name", observations.attribute("user.id", "user").alias("user_id"), observations.attribute("service").alias("service"))
 
 
-@query("op032_manifest", "select 'https://example.com/a/b' as url, 2 as layers union all select 'https://example.com/a/c', 0")
+_MANIFEST = '[[repos]]\nurl = "https://example.com/a/b"\nlayers = ["server", "events"]\nstate_json = "s.json"\notel_jsonl = ["t1.jsonl", "t2.jsonl"]\n[[repos]]\nurl = "https://example.com/a/c"\npulumi_json = "p.json"\n[env]\nK3 = "v"\nN1 = "w"\n'
+
+
+@query("op032_manifest", "select 'https://example.com/a/b' as url, 'server,events' as layers, 's.json' as state_json, null as pulumi_json, 2 as traces union all select 'https://example.com/a/c', '', null, 'p.json', 0")
+def _(s):
+    return observations.manifest_frame(s.spark, _MANIFEST).select("url", F.array_join("layers", ",").alias("layers"), "state_json", "pulumi_json", F.size("otel_jsonl").alias("traces"))
+
+
+@query("op032_manifest_env", "select key, case key when 'K3' then 'v' when 'N1' then 'w' else value end as value from (select concat('K', n_nationkey) as key, n_name as value from nation union all select 'N1', null) c")
+def _(s):
+    config = s.table("nation").select(F.concat(F.lit("K"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"), F.lit("f").alias("file"), F.col("n_nationkey").alias("line"))
+    return resolve.first_definition(config, observations.manifest_env(s.spark, _MANIFEST))
+
+
+@query("op046_loopback", "select c_custkey, c_custkey % 5 < 3 as here from customer")
 def _(s):
-    toml = '[[repos]]\nurl = "https://example.com/a/b"\nlayers = ["server", "events"]\n[[repos]]\nurl = "https://example.com/a/c"\n[env]\nK = "v"\n'
-    return observations.manifest_frame(s.spark, toml).select("url", F.size("layers").alias("layers"))
+    k = F.col("c_custkey") % 5
+    url = F.when(k == 0, "http://LOCALHOST:8080/v1").when(k == 1, "http://127.0.0.1/x").when(k == 2, "https://[::1]:1/").when(k == 3, "http://127.0.0.1.example.com/").otherwise("http://localhost@evil.example/")
+    return s.table("customer").select("c_custkey", plugins.loopback(url).alias("here"))
+
+
+@query("op047_completions", "select n_nationkey as task, case n_nationkey % 3 when 0 then 'text' end as answer, case n_nationkey % 3 when 1 then 'ProviderRefusal: no' when 2 then 'ValueError: empty completion' end as error from nation")
+def _(s):
+    tasks = s.table("nation").select(F.col("n_nationkey").alias("task"), (F.col("n_nationkey") % 3).cast("string").alias("prompt"))
+    answer = lambda prompt: '{"answer": "' + plugins.completion_text([{"text": " text "}, {"text": "no", "stop_reason": "refusal"}, {"text": " "}][int(prompt[0])]) + '"}'
+    return plugins.answered(tasks, answer, {"answer"}).select("task", F.get_json_object("answer", "$.answer").alias("answer"), "error")
+
+
+@query("op269_batch_outcomes", "select n_nationkey % 3 < 2 as ok, count(*) as n from nation group by 1")
+def _(s):
+    tasks = s.table("nation").select(F.col("n_nationkey").alias("task"), F.concat(F.lit("prompt "), (F.col("n_nationkey") % 3).cast("string")).alias("prompt"))
+    return plugins.answered(tasks, _sample_provider, {"answer"}).groupBy(F.col("error").isNull().alias("ok")).agg(F.count("*").alias("n"))
 
 
 @query("op037_tsconfig_paths", "select concat('r', n_nationkey) as dir, n_name as base_url, '@/*' as pattern from nation")

@@ -60,8 +60,14 @@ def manifest(text: str) -> dict:
 
 
 def manifest_frame(spark: SparkSession, text: str) -> DataFrame:
-    rows = [(r["url"], r.get("layers", []), r.get("state_json"), r.get("otel_jsonl", [])) for r in manifest(text).get("repos", [])]
-    return spark.createDataFrame(rows, "url string, layers array<string>, state_json string, otel_jsonl array<string>")
+    """``url, layers, state_json, pulumi_json, otel_jsonl`` of a manifest's repositories, in its order."""
+    rows = [(k, r["url"], r.get("layers", []), r.get("state_json"), r.get("pulumi_json"), r.get("otel_jsonl", [])) for k, r in enumerate(manifest(text).get("repos", []))]
+    return spark.createDataFrame(rows, "place int, url string, layers array<string>, state_json string, pulumi_json string, otel_jsonl array<string>")
+
+
+def manifest_env(spark: SparkSession, text: str) -> DataFrame:
+    """``key, value``: identities that the author declares; they come before any env file."""
+    return spark.createDataFrame(sorted((k, str(v)) for k, v in (manifest(text).get("env") or {}).items()), "key string, value string")
 
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,string_value:string,int_value:string,double_value:double,bool_value:boolean>"
