@@ -41,10 +41,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is deleted with the tables left there."""
+    path = fresh_path(spark, name)
+    _left[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The frame, written to the shared folder and read again."""
-    path = fresh_path(df.sparkSession, name)
-    _left[path] = df.sparkSession
+    path = temporary(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path

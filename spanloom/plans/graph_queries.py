@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import graph, registers, resolve, semantic, store
-from ..operators.lineage import fresh_path, written
+from ..operators.lineage import temporary, written
 from .derived import Source, oracle
 
 QUERIES: dict = {}
@@ -124,7 +124,7 @@ _STORED = "id string, label string, name string", "src string, dst string, label
 
 @query("op014_schema_gate", "select 'same' as version, (select count(*) from nodes) as n union all select 'other', 0")
 def _(s):
-    folder, out = fresh_path(s.spark, "graph"), []
+    folder, out = temporary(s.spark, "graph"), []
     for state in ("same", "other"):
         store.write_graph(s.nodes.select("id", "label", "name"), s.edges.select("src", "dst", "label"), f"{folder}/{state}")
     s.spark.createDataFrame([(store.SCHEMA_VERSION - 1,)], "version int").write.mode("overwrite").parquet(f"{folder}/other/{store.VERSION_FILE}")
@@ -135,7 +135,7 @@ def _(s):
 
 @query("op043_stored_graph", "select src, dst, label from edges where label in ('RENDERS', 'FETCHES')")
 def _(s):
-    folder = fresh_path(s.spark, "graph")
+    folder = temporary(s.spark, "graph")
     store.write_graph(s.nodes.select("id", "label", "name"), s.edges.select("src", "dst", "label"), folder)
     return store.read_graph(s.spark, folder, *_STORED)[1].where("label in ('RENDERS', 'FETCHES')").select("src", "dst", "label")
 
