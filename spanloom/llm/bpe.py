@@ -12,7 +12,8 @@ The vocabulary is read from the tokenizers file at run time and its path is a pa
 the file's byte-level pattern; texts with characters outside ranges on which all Unicode versions agree are
 split by the tokenizers library itself.  Added tokens in a text become their ids, as the library has it.
 
-Defined results: a null text is the empty text (no ids).  Repeated rows give repeated results.  Encodings of words are
+Defined results: a null text is the empty text (no ids); an empty table gives none.  Repeated rows give repeated results.
+Other columns, whatever their names, do not take part.  Encodings of words are
 kept between texts, up to KEPT_WORDS words and KEPT_BYTES of them; a word of any length goes the same way.
 """
 

@@ -11,7 +11,8 @@ Template: ``<|turn|>role<|text|>text<|end|>``, one after the other.  In roles an
 removes exactly what writing added.
 
 Defined results: a null text or role is empty; turns are ordered by turn (null first), then role, then text, so
-ties and repeated rows have one result; a null conv_id is a conversation of its own.  Other columns are ignored.
+ties and repeated rows have one result; all rows with a null conv_id are one conversation.  Texts and conversations of any
+length are taken whole; an empty table gives none.  Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import dropped, fresh_path, small, written
+from .workspace import dropped, small, temporary, written
 
 LEAST_PAYLOAD = 100
 GAP = 64 << 10
@@ -72,10 +72,13 @@ def parsed(data: bytes) -> dict:
     return {"record_type": fields["WARC-Type"], "page": bare(fields["WARC-Record-ID"]).rsplit(":", 2)[0], "refers_to": bare(fields.get("WARC-Refers-To")), "bytes": size, "digest": digest, "payload": payload}
 
 
-def write_archives(pages: DataFrame) -> DataFrame:
-    """The committed index of the archives of all `pages` (``page_id, url, html``)."""
+def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
+    """The committed index of the archives of all `pages` (``page_id, url, html``), written to a folder (a whole URI).
+
+    Without a folder they are temporary: they go with the tables of the shared folder.
+    """
     spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
-    folder = fresh_path(spark, "warc")
+    folder = folder or temporary(spark, "warc")
     body = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     groups = body.where(F.octet_length("html") >= LEAST_PAYLOAD).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     groups = written(groups.where("n > 1 and first is not null").select("digest", "first"), "payloads")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import dropped, fresh_path, release, shared_dir, written
+from ..operators.lineage import dropped, fresh_path, release, shared_dir, temporary, written
 
-__all__ = ["dropped", "fresh_path", "release", "shared_dir", "small", "written"]
+__all__ = ["dropped", "fresh_path", "release", "shared_dir", "small", "temporary", "written"]
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
