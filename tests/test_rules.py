@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import exprs as X
-from spanloom.operators import artifacts, enrich, graph, lineage, plugins, resolve, store
+from spanloom.operators import artifacts, enrich, graph, lineage, plugins, resolve, semantic, store
 from spanloom.sources import extractors, observations
 
 
@@ -224,3 +224,66 @@ def test_dossier_of_a_projected_flow(spark):
     text = text_of(artifacts.flow_dossiers(artifacts.projected(hops, hops.select("hash").limit(0)), triggers, names))
     assert "## Start — Partial (score 0.50)" in text and "p1--xp2: UNRESOLVED [Gap]" in text and "p0->>p1: CALLS [Confirmed]" in text
     assert "## u — Partial (score 0.00)" in text and "No hops resolved from this trigger." in text
+
+
+def test_top_k_without_broadcast(spark, monkeypatch):
+    rows = [(k, [float(k % 7), float(k % 5), 1.0], k % 3 if k % 4 else None) for k in range(60)]
+    e = spark.createDataFrame(rows, "id long, vector array<float>, label long")
+    near = lambda: sorted(map(tuple, semantic.top_k(e.where("id % 10 = 0"), e, 3, ["label"], 6).collect()))
+    broadcast = near()
+    monkeypatch.setattr(semantic, "QUERY_ROWS", 0)
+    assert near() == broadcast and len(broadcast) == 18
+
+
+def test_tables_are_dropped(spark):
+    import os
+
+    df = lineage.written(spark.range(10), "gone")
+    folder = "/" + df._written_to.split(":", 1)[1].lstrip("/")
+    assert os.path.isdir(folder) and df.count() == 10
+    lineage.dropped(df)
+    assert not os.path.isdir(folder)
+    kept = lineage.written(spark.range(3), "left")
+    lineage.release()
+    assert not os.path.isdir("/" + kept._written_to.split(":", 1)[1].lstrip("/"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.shared_dir(Session())
+
+
+def test_small_counts_bytes(spark):
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    df = spark.createDataFrame([("x" * 100,)] * 50, "v string")
+    assert hinted(lineage.small(df)) and not hinted(lineage.small(df, 49))
+    assert not hinted(lineage.small(spark.createDataFrame([("x" * (9 << 20),)], "v string")))
+    assert not hinted(lineage.small(spark.createDataFrame([([1],)], "v array<int>")))
+
+
+def test_traced_gaps_need_one_identity(spark):
+    gaps = spark.createDataFrame([("g1", "k", "src/a.ts"), ("g2", "k", "src/b.ts"), ("g3", "only", "c.ts"), ("g4", "none", "d.ts")], "gap string, kind string, path string")
+    spans = spark.createDataFrame([("k", "/app/src/a.ts", "q1"), ("k", "src\\b.ts", "q1"), ("k", "./src/b.ts", "q2"), ("k", "a.ts", "no"), ("only", None, "x")], "kind string, path string, identity string")
+    got = {r.gap: (r.identities, r.identity) for r in resolve.traced_gaps(gaps, spans).collect()}
+    assert got == {"g1": (1, "q1"), "g2": (2, None), "g3": (1, "x"), "g4": (0, None)}
+
+
+def test_escalation_limits(spark):
+    nodes = spark.createDataFrame([("gap:1", "Gap", "Gap", 1), ("s", "Symbol", "Confirmed", 1), ("hub", "Symbol", "Confirmed", 1), ("gap:2", "Gap", "Gap", 0)] + [(f"n{k:02d}", "Symbol", "Confirmed", int(k != 3)) for k in range(20)], "id string, label string, conf string, evidence int")
+    edges = spark.createDataFrame([("s", "gap:1", "CALLS"), ("s", "hub", "CALLS")] + [("s", f"n{k:02d}", "CALLS") for k in range(20)], "src string, dst string, label string")
+    tasks, candidates = semantic.escalation_tasks(nodes, edges, nodes.where("label = 'Gap'").select(F.col("id").alias("gap_id")))
+    assert {tuple(r) for r in tasks.collect()} == {("gap:1", "s", "CALLS", None), ("gap:2", None, None, "no adjacent edge")}
+    assert sorted(r.node_id for r in candidates.collect()) == ["hub", "n00", "n01", "n02", "n04", "n05", "n06", "n07"]
