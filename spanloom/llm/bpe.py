@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .memory import give_back, giving_back
+
 KEPT_WORDS, KEPT_BYTES, KEPT_PAIRS, KEPT_STEPS = 200_000, 8 << 20, 400_000, 500_000
 #: Characters of texts that are encoded together.
 TOGETHER = 2 << 20
@@ -224,6 +226,7 @@ def encoder(path: str) -> TrieBpe:
     """The worker's encoder for a vocabulary file; encodings of words live on between batches and tasks."""
     if path not in _loaded:
         _loaded[path] = TrieBpe(path)
+        give_back()  # what reading the file took
     return _loaded[path]
 
 
@@ -262,7 +265,7 @@ def bpe_digests(documents: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(out, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = documents.select("doc_id", "text")
-    return docs.mapInArrow(digests, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(giving_back(digests), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -276,7 +279,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     docs = documents.select("doc_id", "text")
-    return docs.mapInArrow(coded, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return docs.mapInArrow(giving_back(coded), f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

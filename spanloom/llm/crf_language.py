@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .memory import giving_back
 from .workspace import written
 
 SAMPLE = 2_000
@@ -265,4 +266,4 @@ def languages(documents: DataFrame) -> DataFrame:
     held = F.coalesce(F.expr("pmod(crc32(cast(doc_id as string)), 4) = 2"), F.lit(False))
     docs = documents.select("doc_id", held.alias("held_out"), "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(tagged, schema)
+    return docs.mapInArrow(giving_back(tagged), schema)

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import PLACE, U, blocks, mix, windows
+from .memory import giving_back
 from .workspace import dropped, small, written
 
 WORDS = 5
@@ -380,7 +381,7 @@ def _links(pairs: DataFrame, about: DataFrame, members: DataFrame, docs: DataFra
     texts = written(docs.join(small(keys, BROADCAST_ROWS), "text_key").select("node", "text").dropDuplicates(["node"]), "texts")
     # the members' texts first: a pivot's text is then joined where its pairs are, and not shuffled with each of them
     both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("other")), "pivot")
-    out = written(both.select("node", "pivot", "text", "other").mapInArrow(_verified(percent), _PAIR), "links")
+    out = written(both.select("node", "pivot", "text", "other").mapInArrow(giving_back(_verified(percent)), _PAIR), "links")
     dropped(texts, keys, pairs)
     return out
 
@@ -400,10 +401,10 @@ def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFram
 def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of `documents` (``doc_id, text``)."""
     docs = documents.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    described = written(docs.mapInArrow(_describe, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long, n_shingles long, counts binary, fine binary, slice int, table binary"), "members")
+    described = written(docs.mapInArrow(giving_back(_describe), f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, node long, n_shingles long, counts binary, fine binary, slice int, table binary"), "members")
     members = described.where("slice is null").drop("slice", "table")
-    sigs = docs.select("text").mapInArrow(_index(_costs(described), percent), "sig long, node long")
-    groups = written(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_shared, "sig long, node long"), "groups")
+    sigs = docs.select("text").mapInArrow(giving_back(_index(_costs(described), percent)), "sig long, node long")
+    groups = written(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(giving_back(_shared), "sig long, node long"), "groups")
     about = members.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("counts").alias("counts"), F.first("fine").alias("fine"))
     about = written(about.join(groups.select("node").distinct(), "node", "left_semi"), "about")
     # the pivot of a signature, by aggregates that add up before they shuffle
@@ -428,7 +429,7 @@ def jaccard_classes(documents: DataFrame, percent: int = 80) -> DataFrame:
     dealt = dealt.select("node", "root", "block", F.when(F.col("blocks") == 1, F.col("sig")).otherwise(F.xxhash64("sig", "m.i", "m.j")).alias("group"))
     laid = dealt.join(about, "node").repartition("group").sortWithinPartitions("group", "node")
     tried = votes.select(F.least("node", "pivot").alias("node"), F.greatest("node", "pivot").alias("pivot"))
-    across = written(laid.mapInArrow(_pairs(percent), _PAIR).distinct().join(tried, ["node", "pivot"], "left_anti"), "across")
+    across = written(laid.mapInArrow(giving_back(_pairs(percent)), _PAIR).distinct().join(tried, ["node", "pivot"], "left_anti"), "across")
     three = _links(across, about, members, docs, percent)
     dropped(groups, rooted, roots, about, votes, best, rest, across)
     roots = _roots(one, two, three)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LETTERS, PLACE, Block, U, blocks, mix
+from .memory import give_back, giving_back
 from .workspace import dropped, small, written
 
 SAMPLE = 8_000
@@ -170,10 +171,13 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarr
     """Fit on the labelled documents with the SAMPLE smallest hashes of doc_id."""
     chosen = written(grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")
     docs = documents.select("doc_id", "text").where("text is not null").join(small(chosen, SAMPLE), "doc_id").select("grade", "text")
-    rows = docs.mapInArrow(_featured, "grade int, features binary").collect()
+    rows = docs.mapInArrow(giving_back(_featured), "grade int, features binary").collect()
     dropped(chosen)
     rows.sort(key=lambda r: (r.grade, r.features))  # the same fit whatever the row order
-    return fit(np.array([r.grade for r in rows], dtype=np.int64), [np.frombuffer(r.features, dtype="<i4") for r in rows])
+    model = fit(np.array([r.grade for r in rows], dtype=np.int64), [np.frombuffer(r.features, dtype="<i4") for r in rows])
+    del rows
+    give_back()  # of the driver
+    return model
 
 
 def graded(documents: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -201,7 +205,7 @@ def graded(documents: DataFrame, labels: DataFrame, columns: list[str] | None =
     from pyspark.sql import types as T
 
     schema = T.StructType([*whole.schema.fields[: len(names)], T.StructField("expected_grade", T.DoubleType()), T.StructField("p_good", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return whole.mapInArrow(scored, schema)
+    return whole.mapInArrow(giving_back(scored), schema)
 
 
 def _per_float(values: np.ndarray, at: np.ndarray) -> np.ndarray:
