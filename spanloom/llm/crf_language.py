@@ -50,12 +50,19 @@ CACHE = 400_000
 PIECE = 32
 #: Numbers that re takes for parts of words beside digits: fractions, superscripts, Roman numerals and such.
 _NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMBERS)}]+").findall
+_BLANK = dict.fromkeys(map(ord, _NUMBERS), " ")
+_has_number = re.compile(f"[{re.escape(_NUMBERS)}]").search
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def letters(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    return _runs(text.translate(_BLANK) if _has_number(text) else text)
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters; of a long one its pieces, marked by ``-``, with ``^`` and ``$`` at the run's ends."""
-    found = LETTERS(text)
+    found = letters(text)
     if found and max(map(len, found)) > PIECE:
         cut = lambda w: [f"-{p[i : i + PIECE + 2]}" for p in [f"^{w}$"] for i in range(0, len(w), PIECE)]
         found = [x for w in found for x in (cut(w) if len(w) > PIECE else [w])]
