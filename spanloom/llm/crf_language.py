@@ -51,7 +51,8 @@ PIECE = 32
 #: Numbers that re takes for parts of words beside digits: fractions, superscripts, Roman numerals and such.
 _NUMBERS = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 _BLANK = dict.fromkeys(map(ord, _NUMBERS), " ")
-_has_number = re.compile(f"[{re.escape(_NUMBERS)}]").search
+#: Any of them; beyond U+FFFF, where a set is slow to search, any character.
+_has_number = re.compile("[" + re.escape("".join(c for c in _NUMBERS if c < "\U00010000")) + "]|[\U00010000-\U0010ffff]").search
 _runs = re.compile(r"[^\W\d_]+").findall
 
 
