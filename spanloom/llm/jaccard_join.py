@@ -56,7 +56,7 @@ LARGE = 1500
 #: Counters of the shingle table, in SLICES parts that are added up apart; its size does not grow with the corpus.
 TABLE, SLICES = 1 << 18, 16
 #: Sets of a signature whose pairs are looked at together; larger groups meet in pairs of such blocks.
-GROUP = 2048
+GROUP = 1024
 #: Partitions tried for a set with too few filled segments.
 TURNS = 4
 #: Segments of a band are this share of its largest set size.

@@ -109,7 +109,7 @@ def test_jaccard_sets_with_few_filled_segments_go_on():
     assert not any(a & b for i, a in enumerate(signs) for b in signs[:i])
 
 
-@pytest.mark.parametrize("group", [7, 2048])
+@pytest.mark.parametrize("group", [7, 1024])
 def test_jaccard_large_near_group(spark, monkeypatch, group):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
     rng = random.Random(11)
