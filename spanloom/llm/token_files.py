@@ -12,8 +12,8 @@ texts.  Every attempt of a task writes files of its own names and the manifest,
 attempts that count.  Ranges are cut by doc_id, text hash and row, so one id or row with many copies is split as well.
 
 Encoding is that of the tokenizers library, with the file's own normalisation.  All that the library does to a text with
-this kind of vocabulary keeps to stretches without white space, so the distinct stretches of some texts are given to the
-library and the ids of each text put together; what is learnt is kept up to KEPT_WORDS words and KEPT_BYTES of them.
+a vocabulary that marks the ends of words keeps to stretches without white space, so the distinct stretches of some texts are given
+to the library and the ids of each text put together; what is learnt is kept, up to a bound.
 
 Reading: a task maps a shard's files into memory (on stores that cannot be mapped it reads them) and gives its documents.
 
@@ -23,13 +23,16 @@ are ordered by a hash of their text; equal rows are interchangeable.  An empty t
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +42,25 @@ from .memory import give_back, giving_back
 from .workspace import dropped, temporary, written
 
 END = 2
-KEPT_WORDS, KEPT_BYTES = 200_000, 8 << 20
-#: Characters of texts that are encoded, and documents and ids that are handed on, together (one document at least).
-TOGETHER, DOCUMENTS, IDS = 1 << 20, 1000, 1 << 20
+#: Of each generation of words that an encoder keeps.
+KEPT_WORDS, KEPT_BYTES = 500_000, 16 << 20
+#: Bytes of texts that are encoded, and documents and ids that are handed on, together (one document at least).
+TOGETHER, DOCUMENTS, IDS = 4 << 20, 1000, 1 << 20
+#: Letters with one code point and no other form, and words of such, or of such and digits with marks behind.
+_LETTERS = "[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_plain = re.compile(f"(?:{_LETTERS})+".encode("latin-1")).fullmatch
+_sided = re.compile(f"((?:{_LETTERS}|[0-9])+)([.,;:!?$#%&*]+)".encode("latin-1")).fullmatch
 MANIFEST = "shard long, file string, width int, docs long, nulls long, tokens long"
 
 
 class WordEncoder:
-    """The tokenizers library with a memory of words."""
+    """The tokenizers library with a memory of words.
+
+    Words live in two generations: those met since the younger one began, and the generation before, from which words that
+    are met again move on; so frequent words stay and rare ones go.  A word of letters and digits with marks behind has
+    the ids of its two sides.  Words of plain letters are given to the library joined by blanks, and their ids parted where a token
+    ends a word.  Vocabularies without an end of words keep white space in their tokens: there whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
@@ -55,28 +69,84 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.known: dict[bytes, bytes] = {}
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
+        with open(path, encoding="utf-8") as file:
+            suffix = json.load(file)["model"].get("end_of_word_suffix")
+        self.last = np.zeros(1 << 8 * self.width if self.width == 2 else size, dtype=bool)
+        if suffix:
+            self.last[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+        self.by_words = bool(suffix)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, found in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, dtype=f"<u{self.width}").tobytes()
-                self.held += len(word)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.encode().split() for t in texts]  # at ASCII white space
-        words = set().union(*split)
-        if len(self.known) > KEPT_WORDS or self.held > KEPT_BYTES:  # only words of these texts stay
-            self.known = {w: self.known[w] for w in words if w in self.known}
-            self.held = sum(map(len, self.known))
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype=f"<u{self.width}") for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += len(word)
+
+    def _joined(self, words: list[bytes]) -> None:
+        """Learn words of plain letters."""
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = self._coded([b" ".join(part).decode()])[0]
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("a token inside a word is marked as its last")
+            begin = 0
+            for word, end in zip(part, ends, strict=True):
+                self._keep(word, ids[begin:end].tobytes())
+                begin = end
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Have all these words in the younger generation."""
+        if len(self.young) > KEPT_WORDS or self.held > KEPT_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
+        new, sided, again = set(), [], self.old.get
+        for word in set(words).difference(self.young):
+            ids = again(word)
+            if ids is not None:
+                self._keep(word, ids)
+            elif not word.isalpha() and (sides := _sided(word)):
+                sided.append((word, sides[1], sides[2]))
+            else:
+                new.add(word)
+        for side in {x for _, *sides in sided for x in sides}.difference(self.young, new):
+            ids = again(side)
+            if ids is not None:
+                self._keep(side, ids)
+            else:
+                new.add(side)
+        plain, others = [], []
+        for word in new:
+            (plain if word.isalpha() or _plain(word) else others).append(word)
+        self._joined(plain)
+        for at in range(0, len(others), 2000):
+            part = others[at : at + 2000]
+            for word, ids in zip(part, self._coded([w.decode() for w in part]), strict=True):
+                self._keep(word, ids.tobytes())
+        for word, left, right in sided:
+            self._keep(word, self.young[left] + self.young[right])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one after the other, and how many each has."""
+        if not self.by_words:
+            coded = self._coded(texts.to_pylist())
+            return np.concatenate([np.zeros(0, dtype=f"<u{self.width}"), *coded]), np.array([len(c) for c in coded], dtype=np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        words, place = found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy()
         self._learn(words)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        coded = list(map(self.young.__getitem__, words))
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // self.width
+        pool, begin, n = np.frombuffer(b"".join(coded), dtype=f"<u{self.width}"), np.cumsum(size) - size, size[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(begin[place] - ends[:-1], n)]
+        offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+        return ids, np.diff(ends[offsets])
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -90,17 +160,15 @@ def encoder(path: str) -> WordEncoder:
     return _loaded[path]
 
 
-def _some(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Slices of a column of texts, null as empty, of about TOGETHER characters."""
-    at, texts, held = 0, [], 0
-    for k, value in enumerate(column):
-        texts.append(value.as_py() or "")
-        held += len(texts[-1])
-        if held > TOGETHER:
-            yield at, texts
-            at, texts, held = k + 1, [], 0
-    if texts:
-        yield at, texts
+def _some(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a column of texts, null as empty, of about TOGETHER bytes or one text."""
+    column = column.fill_null("")
+    ends, at = np.cumsum(pc.binary_length(column).to_numpy()), 0
+    while at < len(column):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + TOGETHER, side="right")))
+        yield at, column.slice(at, to - at)
+        at = to
 
 
 def _writing(folder: str, path: str, end: int):
@@ -114,18 +182,17 @@ def _writing(folder: str, path: str, end: int):
                 for at, texts in _some(batch.column("text")):
                     if not files:
                         coder = encoder(path)
-                        tail = int(end).to_bytes(coder.width, "little")
                         store, place = pa.fs.FileSystem.from_uri(folder)
                         store.create_dir(place, recursive=True)
                         files = [store.open_output_stream(f"{place}/{name}.{kind}", compression=None) for kind in ("bin", "idx", "ids")]
                         files[1].write(np.zeros(1, dtype="<i8").tobytes())
-                    coded = [c + tail for c in coder.encode(texts)]
-                    ids = batch.column("doc_id").slice(at, len(texts))
-                    ends = tokens + np.cumsum([len(c) // coder.width for c in coded])
-                    files[0].write(b"".join(coded))
+                    coded, size = coder.encode(texts)
+                    names = batch.column("doc_id").slice(at, len(texts))
+                    ends = tokens + np.cumsum(size + 1)
+                    files[0].write(np.insert(coded, np.cumsum(size), end).tobytes())
                     files[1].write(ends.astype("<i8").tobytes())
-                    files[2].write(ids.fill_null(0).to_numpy().astype("<i8").tobytes())
-                    docs, nulls, tokens = docs + len(texts), nulls + ids.null_count, int(ends[-1])
+                    files[2].write(names.fill_null(0).to_numpy().astype("<i8").tobytes())
+                    docs, nulls, tokens = docs + len(texts), nulls + names.null_count, int(ends[-1])
         finally:
             for file in files:
                 file.close()

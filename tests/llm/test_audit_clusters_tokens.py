@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -243,7 +244,37 @@ def test_token_files_of_nothing_and_of_one_id(spark):
 def test_word_encoder_equals_library(some):
     coder = token_files.encoder(vocabulary_path("word_bpe_49k.json"))
     want = [np.array(x.ids, "<u2").tobytes() for x in library_once().encode_batch(some, add_special_tokens=False)]
-    assert coder.encode(some) == want
+    assert encoded(coder, some) == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aBzéßÿÖ×÷'09.,;:!?$#%&*|<> \n\u0301", max_size=40), max_size=6))
+def test_word_encoder_equals_library_on_marks(some):
+    coder = token_files.encoder(vocabulary_path("word_bpe_49k.json"))
+    want = [np.array(x.ids, "<u2").tobytes() for x in library_once().encode_batch(some, add_special_tokens=False)]
+    assert encoded(coder, some) == want
+
+
+def test_word_encoder_forgets_and_relearns(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 40)
+    coder, rng = token_files.WordEncoder(vocabulary_path("word_bpe_49k.json")), random.Random(1)
+    for _ in range(60):
+        some = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 4))) + rng.choice(["", ",", "!", "1."]) for _ in range(30)) for _ in range(2)]
+        assert encoded(coder, some) == [np.array(x.ids, "<u2").tobytes() for x in library_once().encode_batch(some, add_special_tokens=False)]
+        assert len(coder.young) <= 40 + 120 and len(coder.old) <= 40 + 120
+
+
+def test_encoder_of_a_vocabulary_with_blanks():
+    from tokenizers import Tokenizer
+
+    path = vocabulary_path("byte_bpe_50k.json")
+    some = ["Hello  World", "", " a\nb <|endoftext|>"]
+    assert encoded(token_files.WordEncoder(path), some) == [np.array(x.ids, "<u2").tobytes() for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+
+
+def encoded(coder, some):
+    ids, size = coder.encode(pa.array(some, pa.string()))
+    return [x.tobytes() for x in np.split(ids, np.cumsum(size)[:-1])] if some else []
 
 
 _one = []
