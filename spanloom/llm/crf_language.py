@@ -10,7 +10,7 @@ its label, so a text that switches language is labelled part by part; the docume
 largest mean posterior, which is the score.
 
 Training (a bounded, documented sample): from the rows whose crc32(doc_id as text) mod 4 is not 2 and whose lang
-is not null, the SAMPLE with the smallest hashes of doc_id.  The bound is one on rows: their whole texts are used,
+is not null, one row each of the SAMPLE ids with the smallest hashes.  The bound is one on rows: their whole texts are used,
 all words, cut into stretches of some words which are joined at random, with their documents' labels, into
 code-switched sequences.  The recursion takes BLOCK sequences at a time.
 The likelihood's gradient (feature expectations from forward-backward) is followed by adaptive steps on the driver.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .memory import giving_back
-from .workspace import written
+from .workspace import small, written
 
 SAMPLE = 2_000
 LENGTH = 30
@@ -91,7 +91,7 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, length: np.nd
     steps, count, labels = emission.shape
     psi = np.exp(emission - emission.max(2, keepdims=True))
     move = np.exp(transition - transition.max())
-    ahead = np.empty_like(psi)
+    ahead = np.zeros_like(psi)  # also where a sequence has ended
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
     ahead[0] = psi[0] / psi[0].sum(1, keepdims=True)
     for t in range(1, steps):
@@ -216,7 +216,7 @@ class Tagger:
         psi = np.exp(psi - psi.max(2, keepdims=True))
         move = np.exp(self.moves - self.moves.max()).astype(np.float32)
         active = np.searchsorted(-length, -np.arange(len(index)), side="left")
-        ahead = np.empty_like(psi)
+        ahead = np.zeros_like(psi)
         ahead[0] = psi[0] / psi[0].sum(1, keepdims=True)
         for t in range(1, len(index)):
             n = active[t]
@@ -247,11 +247,17 @@ class Tagger:
 _taggers: dict[int, Tagger] = {}
 
 
+def sampled(documents: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """``lang, text`` to train on: of the ids with the smallest hashes one row each, that with the smallest lang and text hash."""
+    pool = documents.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
+    ids = written(pool.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "sample")
+    one = pool.join(small(ids, most), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    return one.select("row.lang", "row.text")
+
+
 def model(documents: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Train on the sample of rows that are not held out."""
-    pool = documents.select("doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null and pmod(crc32(cast(doc_id as string)), 4) <> 2")
-    ids = written(pool.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "sample")
-    rows = pool.join(F.broadcast(ids), "doc_id").select("lang", "text").orderBy("lang", "text").collect()
+    rows = sampled(documents).orderBy("lang", "text").collect()
     return train([r.text for r in rows], [r.lang for r in rows])
 
 
