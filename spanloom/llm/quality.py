@@ -9,7 +9,7 @@ Features of a whole text: presence of each lower-cased word of letters and of it
 (hashed alike): how often symbols, capitals, digits, short lines, repeated words, equal neighbours and repeated
 lines occur, each share put on a logarithmic scale of levels.
 
-Training uses the labelled documents with the SAMPLE smallest hashes of doc_id (the documented bound; all of
+Training uses one text each of the labelled documents with the SAMPLE smallest hashes of doc_id (the documented bound; all of
 them where there are fewer); their features, not their texts, go to the driver, which fits by full-batch adaptive
 gradient steps.  Ratings outside 0 and 1 or null leave a row out; of contradictory ratings of a document the lowest grade
 counts.  Without any labelled rows every document gets the even odds of an unfitted model and all are kept.
@@ -167,10 +167,16 @@ def grades(labels: DataFrame) -> DataFrame:
     return rated.groupBy("doc_id").agg(F.min(F.expr("if(quality = 0, 0, if(toxic = 1, 1, 2))")).alias("grade"))
 
 
+def one_text_each(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``grade, text`` of each chosen (``doc_id, grade``) document: of several rows with its id the text with the smallest hash."""
+    met = documents.select("doc_id", "text").where("text is not null").join(small(chosen, SAMPLE), "doc_id")
+    return met.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row")).select("grade", "row.text")
+
+
 def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Fit on the labelled documents with the SAMPLE smallest hashes of doc_id."""
     chosen = written(grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE), "labels")
-    docs = documents.select("doc_id", "text").where("text is not null").join(small(chosen, SAMPLE), "doc_id").select("grade", "text")
+    docs = one_text_each(documents, chosen)
     rows = docs.mapInArrow(giving_back(_featured), "grade int, features binary").collect()
     dropped(chosen)
     rows.sort(key=lambda r: (r.grade, r.features))  # the same fit whatever the row order
