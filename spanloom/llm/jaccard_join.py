@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .hashing import PLACE, U, blocks, mix, windows
 from .memory import giving_back
-from .workspace import dropped, small, written
+from .workspace import added_up, dropped, small, written
 
 WORDS = 5
 BUCKETS = 64
@@ -217,7 +217,7 @@ def _added(key: tuple, table: pa.Table) -> pa.Table:
 
 def _costs(described: DataFrame) -> np.ndarray:
     """The cost of every counter; SLICES rows of fixed size go to the driver."""
-    parts = described.where("slice is not null").select("slice", "table").groupBy("slice").applyInArrow(_added, "slice int, table binary").collect()
+    parts = added_up(described.where("slice is not null").select("slice", "table"), _added, "slice int, table binary").collect()
     if not parts:
         return np.zeros(TABLE, dtype=np.uint8)
     return costs_of(np.concatenate([np.frombuffer(r["table"], dtype=f"<u{r['table'][0]}", offset=1).astype(float) for r in sorted(parts, key=lambda r: r["slice"])]))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import NOT_SPACE, PLACE, Block, U, blocks, mix, windows
+from .workspace import added_up, dropped, written
 
 WIDTH = 1 << 16
 SLICES = 16
@@ -63,7 +64,9 @@ def ratios(documents: DataFrame, labels: DataFrame) -> np.ndarray:
     trusted = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
     # labels grow with the documents: always a shuffle on doc_id, never a broadcast that turns into one at some size
     docs = documents.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left").select(F.coalesce("trusted", F.lit(False)).alias("trusted"), "text")
-    parts = docs.mapInArrow(_counted, "slice int, counts binary").groupBy("slice").applyInArrow(_added, "slice int, counts binary").collect()
+    tables = written(docs.mapInArrow(_counted, "slice int, counts binary"), "counts")
+    parts = added_up(tables, _added, "slice int, counts binary").collect()
+    dropped(tables)
     counts = np.concatenate([np.frombuffer(r["counts"], dtype="<i8").reshape(2, -1) for r in sorted(parts, key=lambda r: r["slice"])], axis=1).astype(float) if parts else np.zeros((2, WIDTH))
     if not counts[1].sum():
         return np.zeros(WIDTH)
