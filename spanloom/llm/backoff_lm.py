@@ -15,7 +15,7 @@ Chunk and bucket numbers grow with the corpus, and so do partitions, so a task's
 many as any shuffle has (chunks times buckets), and never more than the pre-aggregated n-grams.
 
 N-grams are identified by 64-bit hashes.  Defined results: a document without words (or null) has n_words 0 and
-a null score.  Repeated rows count, and score, each on its own: each is text elsewhere for the others.  Other columns do
+a null score.  The table is read more than once and must have the same rows in each partition each time, as files do.  Repeated rows count, and score, each on its own: each is text elsewhere for the others.  Other columns do
 not take part.
 """
 
@@ -166,11 +166,12 @@ def _dealt(df: DataFrame, column: str, groups: int) -> DataFrame:
 
 def backoff_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id, n_words, score`` for every document, with counts from all of them."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # rows are numbered where they are read, so copies of one row are dealt to all chunks
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = docs.select(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("words")).first()
     chunks = max(1, -(-(size["bytes"] or 0) // CHUNK_BYTES))
     buckets = max(1, -(-(size["bytes"] or 0) // BUCKET_BYTES))
-    dealt = _dealt(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))), "chunk", chunks)
+    dealt = _dealt(docs.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks))).drop("row"), "chunk", chunks)
     parts = _dealt(dealt.groupBy("chunk").applyInArrow(_chunk_counts(order, buckets), _BLOCK), "bucket", buckets * order)
     totals = parts.groupBy("bucket").applyInArrow(_totals, "chunk long, bucket long, counts binary")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType())])
