@@ -24,6 +24,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -43,11 +44,20 @@ def _clean(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+def _id(page) -> str:
+    """A page's id in a header: nothing for null, text behind = with all but letters, digits and ``_.-~`` escaped."""
+    return "" if page is None else "=" + quote(page, safe="") if isinstance(page, str) else str(page)
+
+
+def _from_id(shown: str) -> str | int | None:
+    return None if shown == "" else unquote(shown[1:]) if shown[0] == "=" else int(shown)
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, place: str = "0:0") -> bytes:
     """One WARC record; refers_to is None for a response, `place` tells records of one page apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
-    name = lambda i: f"<urn:page:{'' if i is None else i}>"
+    name = lambda i: f"<urn:page:{_id(i)}>"
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)[:-1]}:{place}>", f"WARC-Target-URI: {_clean(url or '')}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: {name(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -69,7 +79,7 @@ def parsed(data: bytes) -> dict:
         size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
         digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     bare = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x else ""
-    return {"record_type": fields["WARC-Type"], "page": bare(fields["WARC-Record-ID"]).rsplit(":", 2)[0], "refers_to": bare(fields.get("WARC-Refers-To")), "bytes": size, "digest": digest, "payload": payload}
+    return {"record_type": fields["WARC-Type"], "page": _from_id(bare(fields["WARC-Record-ID"]).rsplit(":", 2)[0]), "refers_to": _from_id(bare(fields.get("WARC-Refers-To"))), "bytes": size, "digest": digest, "payload": payload}
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -145,15 +155,13 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows = []
                 for r in run:
                     p = parsed(zlib.decompress(data[r["offset"] - begin : r["offset"] - begin + r["length"]], 31))
-                    as_id = (lambda x: None if x == "" else int(x)) if pa.types.is_integer(kind_of) else (lambda x: x or None)
-                    rows.append({"page_id": as_id(p["page"]), "payload_bytes": p["bytes"], "payload_digest": p["digest"], "record_type": p["record_type"], "refers_to": as_id(p["refers_to"]), "payload": p["payload"]})
+                    rows.append({"page_id": p["page"], "payload_bytes": p["bytes"], "payload_digest": p["digest"], "record_type": p["record_type"], "refers_to": p["refers_to"], "payload": p["payload"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(ddl))
-    kind_of = schema.field("page_id").type
     files = max(1, index.select("file").distinct().count())  # index rows are small but stand for large reads: a task per file
     selected = index.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return selected.mapInArrow(read, ddl)
