@@ -110,10 +110,17 @@ def join_route(prefix: Column, path: Column) -> Column:
     return F.concat(F.lit("/"), F.concat_ws("/", F.when(left != "", left), F.when(right != "", right)))
 
 
+def joined_route(base: Column, tail: Column) -> Column:
+    """The rule of mapping annotations: the tail's slashes at the end stay, a base without a tail stays as it is written."""
+    left, right = F.regexp_replace(base, r"/+$", ""), F.regexp_replace(tail, r"^/+", "")
+    return F.when((right == "") & (left != ""), left).otherwise(F.concat(left, F.lit("/"), right))
+
+
 def route_pattern(pattern: Column) -> tuple[Column, Column]:
-    """Method and path of ``METHOD /path``; the method is ANY where none is given."""
-    method = F.regexp_extract(pattern, r"^([A-Z]+)\s+(/.*)$", 1)
-    return F.when(method == "", "ANY").otherwise(method), F.when(method == "", pattern).otherwise(F.regexp_extract(pattern, r"^([A-Z]+)\s+(/.*)$", 2))
+    """Method and path of ``METHOD /path``, one blank between; else the method is ANY and the path all of it."""
+    form = r"(?s)^([A-Z]+) (/.*)$"
+    method = F.regexp_extract(pattern, form, 1)
+    return F.when(method == "", "ANY").otherwise(method), F.when(method == "", pattern).otherwise(F.regexp_extract(pattern, form, 2))
 
 
 def snake_case(name: Column) -> Column:

@@ -143,14 +143,14 @@ _PY = "from fastapi import FastAPI\nimport os\n\napp = FastAPI()\n\n\n@app.get('
 
 @query("op223_python", "select concat('app/', c_custkey, '.py') as path, 'endpoint' as kind, concat('GET /c/', c_custkey) as name, concat('f', c_custkey) as detail from customer")
 def _(s):
-    return extractors.extracted(text(s, "customer", "app/{c_custkey}.py", _PY).repartition(4)).where("kind = 'endpoint'").select("path", "kind", "name", "detail")
+    return extractors.extracted(text(s, "customer", "app/{c_custkey}.py", _PY)).where("kind = 'endpoint'").select("path", "kind", "name", "detail")
 
 
 _TS = "import express from 'express';\nimport [[ SendMessageCommand ]] from '@aws-sdk/client-sqs';\nconst app = express();\n// app.get('/no', x)\napp.post('/c/{c_custkey}', handler{c_custkey});\nfetch('/api/{c_custkey}', [[ method: 'PUT' ]]);\nnew SendMessageCommand([[ QueueUrl: process.env.Q{c_custkey} ]]);\neval(code);\n"
 
 
 def _ts(s):
-    return extractors.extracted(text(s, "customer", "src/{c_custkey}.ts", _TS).repartition(4))
+    return extractors.extracted(text(s, "customer", "src/{c_custkey}.ts", _TS))
 
 
 @query("op211_express", "select concat('src/', c_custkey, '.ts') as path, concat('POST /c/', c_custkey) as name, concat('handler', c_custkey) as detail from customer")

@@ -7,15 +7,19 @@ the one that a path's extension names over a whole frame of files.
 from __future__ import annotations
 
 import ast
+import bisect
+import functools
 import json
 import re
 import tomllib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scopes import scope_rows
+
 SCHEMA = "path string, language string, kind string, name string, detail string, byte_start long, byte_end long"
 HTTP = ("get", "post", "put", "patch", "delete", "head", "options")
 Row = tuple[str, str, str, int, int]
@@ -39,8 +43,11 @@ GO_SYSTEMS = ("aix", "android", "darwin", "dragonfly", "freebsd", "illumos", "io
 GO_MACHINES = ("386", "amd64", "arm", "arm64", "loong64", "mips", "mips64", "mips64le", "mipsle", "ppc64", "ppc64le", "riscv64", "s390x", "wasm")
 
 
-def _offsets(text: str) -> list[int]:
+@functools.lru_cache(maxsize=4)  # many patterns ask for one text's
+def _offsets(text: str) -> Sequence[int]:
     """Byte offset of every character and of the end."""
+    if text.isascii():
+        return range(len(text) + 1)
     out, at = [0], 0
     for c in text:
         at += len(c.encode())
@@ -338,14 +345,12 @@ def _typescript(text: str, depth: int = 0) -> Iterator[Row]:
 
 
 def _go(text: str) -> Iterator[Row]:
-    if re.search(r"^//go:build|^// \+build", text, re.M):
-        return
     text = _blanked(text)
     yield from _matches(text, r'^\s*(?:import\s+)?(?:[\w.]+\s+)?"([\w./-]+)"\s*$', lambda m: [("import", m[1], "")])
     yield from _matches(text, r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", lambda m: [("symbol", m[1], "func")])
     yield from _matches(text, r"^type\s+(\w+)\s+(struct|interface)", lambda m: [("symbol", m[1], m[2])])
     if '"net/http"' in text:
-        told = lambda p: m.groups() if (m := re.match(r"([A-Z]+)\s+(/.*)", p)) else ("ANY", p)
+        told = lambda p: m.groups() if (m := re.match(r"([A-Z]+) (/.*)", p)) else ("ANY", p)
         yield from _matches(text, r'\b\w+\.(?:HandleFunc|Handle)\s*\(\s*"([^"]+)"\s*,\s*([\w.]+)', lambda m: [("endpoint", " ".join(told(m[1])), m[2])])
     if "go-chi/chi" in text or "gin-gonic/gin" in text:
         # blocks below a path, and groups held in a variable
@@ -357,10 +362,15 @@ def _go(text: str) -> Iterator[Row]:
         yield from _matches(text, r'\b(\w+)\.(Get|Post|Put|Patch|Delete|Head|Options|GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s*\(\s*"([^"]*)"', lambda m: [("endpoint", f"{m[2].upper()} {base(m.start(), m[1])}{m[3]}", _handler(text, m.end()))])
 
 
-def _go_file(path: str, text: str) -> Iterator[Row]:
-    """A Go file; one for a platform, by its name, is passed over like one with a build constraint."""
+def _go_read(path: str, text: str) -> bool:
+    """False for a file that a build constraint, in it or in its name, ties to a platform."""
     parts = path.rpartition("/")[2].removesuffix(".go").split("_")[1:]
-    if not (parts and (parts[-1] in GO_SYSTEMS or parts[-1] in GO_MACHINES)):
+    return not (parts and (parts[-1] in GO_SYSTEMS or parts[-1] in GO_MACHINES)) and not re.search(r"^//go:build|^// \+build", text, re.M)
+
+
+def _go_file(path: str, text: str) -> Iterator[Row]:
+    """A Go file; one for a platform is passed over."""
+    if _go_read(path, text):
         yield from _go(text)
 
 
@@ -380,7 +390,11 @@ def _jvm(text: str, function: str) -> Iterator[Row]:
         m = re.search(r"@RequestMapping\s*\(", head)
         bases.append((t.start(), (_paths(head, m.end()) or [None])[0] if m else ""))
     base_at = lambda i: next((b for at, b in reversed(bases) if at < i), "")
-    join = lambda b, p: "/" + "/".join(x for x in (b.strip("/"), p.strip("/")) if x)
+
+    def join(base: str, tail: str) -> str:
+        """The base without slashes at its end, and the tail with those at its own kept."""
+        base, tail = base.rstrip("/"), tail.lstrip("/")
+        return f"{base}/{tail}" if tail or not base else base
 
     def mapped(m):
         base = base_at(m.start())
@@ -622,16 +636,57 @@ def rows_of(path: str, text: str) -> list[tuple]:
         return [(path, language, "gap", "unreadable", type(e).__name__, 0, len(text.encode()))]
 
 
-def extracted(files: DataFrame) -> DataFrame:
-    """Rows of all files (``path, text``)."""
+def _framed(files: DataFrame, keys: list[str], make, columns: list[str], schema: str) -> DataFrame:
+    """What `make` yields of path and text, with the keys of the file before each row; a frame of rows for a frame of files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, text in zip(frame["path"], frame["text"], strict=True):
-                if rows := rows_of(path, text):
-                    yield pd.DataFrame(rows, columns=["path", "language", "kind", "name", "detail", "byte_start", "byte_end"])
+            rows = [(*key, *r) for *key, path, text in zip(*[frame[k] for k in keys], frame["path"], frame["text"], strict=True) if text is not None for r in make(path, text)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.select(*keys, "path", "text").mapInPandas(run, schema)
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """Rows of all files (``path, text``; none of a null text)."""
+    return _framed(files, [], rows_of, ["path", "language", "kind", "name", "detail", "byte_start", "byte_end"], SCHEMA)
+
+
+#: Languages whose declarations and calls are read.
+SCOPED = ("typescript", "python", "go", "java", "kotlin")
+FACTS = "repo string, path string, language string, kind string, name string, detail string, owner string, byte_start long, byte_end long"
+
+
+def _facts(path: str, text: str) -> list[tuple]:
+    """Rows of a file and of its scopes; owner is the innermost declaration around a row, empty at file level."""
+    rows = rows_of(path, text)
+    language = _BY_SUFFIX.get("." + path.rpartition(".")[2], ("", None))[0]
+    scoped: list[tuple] = []
+    if language in SCOPED and not (language == "go" and not _go_read(path, text)):
+        try:
+            scoped = scope_rows(text, language)
+        except (SyntaxError, ValueError, RecursionError):
+            scoped = []  # rows_of has left a gap
+    if language == "typescript" and scoped:  # a fetch that a parameter or variable shadows is none
+        raw, called = text.encode(), {a for k, n, member, a, *_ in scoped if k == "calls" and (n, member) == ("fetch", "")}
+        rows = [r for r in rows if r[2] != "fetch" or r[5] in called or raw[r[5] : r[5] + 5] != b"fetch"]
+    spans = sorted((a, -z, n) for k, n, _, a, z, _ in scoped if k == "declares")
+
+    def around(at: int) -> str:
+        inner = [n for a, z, n in spans[: bisect.bisect_right(spans, (at, 1))] if -z > at]
+        return inner[-1] if inner else ""
+
+    out = [(path, lang, kind, name, detail, around(a), a, z) for path, lang, kind, name, detail, a, z in rows if (kind, lang) not in (("call", "python"), ("symbol", lang))]
+    out += [(path, language, kind, name, detail, owner, a, z) for kind, name, detail, a, z, owner in scoped]
+    if path.rpartition("/")[2] == "go.mod" and (m := re.search(r"^module\s+(\S+)", text, re.M)):
+        out.append((path, "go", "module", m[1], "", "", m.start(), m.end()))
+    return out
+
 
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+def facts(files: DataFrame) -> DataFrame:
+    """FACTS of all files (``repo, path, text``): the extractors' rows with their owners, declarations, import scopes and calls."""
+    columns = ["repo", "path", "language", "kind", "name", "detail", "owner", "byte_start", "byte_end"]
+    return _framed(files, ["repo"], _facts, columns, FACTS)
 
 
 def heard_messages(rows: DataFrame, repo: str = "repo") -> DataFrame:

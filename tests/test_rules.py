@@ -287,3 +287,13 @@ def test_escalation_limits(spark):
     tasks, candidates = semantic.escalation_tasks(nodes, edges, nodes.where("label = 'Gap'").select(F.col("id").alias("gap_id")))
     assert {tuple(r) for r in tasks.collect()} == {("gap:1", "s", "CALLS", None), ("gap:2", None, None, "no adjacent edge")}
     assert sorted(r.node_id for r in candidates.collect()) == ["hub", "n00", "n01", "n02", "n04", "n05", "n06", "n07"]
+
+
+def test_route_rules(spark):
+    """Mapping annotations keep the tail's last slash; patterns have one blank after the method."""
+    row = spark.range(1).select(
+        *[X.joined_route(F.lit(a), F.lit(b)).alias(f"j{k}") for k, (a, b) in enumerate([("/a", "/b/"), ("/a/", "b"), ("", ""), ("", "/x/"), ("/a//", ""), ("a", "/")])],
+        *[c.alias(f"p{k}{n}") for k, p in enumerate(["GET /x", "GET  /x", "/x", "get /x", "GET x", "POST /a b"]) for n, c in zip("mp", X.route_pattern(F.lit(p)), strict=True)],
+    ).first()
+    assert [row[f"j{k}"] for k in range(6)] == ["/a/b/", "/a/b", "/", "/x/", "/a", "a"]
+    assert [(row[f"p{k}m"], row[f"p{k}p"]) for k in range(6)] == [("GET", "/x"), ("ANY", "GET  /x"), ("ANY", "/x"), ("ANY", "get /x"), ("ANY", "GET x"), ("POST", "/a b")]
