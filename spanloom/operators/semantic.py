@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine
+from . import vectors
 from .graph import Flows
 from .lineage import written
 from .resolve import ranked, replaced_gaps
 from .store import first_by
 
 SLACK = 1e-6
-#: Queries are broadcast up to so many rows and bytes of vectors; beyond, classes are dealt over so many salts.
-QUERY_ROWS, QUERY_BYTES, SALTS = 100_000, 32 << 20, 64
+#: Queries go to every task up to so many rows and bytes of vectors; beyond, an index is searched.
+QUERY_ROWS, QUERY_BYTES = 20_000, 16 << 20
 #: Kinds of channels that resources of these types may stand for.
 STAGED = {"aws_sqs_queue": "sqs-queue", "aws_sns_topic": "sns-topic"}
 
@@ -21,25 +21,13 @@ STAGED = {"aws_sqs_queue": "sqs-queue", "aws_sns_topic": "sns-topic"}
 def top_k(queries: DataFrame, index: DataFrame, k: int, on: list[str], digits: int | None = None) -> DataFrame:
     """``query_id, target_id, similarity``: the k nearest per query among index rows with null-safe equal `on` columns.
 
-    The stated queries are held against all rows of their class.  Queries that fit are broadcast, so index rows stay where
-    they are and no class meets in one task; more are shuffled with the index on a salted class.  Spark limits each
-    query's rows on the map side.
+    The stated queries are held against all rows of their class.  Queries that fit go to every task, so index rows stay where
+    they are and no class meets in one task; more are searched through an index, the exact way.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("_q"), *[F.col(c).alias(f"_q_{c}") for c in on])
-    i = index.select(F.col("id").alias("target_id"), F.col("vector").alias("_v"), *on)
-    same: Column = F.col("query_id") != F.col("target_id")
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
-    value = cosine(F.col("_q"), F.col("_v"))
-    size = q.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("_q")), F.lit(0)).alias("d")).first()
+    size = queries.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("d")).first()
     if size.d * 8 <= QUERY_BYTES and size.n <= QUERY_ROWS:
-        met = i.join(F.broadcast(q), same)
-    else:
-        i = i.withColumn("_salt", F.pmod(F.xxhash64("target_id"), F.lit(SALTS)).cast("int"))
-        q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = q.withColumnRenamed("_salt", "_qs").join(i, same & (F.col("_salt") == F.col("_qs")))
-    pairs = met.select("query_id", "target_id", (F.round(value, digits) if digits is not None else value).alias("similarity"))
-    return ranked(pairs.where("similarity is not null"), ["query_id"], [F.desc("similarity"), F.asc("target_id")], max(k, 1))
+        return vectors.scanned(queries, index, max(k, 1), on, digits)
+    return vectors.VectorIndex(index, on).search(queries, max(k, 1), digits)
 
 
 def calibrated(pairs: DataFrame, floor: float) -> DataFrame:

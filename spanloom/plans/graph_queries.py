@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import graph, registers, resolve, semantic, store
+from ..operators import graph, registers, resolve, semantic, store, vectors
 from ..operators.lineage import temporary, written
 from .derived import Source, oracle
 
@@ -688,12 +688,21 @@ def _(s):
 _COS = "greatest(0, least(1, list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[]))))))"
 
 
-@query("op141_top_k", f"with p as (select a.vec_id as query_id, b.vec_id as target_id, round({_COS}, 4) as similarity from embeddings a join embeddings b on a.label is not distinct from b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select query_id, target_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, target_id) as r from p) where r <= 3")
+ORACLES_TOP_K = f"with p as (select a.vec_id as query_id, b.vec_id as target_id, round({_COS}, 4) as similarity from embeddings a join embeddings b on a.label is not distinct from b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0) select query_id, target_id, similarity from (select *, row_number() over (partition by query_id order by similarity desc, target_id) as r from p) where r <= 3"
+
+
+@query("op141_top_k", ORACLES_TOP_K)
 def _(s):
     e = s.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     return semantic.top_k(e.where("id % 50 = 0"), e, 3, ["label"], digits=4)
 
 
+@query("op141_top_k_index", ORACLES_TOP_K)
+def _(s):
+    e = s.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return vectors.VectorIndex(e, ["label"]).search(e.where("id % 50 = 0"), 3, digits=4)
+
+
 @query("op249_cosine", f"select a.vec_id, round({_COS}, 4) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def _(s):
     e = s.table("embeddings")
