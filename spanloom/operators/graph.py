@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 from collections import defaultdict
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +16,6 @@ DEPTH = 64
 FORWARD = ("RENDERS", "FETCHES", "HANDLES", "ENTRY", "CALLS", "PUBLISHES")
 REVERSED = ("SUBSCRIBES", "DEFINED_IN")
 ANCHORS = ("Screen", "ExtensionContext", "Command")
-#: The exact mode broadcasts its adjacency, of at most so many steps and bytes of their ids.
-EXACT_STEPS, EXACT_BYTES = 2_000_000, 128 << 20
 #: Steps are composed with themselves while there are at most so many.
 SQUARED_STEPS = 100_000
 #: Rounds after which the tables of pairs seen are written as one.
@@ -69,22 +66,22 @@ def steps_of(edges: DataFrame) -> DataFrame:
     return forward.unionAll(back)
 
 
-def _walk(adjacency: dict, gaps: set, trigger: str) -> list[tuple]:
-    """Hops in depth-first order; gap nodes are not expanded, nor what is popped at the depth bound.
+def _walk(adjacency: dict, leads: set, trigger: str) -> list[tuple]:
+    """Hops in depth-first order; only nodes with an adjacency are expanded, and none that is popped at the depth bound.
 
     A node is expanded where it is first popped below the bound, so one cut off on a long path may still be
-    expanded on a shorter one.
+    expanded on a shorter one.  `leads` are the nodes that steps lead on from: cutting one off makes the flow limited.
     """
     hops, visited, stack, limited = [], set(), [(trigger, 0)], False
     while stack:
         node, depth = stack.pop()
-        out = adjacency.get(node, ())
         if depth >= DEPTH:
-            limited = limited or bool(out)
+            limited = limited or node in leads
             continue
-        if node in visited or node in gaps:
+        if node in visited:
             continue
         visited.add(node)
+        out = adjacency.get(node, ())
         hops.extend((node, *step) for step in out)
         stack.extend((step[0], depth + 1) for step in reversed(out))
     return [(trigger, k, *hop, limited) for k, hop in enumerate(hops)]
@@ -93,27 +90,26 @@ def _walk(adjacency: dict, gaps: set, trigger: str) -> list[tuple]:
 def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> DataFrame:
     """``trigger_id, ord, src, dst, label, conf, reversed, depth_limited``: depth-first narrative order.
 
-    The adjacency goes to every task as a broadcast variable, so its size in steps and bytes is checked first.
+    A depth-first walk expands no node that is further than the bound by the shortest way, so what a trigger's set-mode flow
+    expands holds all it needs: the steps of these nodes are the trigger's own subgraph.  They meet in one group for each
+    trigger, whatever the size of the graph, and are walked there; a group is as large as its trigger's flow.
     """
-    spark = nodes.sparkSession
-    steps = written(steps_of(edges), "steps")
-    size = steps.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("src") + F.octet_length("dst")), F.lit(0)).alias("b")).first()
-    if size.n > EXACT_STEPS or size.b > EXACT_BYTES:
-        raise ValueError("too many steps for the exact mode; use trace_set")
-    adjacency = defaultdict(list)
-    for r in steps.orderBy("src", "reversed", "label", "dst").toLocalIterator():
-        adjacency[r.src].append((r.dst, r.label, r.conf, r.reversed))
-    # of the gap nodes those that a step leads on from: the others are never expanded anyway
-    gaps = {r.id for r in nodes.where("label = 'Gap'").select("id").join(steps.select(F.col("src").alias("id")).distinct(), "id", "left_semi").toLocalIterator()}
-    shared = spark.sparkContext.broadcast((dict(adjacency), gaps))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adjacency, gaps = shared.value
-        for frame in frames:
-            for trigger in frame["trigger_id"]:
-                yield pd.DataFrame(_walk(adjacency, gaps, trigger), columns=["trigger_id", "ord", "src", "dst", "label", "conf", "reversed", "depth_limited"])
-
-    return triggers.select("trigger_id").mapInPandas(walk, "trigger_id string, ord long, src string, dst string, label string, conf string, reversed boolean, depth_limited boolean")
+    steps = steps_of(edges)
+    leads = steps.select(F.col("src").alias("dst")).distinct().withColumn("leads", F.lit(True))
+    steps = written(steps.join(leads, "dst", "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "steps")
+    gaps = nodes.where("label = 'Gap'").select(F.col("id").alias("trigger_id"))
+    open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
+    reach, _ = _expanded(steps, open_nodes, triggers.select("trigger_id").distinct().join(gaps, "trigger_id", "left_anti"))
+    own = reach.join(steps, F.col("node") == F.col("src")).select("trigger_id", "src", "dst", "label", "conf", "reversed", "leads")
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        adjacency = defaultdict(list)
+        for src, dst, label, conf, back in frame.sort_values(["src", "reversed", "label", "dst"])[["src", "dst", "label", "conf", "reversed"]].itertuples(index=False):
+            adjacency[src].append((dst, label, conf, back))
+        leads = set(frame["dst"][frame["leads"]])
+        return pd.DataFrame(_walk(adjacency, leads, frame["trigger_id"].iloc[0]), columns=["trigger_id", "ord", "src", "dst", "label", "conf", "reversed", "depth_limited"])
+
+    return own.groupBy("trigger_id").applyInPandas(walk, "trigger_id string, ord long, src string, dst string, label string, conf string, reversed boolean, depth_limited boolean")
 
 
 def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -294,7 +294,7 @@ def _(s):
     return graph.flow_scores(hops, triggers, nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
 
 
-_CHAIN = "select concat('s', k // 100, '.', k % 100) as src, concat('s', k // 100, '.', k % 100 + 1) as dst, k // 100 as c, k % 100 as i from range(1000) t(k) where k % 100 < 7 * (k // 100 + 1) + 17"
+_CHAIN = "select concat('s', k // 100, '.', k % 100) as src, concat('s', k // 100, '.', k % 100 + 1) as dst, k // 100 as c, k % 100 as i from (select c_custkey as k from customer) where k % 100 < 7 * (k // 100 + 1) + 17"
 
 
 @query("op174_depth_bound", f"with ch as ({_CHAIN}) select concat('s', c, '.0') as trigger_id, least(count(*), 64) as hops, case when count(*) > 64 then 'Partial' else 'Verified' end as status from ch group by c")
@@ -302,7 +302,7 @@ def _(s):
     k = F.col("id")
     c, i = F.floor(k / 100), k % 100
     ids = lambda x: F.concat(F.lit("s"), c.cast("string"), F.lit("."), x.cast("string"))
-    chain = s.spark.range(1000).where(i < 7 * (c + 1) + 17)
+    chain = s.table("customer").select(F.col("c_custkey").alias("id")).where(i < 7 * (c + 1) + 17)
     edges = chain.select(ids(i).alias("src"), ids(i + 1).alias("dst"), F.lit("CALLS").alias("label"), F.lit("Confirmed").alias("conf"))
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     nodes = ends.select("id", F.when(F.col("id").endswith(".0"), "Screen").otherwise("Symbol").alias("label"))
@@ -317,7 +317,7 @@ def _(s):
     consumed = edges.where("label = 'SUBSCRIBES'").select(F.col("dst").alias("id")).distinct()
     rest = nodes.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti").unionAll(nodes.where("label = 'Channel'").select("id").join(consumed, "id", "left_semi").join(published, "id", "left_anti"))
     triggers = written(nodes.where("label = 'Screen'").select("id").unionAll(rest).withColumnRenamed("id", "trigger_id"), "triggers")
-    hops = graph.trace_exact(nodes, edges, triggers.repartition(16, "trigger_id"))
+    hops = graph.trace_exact(nodes, edges, triggers)
     return graph.flow_scores(hops, triggers, nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
 
 

@@ -78,9 +78,12 @@ def _(s):
 _MANIFEST = '[[repos]]\nurl = "https://example.com/a/b"\nlayers = ["server", "events"]\nstate_json = "s.json"\notel_jsonl = ["t1.jsonl", "t2.jsonl"]\n[[repos]]\nurl = "https://example.com/a/c"\npulumi_json = "p.json"\n[env]\nK3 = "v"\nN1 = "w"\n'
 
 
-@query("op032_manifest", "select 'https://example.com/a/b' as url, 'server,events' as layers, 's.json' as state_json, null as pulumi_json, 2 as traces union all select 'https://example.com/a/c', '', null, 'p.json', 0")
+@query("op032_manifest", """select concat('m', s_suppkey, '.toml') as path, 0 as place, concat('https://example.com/a/', s_suppkey) as url, 'server,events' as layers, concat('s', s_nationkey, '.json') as state_json, null as pulumi_json, 2 as traces from supplier
+ union all select concat('m', s_suppkey, '.toml'), 1, concat('https://example.com/b/', s_suppkey), '', null, 'p.json', 0 from supplier""")
 def _(s):
-    return observations.manifest_frame(s.spark, _MANIFEST).select("url", F.array_join("layers", ",").alias("layers"), "state_json", "pulumi_json", F.size("otel_jsonl").alias("traces"))
+    toml = '<<repos>>\nurl = "https://example.com/a/{s_suppkey}"\nlayers = <"server", "events">\nstate_json = "s{s_nationkey}.json"\notel_jsonl = <"a", "b">\n\n<<repos>>\nurl = "https://example.com/b/{s_suppkey}"\npulumi_json = "p.json"\n'
+    docs = text(s, "supplier", "m{s_suppkey}.toml", toml).withColumn("text", F.translate("text", "<>", "[]"))
+    return observations.manifests(docs).select("path", "place", "url", F.array_join("layers", ",").alias("layers"), "state_json", "pulumi_json", F.size("otel_jsonl").alias("traces"))
 
 
 @query("op032_manifest_env", "select key, case key when 'K3' then 'v' when 'N1' then 'w' else value end as value from (select concat('K', n_nationkey) as key, n_name as value from nation union all select 'N1', null) c")

@@ -65,6 +65,18 @@ def manifest_frame(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "place int, url string, layers array<string>, state_json string, pulumi_json string, otel_jsonl array<string>")
 
 
+def manifests(files: DataFrame) -> DataFrame:
+    """``path`` and the columns of :func:`manifest_frame` for the repositories of many manifests (``path, text``)."""
+    names = ["path", "place", "url", "layers", "state_json", "pulumi_json", "otel_jsonl"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            told = [(p, k, r) for p, t in zip(frame["path"], frame["text"], strict=True) if t is not None for k, r in enumerate(manifest(t).get("repos", []))]
+            yield pd.DataFrame([(p, k, r["url"], r.get("layers", []), r.get("state_json"), r.get("pulumi_json"), r.get("otel_jsonl", [])) for p, k, r in told], columns=names)
+
+    return files.select("path", "text").mapInPandas(run, "path string, place int, url string, layers array<string>, state_json string, pulumi_json string, otel_jsonl array<string>")
+
+
 def manifest_env(spark: SparkSession, text: str) -> DataFrame:
     """``key, value``: identities that the author declares; they come before any env file."""
     return spark.createDataFrame(sorted((k, str(v)) for k, v in (manifest(text).get("env") or {}).items()), "key string, value string")
