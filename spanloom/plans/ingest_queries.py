@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..operators.lineage import temporary
+from ..sources import fact_cache
 from .derived import Source, oracle
 
 QUERIES: dict = {}
@@ -160,3 +162,17 @@ func Save', cast(n_nationkey as string), '() {{}}
 )
 def _(s):
     return ingest.ingested(s.sql(_GO))[1].where("label <> 'DEFINED_IN'").select("src", "label", "dst")
+
+
+@query(
+    "op270_cached_facts",
+    """with n as (select (select count(*) from customer) + (select count(*) from nation) + (select count(distinct c_nationkey) from customer) as files, (select count(*) from customer where c_custkey % 10 = 3) as more, (select count(*) from customer where c_custkey % 10 = 4) as gone)
+ select 1 as run, files as parsed, 0 as reused, 0 as dropped from n union all select 2, 0, files, 0 from n union all select 3, more, files - more - gone, gone from n""",
+)
+def _(s):
+    files = s.sql(_SHOP)
+    cache = fact_cache.FactCache(s.spark, temporary(s.spark, "facts"))
+    key = F.regexp_extract("path", r"^svc/\d*(\d)\.ts$", 1)
+    changed = files.where(key != "4").withColumn("text", F.when(key == "3", F.concat("text", F.lit("// more\n"))).otherwise(F.col("text")))
+    runs = [(k, cache.refresh(f)) for k, f in enumerate((files, files, changed), 1)]
+    return s.spark.createDataFrame([(k, *[told[c] for c in ("parsed", "reused", "dropped")]) for k, told in runs], "run int, parsed long, reused long, dropped long")
