@@ -19,7 +19,7 @@ ANCHORS = ("Screen", "ExtensionContext", "Command")
 #: Steps are composed with themselves while there are at most so many.
 SQUARED_STEPS = 100_000
 #: Rounds after which the tables of pairs seen are written as one.
-GATHERED = 16
+GATHERED = 8
 
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -125,6 +125,8 @@ def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> t
             break
         if depth < DEPTH:
             seen = seen.unionAll(new)
+        if depth % GATHERED == 0:
+            seen = written(seen, "flow")
     cut = new.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("trigger_id").distinct()
     return seen, cut
 
