@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hop_weight
-from .lineage import counted, running, written
+from .lineage import counted, running, small, written
 
 DEPTH = 64
 FORWARD = ("RENDERS", "FETCHES", "HANDLES", "ENTRY", "CALLS", "PUBLISHES")
@@ -99,7 +99,7 @@ def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> Data
     steps = written(steps.join(leads, "dst", "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "steps")
     gaps = nodes.where("label = 'Gap'").select(F.col("id").alias("trigger_id"))
     open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
-    reach, _ = _expanded(steps, open_nodes, triggers.select("trigger_id").distinct().join(gaps, "trigger_id", "left_anti"))
+    reach, _ = _expanded(steps, _links(steps, open_nodes), triggers.select("trigger_id").distinct().join(gaps, "trigger_id", "left_anti"))
     own = reach.join(steps, F.col("node") == F.col("src")).select("trigger_id", "src", "dst", "label", "conf", "reversed", "leads")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
@@ -112,12 +112,16 @@ def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> Data
     return own.groupBy("trigger_id").applyInPandas(walk, "trigger_id string, ord long, src string, dst string, label string, conf string, reversed boolean, depth_limited boolean")
 
 
-def _expanded(steps: DataFrame, open_nodes: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _links(steps: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """``src, dst``: the steps into nodes that a flow may expand (`open_nodes`: ``open``)."""
+    return written(steps.select("src", "dst").distinct().join(open_nodes, F.col("dst") == F.col("open"), "left_semi"), "links")
+
+
+def _expanded(steps: DataFrame, links: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``trigger_id, node``: nodes that each trigger's flow expands (itself among them), at most DEPTH - 1 steps away;
     and the triggers (``trigger_id``) whose flow the bound cuts while steps lead on."""
     new = written(triggers.select("trigger_id", F.concat("trigger_id", F.lit("")).alias("node")), "flow")
     seen = new
-    links = written(steps.select("src", "dst").distinct().join(open_nodes, F.col("dst") == F.col("open"), "left_semi"), "links")
     for depth in range(1, DEPTH + 1):
         nxt = new.join(links, F.col("node") == F.col("src")).select("trigger_id", F.col("dst").alias("node")).distinct()
         new, n = counted(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow")
@@ -141,19 +145,19 @@ class Flows:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.steps = written(steps_of(edges), "steps")
         open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
-        anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
-        reach, cut = _expanded(self.steps, open_nodes, anchors)
+        links = _links(self.steps, open_nodes)
+        self.anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
+        reach, cut = _expanded(self.steps, links, self.anchors)
         reach = written(reach, "reach")
         fetched = reach.join(self.steps.where("label = 'FETCHES'"), F.col("node") == F.col("src")).select(F.col("dst").alias("id")).distinct()
         endpoints = nodes.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti")
         consumed = edges.where("label = 'SUBSCRIBES'").select(F.col("dst").alias("id")).distinct()
         published = edges.where("label = 'PUBLISHES'").select(F.col("dst").alias("id")).distinct()
         channels = nodes.where("label = 'Channel'").select("id").join(consumed, "id", "left_semi").join(published, "id", "left_anti")
-        rest = written(endpoints.unionAll(channels).withColumnRenamed("id", "trigger_id"), "triggers")
-        more, cut_too = _expanded(self.steps, open_nodes, rest)
+        self.rest = written(endpoints.unionAll(channels).withColumnRenamed("id", "trigger_id"), "triggers")
+        more, cut_too = _expanded(self.steps, links, self.rest)
         self.reach = reach.unionAll(more)
-        limited = cut.unionAll(cut_too).withColumn("depth_limited", F.lit(True))
-        self.triggers = anchors.unionAll(rest).join(limited, "trigger_id", "left").withColumn("depth_limited", F.coalesce("depth_limited", F.lit(False)))
+        self.triggers = _limited(self.anchors.unionAll(self.rest), cut.unionAll(cut_too))
 
     def hops(self) -> DataFrame:
         """``trigger_id, src, dst, label, conf, reversed``."""
@@ -161,10 +165,84 @@ class Flows:
 
     def scores(self, gap_nodes: DataFrame | None) -> DataFrame:
         """As :func:`flow_scores`, from sums over each node's steps: the hops themselves are never made."""
-        steps, gap = _with_gaps(self.steps, gap_nodes)
-        sums = steps.groupBy(F.col("src").alias("node")).agg(*_sums(F.count("*"), F.sum(hop_weight(F.col("conf"))), F.bool_or(gap), F.bool_and(F.col("conf") == "Confirmed")))
-        told = self.reach.join(sums, "node").groupBy("trigger_id").agg(*_sums(F.sum("_n"), F.sum("_w"), F.bool_or("_g"), F.bool_and("_c")))
-        return _scored(self.triggers.join(told, "trigger_id", "left"))
+        return _summed(self.steps, self.reach, self.triggers, gap_nodes)
+
+
+def _limited(triggers: DataFrame, cut: DataFrame) -> DataFrame:
+    """Triggers with ``depth_limited``: true for those among the cut ones."""
+    return triggers.join(cut.withColumn("depth_limited", F.lit(True)), "trigger_id", "left").withColumn("depth_limited", F.coalesce("depth_limited", F.lit(False)))
+
+
+def _summed(steps: DataFrame, reach: DataFrame, triggers: DataFrame, gap_nodes: DataFrame | None) -> DataFrame:
+    steps, gap = _with_gaps(steps, gap_nodes)
+    sums = steps.groupBy(F.col("src").alias("node")).agg(*_sums(F.count("*"), F.sum(hop_weight(F.col("conf"))), F.bool_or(gap), F.bool_and(F.col("conf") == "Confirmed")))
+    told = reach.join(sums, "node").groupBy("trigger_id").agg(*_sums(F.sum("_n"), F.sum("_w"), F.bool_or("_g"), F.bool_and("_c")))
+    return _scored(triggers.join(told, "trigger_id", "left"))
+
+
+class Retraced:
+    """The flows of a changed graph: those that a change may touch are traced again, the others are taken over.
+
+    `before` holds the flows of the old graph (a :class:`Flows` or another ``Retraced``), `changed_nodes` (``id``) every node
+    that came, went or has a new label, `changed_edges` (``src, dst, label``) every edge that came, went or has a new
+    confidence; both may name more than that.  A flow is touched if it expands the source of a changed step, or steps
+    into that source or into a changed node.  Endpoints and channels are judged anew as triggers only where a touched anchor
+    flow fetched or fetches them, or a change names them.
+
+    ``fresh`` (``trigger_id``) are the flows traced again, ``gone`` the old ones dropped or replaced; ``reach``, ``triggers`` and
+    :meth:`scores` equal those of a full trace.  Tables of the old flows are scanned against sets as large as the change.
+    """
+
+    def __init__(self, before: Flows | Retraced, nodes: DataFrame, edges: DataFrame, changed_nodes: DataFrame, changed_edges: DataFrame):
+        self.steps = written(steps_of(edges), "steps")
+        changed = written(changed_nodes.select("id").distinct(), "changed")
+        sources = steps_of(changed_edges.select("src", "dst", "label", F.lit("").alias("conf"))).select(F.col("src").alias("id")).distinct()
+        into = sources.unionAll(changed).distinct()
+        ahead = before.steps.join(small(into.select(F.col("id").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("id"))
+        touched = written(sources.unionAll(ahead).select(F.col("id").alias("node")).distinct(), "touched")
+        hit = before.reach.join(small(touched), "node", "left_semi").select("trigger_id")
+        stale = written(hit.unionAll(changed.withColumnRenamed("id", "trigger_id")).distinct(), "stale")
+
+        # anchors
+        links = _links(self.steps, nodes.where("label <> 'Gap'").select(F.col("id").alias("open")))
+        self.anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
+        again = written(self.anchors.join(small(stale), "trigger_id", "left_semi"), "triggers")
+        reach, cut = _expanded(self.steps, links, again)
+        reach = written(reach, "reach")
+
+        # endpoints and channels that may have become triggers, or be none any more
+        left = before.anchors.join(small(stale), "trigger_id", "left_semi")
+        lost = before.reach.join(small(left), "trigger_id", "left_semi").select("node").distinct()
+        fetches = lambda steps, of: of.select("node").join(steps.where("label = 'FETCHES'"), F.col("node") == F.col("src")).select(F.col("dst").alias("id"))
+        linked = changed_edges.where("label in ('SUBSCRIBES', 'PUBLISHES')").select(F.col("dst").alias("id"))
+        judged = written(changed.unionAll(linked).unionAll(fetches(before.steps, lost)).unionAll(fetches(self.steps, reach)).distinct(), "judged")
+        asked = small(judged)
+        callers = self.steps.where("label = 'FETCHES'").join(asked.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("id"))
+        callers = written(callers.distinct(), "callers")
+        kept_anchors = before.reach.join(small(callers.select("node").distinct()), "node", "left_semi").join(before.anchors.join(small(stale), "trigger_id", "left_anti"), "trigger_id", "left_semi")
+        fetched = callers.join(kept_anchors.unionAll(reach).select("node").distinct(), "node", "left_semi").select("id").distinct()
+        own = nodes.join(asked, "id", "left_semi")
+        endpoints = own.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti")
+        ends = edges.where("label in ('SUBSCRIBES', 'PUBLISHES')").select(F.col("dst").alias("id"), "label").join(asked, "id", "left_semi").groupBy("id").agg(F.bool_or(F.col("label") == "PUBLISHES").alias("published"))
+        channels = own.where("label = 'Channel'").select("id").join(ends.where("not published"), "id", "left_semi")
+        told = endpoints.unionAll(channels).select(F.col("id").alias("trigger_id"))
+        not_judged = before.rest.join(small(judged.withColumnRenamed("id", "trigger_id")), "trigger_id", "left_anti")
+        self.rest = written(not_judged.unionAll(told), "triggers")
+        came = self.rest.join(before.rest, "trigger_id", "left_anti")
+        rest = written(came.unionAll(self.rest.join(small(stale), "trigger_id", "left_semi")).distinct(), "triggers")
+        more, cut_too = _expanded(self.steps, links, rest)
+
+        went = before.rest.join(self.rest, "trigger_id", "left_anti")
+        self.gone = written(before.triggers.select("trigger_id").join(small(written(stale.unionAll(went).distinct(), "stale")), "trigger_id", "left_semi"), "gone")
+        self.fresh = again.unionAll(rest)
+        self._fresh_reach, self._fresh_triggers = reach.unionAll(more), written(_limited(self.fresh, cut.unionAll(cut_too)), "triggers")
+        self.reach = before.reach.join(small(self.gone), "trigger_id", "left_anti").unionAll(self._fresh_reach)
+        self.triggers = before.triggers.join(small(self.gone), "trigger_id", "left_anti").unionAll(self._fresh_triggers)
+
+    def scores(self, before: DataFrame, gap_nodes: DataFrame | None) -> DataFrame:
+        """Scores of all flows: the old ones (`before`) but for ``gone``, and those of ``fresh``."""
+        fresh = _summed(self.steps.join(small(self._fresh_reach.select(F.col("node").alias("src")).distinct()), "src", "left_semi"), self._fresh_reach, self._fresh_triggers, gap_nodes)
+        return before.join(small(self.gone), "trigger_id", "left_anti").unionAll(fresh.select(*before.columns))
 
 
 def trace_set(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -287,6 +287,24 @@ def _(s):
     return graph.Flows(*_graph(s)).scores(None).withColumn("score", F.round("score", 9))
 
 
+_NEW_EDGES = """select src, dst, label, case when conf = 'InferredWeak' and dst like '%9' then 'Confirmed' else conf end as conf from edges
+ where not (label = 'FETCHES' and src = 'sym:n3') and not (label = 'SUBSCRIBES' and src like '%7')"""
+_NEW_NODES = "select id, case when label = 'Gap' and id like '%@2' then 'Symbol' else label end as label from nodes"
+_RETRACE = _TRACE[len("with recursive ") :].replace("from edges", "from new_edges").replace("from nodes", "from new_nodes")
+
+
+@query("op170_retraced_flows", f"with recursive new_edges as ({_NEW_EDGES}), new_nodes as ({_NEW_NODES}), {_RETRACE}")
+def _(s):
+    nodes, edges = _graph(s)
+    new_edges = written(s.spark.sql(_NEW_EDGES.replace("from edges", "from {edges}"), edges=edges), "edges")
+    new_nodes = written(s.spark.sql(_NEW_NODES.replace("from nodes", "from {nodes}"), nodes=nodes), "nodes")
+    changed = lambda old, new, key, by: store.reconcile(old, new, key, by, F.lit(True)).where("action <> 'unchanged'").drop("action")
+    gaps = lambda n: n.where("label = 'Gap'").select("id")
+    before = graph.Flows(nodes, edges)
+    after = graph.Retraced(before, new_nodes, new_edges, changed(nodes, new_nodes, ["id"], "label"), changed(edges, new_edges, ["src", "dst", "label"], "conf"))
+    return after.scores(before.scores(gaps(nodes)), gaps(new_nodes)).withColumn("score", F.round("score", 9))
+
+
 @query("op126_scores_from_hops", _TRACE)
 def _(s):
     nodes, edges = _graph(s)
