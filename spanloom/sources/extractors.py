@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hcl
 from .scopes import scope_rows
 
 SCHEMA = "path string, language string, kind string, name string, detail string, byte_start long, byte_end long"
@@ -425,47 +426,30 @@ def _paths(text: str, at: int) -> list[str] | None:
     return told or [""]
 
 
-def _settings(body: str) -> Iterator[tuple[str, str]]:
-    """Dotted path and expression of every attribute of a block, nested blocks included."""
-    at, stack = 0, []
-    token = re.compile(r'\s*(?:(\})|([\w-]+)\s*=(?!=)\s*|([\w-]+)(?:\s+"[^"]*")*\s*(\{))')
-    while m := token.match(body, at):
-        at = m.end()
-        if m[1]:
-            if not stack:
-                return
-            stack.pop()
-        elif m[2]:
-            end = _until(body, at, "\n")
-            yield ".".join([*stack, m[2]]), body[at:end]
-            at = end
-        else:
-            stack.append(m[3])
-
-
 def _hcl(text: str) -> Iterator[Row]:
-    text = re.sub(r"#[^\n]*", lambda m: " " * len(m[0].encode()), _blanked(text))
+    """Resources, data sources and modules at the top of a file.  A row of an attribute stands where its reference stands, the
+    others where the block does; what `depends_on` names is no other reference."""
     at = _offsets(text)
-    for m in re.finditer(r'^\s*(resource|data|module)\s+"([\w-]+)"(?:\s+"([\w-]+)")?\s*\{', text, re.M):
-        end = min(_until(text, m.end(), "") + 1, len(text))
-        body = text[m.end() : end]
-        address = ".".join(x for x in (("module", m[2]) if m[1] == "module" else ("data", m[2], m[3]) if m[1] == "data" else (m[2], m[3])) if x)
-        told = list(_settings(body))
-        source = next((identity(v)[1] for k, v in told if k == "source"), "") if m[1] == "module" else m[2]
-        yield m[1], address, source, at[m.start()], at[end]
-        listed = "".join(re.findall(r"depends_on\s*=\s*\[([^\]]*)\]", body))
-        bare = lambda t: re.sub(r'"(?:[^"\\$]|\\.|\$(?!\{))*"', '""', t)
-        refs = lambda t: sorted(set(re.findall(r"(?<![\w.])((?:data\.)?[a-z][a-z0-9]*_\w+\.[A-Za-z_]\w*|module\.\w+)", bare(t))) - {address})
-        for r in refs(listed):
-            yield "depends_on", address, r, at[m.start()], at[end]
-        for r in refs(re.sub(r"depends_on\s*=\s*\[[^\]]*\]", "", body)):
-            yield "references", address, r, at[m.start()], at[end]
-        for key, value in told:
-            for r in refs(value):
-                yield "attribute", address, f"{key} {r}", at[m.start()], at[end]
-        for key in re.finditer(r'(?<![A-Za-z])(?:Action|action|actions)"?\s*[=:]\s*(\[[^\]]*\]|"[^"]*")', body):
-            for action in re.findall(r'"([^"]+)"', key[1]):
-                yield "action", address, action, at[m.start()], at[end]
+    for block in hcl.parsed(text):
+        if not isinstance(block, hcl.Block) or (block.kind, len(block.labels)) not in (("resource", 2), ("data", 2), ("module", 1)):
+            continue
+        own = ".".join(block.labels if block.kind == "resource" else [block.kind, *block.labels])
+        where = at[block.start], at[block.end]
+        told = list(block.attributes())
+        source = next((a.value.literal or a.text for path, a in told if path == "source"), "") if block.kind == "module" else block.labels[0]
+        yield block.kind, own, source, *where
+        before = {r for path, a in told if path.split(".")[0] == "depends_on" for r, _, _ in a.value.refs}
+        for r in sorted(before):
+            yield "depends_on", own, r, *where
+        for r in sorted({r for _, a in told for r, _, _ in a.value.refs} - before - {own}):
+            yield "references", own, r, *where
+        for path, a in told:
+            first = {r: (at[start], at[end]) for r, start, end in reversed(a.value.refs)}
+            for r in sorted(first.keys() - {own}):
+                yield "attribute", own, f"{path} {r}", *first[r]
+        for _, a in told:
+            for action in a.value.actions:
+                yield "action", own, action, *where
 
 
 def _object(text: str) -> dict:

@@ -18,7 +18,7 @@ from ..operators.store import first_by
 from .extractors import FACTS, facts
 
 #: Raised with every change of what the extractors yield.
-VERSION = 1
+VERSION = 2
 BUCKETS = 256
 _STORED = f"{FACTS}, digest string, version int, bucket int"
 _FILE = ["repo", "path"]
