@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from ..functions.exprs import redacted
-from ..operators import plugins, resolve, semantic
+from ..operators import guarded, plugins, resolve, semantic
 from ..sources import extractors, observations
 from .derived import Source, oracle
 
@@ -215,6 +217,18 @@ def _(s):
     return _tf(s).where("kind <> 'action'")
 
 
+_SERVED = """select concat('i/', s_suppkey, '.tf') as path, unnest(['sqs:SendMessage', 'sqs:*']) as name, true as inside from supplier"""
+
+
+@query("op262_guarded_extractor", _SERVED)
+def _(s):
+    docs = text(s, "supplier", "i/{s_suppkey}.tf", _TF).withColumn("text", F.translate("text", "<>", "[]"))
+    rows = guarded.guarded(docs, [sys.executable, "-m", "spanloom.sources.serve"], guarded.Limits(memory=8 << 30, seconds=60.0))
+    block = F.expr("decode(substring(encode(text, 'utf-8'), cast(byte_start + 1 as int), cast(byte_end - byte_start as int)), 'utf-8')")
+    found = rows.where("kind in ('action', 'failed')").join(docs.select("path", "text"), "path")
+    return found.select("path", F.col("detail").alias("name"), F.contains(block, F.col("detail")).alias("inside"))
+
+
 @query("op228_iam_actions", "select concat('aws_sqs_queue.q', s_suppkey) as name, unnest(['sqs:SendMessage', 'sqs:*']) as detail from supplier")
 def _(s):
     return _tf(s).where("kind = 'action'").select("name", "detail")
