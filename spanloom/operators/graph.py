@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import hop_weight
-from .lineage import counted, running, small, written
+from .lineage import SMALL_ROWS, counted, dropped, running, small, tidied, written
 
 DEPTH = 64
 FORWARD = ("RENDERS", "FETCHES", "HANDLES", "ENTRY", "CALLS", "PUBLISHES")
@@ -99,7 +100,9 @@ def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> Data
     steps = written(steps.join(leads, "dst", "left").withColumn("leads", F.coalesce("leads", F.lit(False))), "steps")
     gaps = nodes.where("label = 'Gap'").select(F.col("id").alias("trigger_id"))
     open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
-    reach, _ = _expanded(steps, _links(steps, open_nodes), triggers.select("trigger_id").distinct().join(gaps, "trigger_id", "left_anti"))
+    links = _links(steps, open_nodes)
+    reach, _ = _expanded(links, triggers.select("trigger_id").distinct().join(gaps, "trigger_id", "left_anti"))
+    dropped(links)
     own = reach.join(steps, F.col("node") == F.col("src")).select("trigger_id", "src", "dst", "label", "conf", "reversed", "leads")
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,49 +116,73 @@ def trace_exact(nodes: DataFrame, edges: DataFrame, triggers: DataFrame) -> Data
 
 
 def _links(steps: DataFrame, open_nodes: DataFrame) -> DataFrame:
-    """``src, dst``: the steps into nodes that a flow may expand (`open_nodes`: ``open``)."""
-    return written(steps.select("src", "dst").distinct().join(open_nodes, F.col("dst") == F.col("open"), "left_semi"), "links")
+    """``src, dst, on``: the steps into nodes that a flow may expand (`open_nodes`: ``open``) and that have steps themselves;
+    ``on`` tells those whose ``dst`` has such a step in turn.  Tables are written between the shuffles, so one is on disk at a time."""
+    inner = written(open_nodes.join(steps.select(F.col("src").alias("open")).distinct(), "open", "left_semi"), "inner")
+    into = written(steps.select("src", "dst").join(inner, F.col("dst") == F.col("open"), "left_semi"), "into")
+    leads = written(into.select(F.col("src").alias("dst")).distinct().withColumn("on", F.lit(True)), "leads")
+    links = written(into.join(leads, "dst", "left").select("src", "dst", F.coalesce("on", F.lit(False)).alias("on")), "links")
+    dropped(inner, into, leads)
+    return links
 
 
-def _expanded(steps: DataFrame, links: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _expanded(links: DataFrame, triggers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``trigger_id, node``: nodes that each trigger's flow expands (itself among them), at most DEPTH - 1 steps away;
-    and the triggers (``trigger_id``) whose flow the bound cuts while steps lead on."""
-    new = written(triggers.select("trigger_id", F.concat("trigger_id", F.lit("")).alias("node")), "flow")
-    seen = new
+    and the triggers (``trigger_id``) whose flow the bound cuts while steps lead on.
+
+    Nodes without steps add no hop, so they are no pairs, but for triggers; only nodes that links lead on from are joined
+    with the links in the next round, and few of them are broadcast.
+    """
+    new, n = counted(triggers.select("trigger_id", F.concat("trigger_id", F.lit("")).alias("node"), F.lit(True).alias("on")), "flow")
+    tables = [new]
     for depth in range(1, DEPTH + 1):
-        nxt = new.join(links, F.col("node") == F.col("src")).select("trigger_id", F.col("dst").alias("node")).distinct()
-        new, n = counted(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow")
+        seen = _pairs(tables)
+        front = new.where("on").select("trigger_id", F.col("node").alias("src"))
+        nxt = links.join(small(front) if n <= SMALL_ROWS else front, "src").groupBy("trigger_id", F.col("dst").alias("node")).agg(F.bool_or("on").alias("on"))
+        new, n = counted(nxt.join(seen, ["trigger_id", "node"], "left_anti"), "flow", F.count_if("on"))
+        if depth == DEPTH:
+            break
+        tables.append(new)
         if not n:
+            new = new.where("on")
             break
-        if depth < DEPTH:
-            seen = seen.unionAll(new)
         if depth % GATHERED == 0:
-            seen = written(seen, "flow")
-    cut = new.join(steps.select(F.col("src").alias("node")).distinct(), "node", "left_semi").select("trigger_id").distinct()
-    return seen, cut
+            done, tables = tables[:-1], [written(_pairs(tables[:-1]), "flow"), new]
+            dropped(*done)
+    return _pairs(tables), new.select("trigger_id").distinct()
+
+
+def _pairs(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionAll, [t.select("trigger_id", "node") for t in tables])
 
 
 class Flows:
     """All flows of a graph in set form: all triggers advance together, by shortest distance.
 
     Anchors come first, then endpoints that no anchor's flow fetches and channels that are consumed and never
-    published.  ``reach`` (``trigger_id, node``) holds the expanded nodes, ``triggers`` (``trigger_id, depth_limited``).
+    published.  ``reach`` (``trigger_id, node``) holds the triggers and the expanded nodes that have steps, ``triggers`` (``trigger_id, depth_limited``).
     """
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
+        with tidied(nodes.sparkSession):
+            self._trace(nodes, edges)
+
+    def _trace(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.steps = written(steps_of(edges), "steps")
         open_nodes = nodes.where("label <> 'Gap'").select(F.col("id").alias("open"))
         links = _links(self.steps, open_nodes)
         self.anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
-        reach, cut = _expanded(self.steps, links, self.anchors)
-        reach = written(reach, "reach")
-        fetched = reach.join(self.steps.where("label = 'FETCHES'"), F.col("node") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        reach, cut = _expanded(links, self.anchors)
+        fetches = self.steps.where("label = 'FETCHES'")
+        callers = reach.select("node").join(small(fetches.select(F.col("src").alias("node")).distinct()), "node", "left_semi").distinct()
+        fetched = fetches.join(callers, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("id")).distinct()
         endpoints = nodes.where("label = 'Endpoint'").select("id").join(fetched, "id", "left_anti")
-        consumed = edges.where("label = 'SUBSCRIBES'").select(F.col("dst").alias("id")).distinct()
-        published = edges.where("label = 'PUBLISHES'").select(F.col("dst").alias("id")).distinct()
+        consumed = self.steps.where("label = 'SUBSCRIBES'").select(F.col("src").alias("id")).distinct()  # crossed backwards
+        published = self.steps.where("label = 'PUBLISHES'").select(F.col("dst").alias("id")).distinct()
         channels = nodes.where("label = 'Channel'").select("id").join(consumed, "id", "left_semi").join(published, "id", "left_anti")
         self.rest = written(endpoints.unionAll(channels).withColumnRenamed("id", "trigger_id"), "triggers")
-        more, cut_too = _expanded(self.steps, links, self.rest)
+        more, cut_too = _expanded(links, self.rest)
+        dropped(links)
         self.reach = reach.unionAll(more)
         self.triggers = _limited(self.anchors.unionAll(self.rest), cut.unionAll(cut_too))
 
@@ -176,6 +203,8 @@ def _limited(triggers: DataFrame, cut: DataFrame) -> DataFrame:
 def _summed(steps: DataFrame, reach: DataFrame, triggers: DataFrame, gap_nodes: DataFrame | None) -> DataFrame:
     steps, gap = _with_gaps(steps, gap_nodes)
     sums = steps.groupBy(F.col("src").alias("node")).agg(*_sums(F.count("*"), F.sum(hop_weight(F.col("conf"))), F.bool_or(gap), F.bool_and(F.col("conf") == "Confirmed")))
+    with tidied(sums.sparkSession):
+        sums = written(sums, "sums")
     told = reach.join(sums, "node").groupBy("trigger_id").agg(*_sums(F.sum("_n"), F.sum("_w"), F.bool_or("_g"), F.bool_and("_c")))
     return _scored(triggers.join(told, "trigger_id", "left"))
 
@@ -207,7 +236,7 @@ class Retraced:
         links = _links(self.steps, nodes.where("label <> 'Gap'").select(F.col("id").alias("open")))
         self.anchors = nodes.where(F.col("label").isin(*ANCHORS)).select(F.col("id").alias("trigger_id"))
         again = written(self.anchors.join(small(stale), "trigger_id", "left_semi"), "triggers")
-        reach, cut = _expanded(self.steps, links, again)
+        reach, cut = _expanded(links, again)
         reach = written(reach, "reach")
 
         # endpoints and channels that may have become triggers, or be none any more
@@ -230,7 +259,8 @@ class Retraced:
         self.rest = written(not_judged.unionAll(told), "triggers")
         came = self.rest.join(before.rest, "trigger_id", "left_anti")
         rest = written(came.unionAll(self.rest.join(small(stale), "trigger_id", "left_semi")).distinct(), "triggers")
-        more, cut_too = _expanded(self.steps, links, rest)
+        more, cut_too = _expanded(links, rest)
+        dropped(links)
 
         went = before.rest.join(self.rest, "trigger_id", "left_anti")
         self.gone = written(before.triggers.select("trigger_id").join(small(written(stale.unionAll(went).distinct(), "stale")), "trigger_id", "left_semi"), "gone")

@@ -8,9 +8,11 @@ a temporary folder of its own where it is not.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 _left: dict[str, SparkSession] = {}
 #: A broadcast hint is given to frames with at most so many rows and bytes.
 SMALL_ROWS, SMALL_BYTES = 100_000, 8 << 20
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,13 +60,25 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def counted(df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
-    """The frame, written and read again, and its number of rows, observed while writing: no second job."""
+def counted(df: DataFrame, name: str = "step", what: Column | None = None) -> tuple[DataFrame, int]:
+    """The frame, written and read again, and its number of rows (or another count), observed while writing: no second job."""
     seen = Observation()
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    out = written(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")), name)
     return out, seen.get["n"]
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes the shuffle files of each table as soon as it is written, not when the driver happens to
+    collect its garbage: a loop then takes the disk of one round, not of all."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

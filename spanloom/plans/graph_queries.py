@@ -273,18 +273,23 @@ _TRACE = f"with recursive {_STEPS} " + _SCORE.format(gap="or h.dst in (select id
 
 
 def _graph(s):
-    return written(s.nodes, "nodes"), written(s.edges, "edges")
+    """Nodes and edges written, by the columns that traversals use: digests alone would take more disk than all others."""
+    return _nodes(s), written(s.edges.select(*E), "edges")
+
+
+def _nodes(s):
+    return written(s.nodes.select("id", "label"), "nodes")
 
 
 @query("flow_trace_set", _TRACE)
 def flow_trace_set(s):
-    nodes, edges = _graph(s)
-    return graph.Flows(nodes, edges).scores(nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
+    nodes = _nodes(s)
+    return graph.Flows(nodes, s.edges).scores(nodes.where("label = 'Gap'").select("id")).withColumn("score", F.round("score", 9))
 
 
 @query("op127_projected_scores", f"with recursive {_STEPS} " + _SCORE.format(gap=""))
 def _(s):
-    return graph.Flows(*_graph(s)).scores(None).withColumn("score", F.round("score", 9))
+    return graph.Flows(_nodes(s), s.edges).scores(None).withColumn("score", F.round("score", 9))
 
 
 _NEW_EDGES = """select src, dst, label, case when conf = 'InferredWeak' and dst like '%9' then 'Confirmed' else conf end as conf from edges
@@ -341,7 +346,7 @@ def _(s):
 
 @query("op171_triggers", f"with recursive {_STEPS} select t as trigger_id from triggers")
 def _(s):
-    return graph.Flows(*_graph(s)).triggers.select("trigger_id")
+    return graph.Flows(_nodes(s), s.edges).triggers.select("trigger_id")
 
 
 @query("op172_steps", "select src, dst, label, false as reversed from edges where label in ('RENDERS', 'FETCHES', 'HANDLES', 'PUBLISHES') union all select dst, src, label, true from edges where label = 'SUBSCRIBES'")
